@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .common import documents
+from .packing import pack_documents
 from .quality import robust_quality
 
 
@@ -13,8 +15,24 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mcd_distance")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), vocabulary())
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), vocabulary())
+
+
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op2_speculative_bpe": op2_speculative_bpe,
+    "op4_best_fit_packing": op4_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
