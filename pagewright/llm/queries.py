@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
 from .common import documents
+from .exact import exact_duplicates
+from .near import near_duplicates
 from .packing import pack_documents
 from .quality import robust_quality
+from .sharding import shard_records
 
 
 def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +32,32 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary())
 
 
+def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_records(documents(spark, sf_dir))
+
+
+def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
+def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op2_speculative_bpe": op2_speculative_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_rendezvous_sharding": op5_rendezvous_sharding,
+    "op8_block_naming": op8_block_naming,
+    "op9_tensored_minhash": op9_tensored_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_block_naming": """
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+               count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents""",
+}
