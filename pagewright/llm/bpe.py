@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import itertools
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -25,6 +26,8 @@ from .common import bounded_batches
 
 #: The pattern that parts text into words before merging (a fixed value of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts without "_", numbers other than digits, and separator controls.
+SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+"
 CACHED_WORDS = 700_000
 WORDS_AT_ONCE = 200_000
 STEPPED = 24
@@ -38,6 +41,44 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Table:
+    """Open addressing with linear probing: integer keys, each with a rank and a value, looked up many at once."""
+
+    def __init__(self, keys: list[int], ranks: list[int], made: list[int]):
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        n = 1 << self.bits
+        self.key, self.rank, self.made = np.full(n, -1, np.int64), np.full(n, FAR), np.full(n, -1, np.int64)
+        slots = self._slot(np.array(keys, np.int64)).tolist() if keys else []
+        held = [-1] * n
+        self.probes = 1
+        for k, slot in enumerate(slots):
+            step = 0
+            while held[at := (slot + step) & (n - 1)] >= 0:
+                step += 1
+            held[at] = k
+            self.probes = max(self.probes, step + 1)
+        owner = np.array(held)
+        on = owner >= 0
+        self.key[on], self.rank[on], self.made[on] = np.array(keys, np.int64)[owner[on]], np.array(ranks, np.int64)[owner[on]], np.array(made, np.int64)[owner[on]]
+        self.empty = int(np.flatnonzero(~on)[0])
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Slots of keys; an empty slot where there is no such key."""
+        at = self._slot(key)
+        got = self.key[at]
+        left = np.flatnonzero((got != key) & (got >= 0))
+        for _ in range(self.probes):
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            got = self.key[at[left]]
+            left = left[(got != key[left]) & (got >= 0)]
+        return np.where(self.key[at] == key, at, self.empty)
+
+
 class Bpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,7 +107,7 @@ class Bpe:
             ranks.append(r)
             if self.rank[z] < 0:
                 left[z], right[z], self.rank[z] = x, y, r
-        self._hash(keys, ranks, [self.merge[k // self.size, k % self.size][1] for k in keys])
+        self.pairs = _Table(keys, ranks, [self.merge[k // self.size, k % self.size][1] for k in keys])
         self.byte = [0] * 256
         for i, t in enumerate(self.tokens):
             if len(t) == 1:
@@ -78,12 +119,10 @@ class Bpe:
         for i in made[np.argsort(self.rank[made])]:
             sound[i] &= sound[left[i]] and sound[right[i]]
         self.vocab = {t: i for i, t in enumerate(self.tokens) if t and sound[i]}
-        self.longest: dict[int, int] = {}  # by the first two bytes: the longest token that starts so
-        for t in self.vocab:
-            self.longest[k] = max(self.longest.get(k := int.from_bytes(t[:2], "little") + (len(t) > 1) * 65536, 1), len(t))
+        self._trie()
         self.words: dict[str, bytes] = {}
-        self.plain: dict[str, bool] = {}
-        self.pattern = regex.compile(PATTERN)
+        self.plain: dict[str, int] = {}
+        self.pattern, self.simple = regex.compile(PATTERN), re.compile(SIMPLE)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     @staticmethod
@@ -94,40 +133,11 @@ class Bpe:
             out.append(np.where(out[-1] >= 0, child[out[-1]], -1))
         return out[:-1]
 
-    def _hash(self, keys: list[int], ranks: list[int], made: list[int]) -> None:
-        """Open addressing with linear probing, for lookups of many pairs at once."""
-        self.bits = max(8, (4 * len(keys)).bit_length())
-        self.keys, self.ranks, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, FAR), np.full(1 << self.bits, -1, np.int64)
-        slots = self._slot(np.array(keys, np.int64)).tolist() if keys else []
-        used: dict[int, int] = {}
-        self.probes = 1
-        for k, (slot, key) in enumerate(zip(slots, keys, strict=True)):
-            step = 0
-            while (at := (slot + step) & ((1 << self.bits) - 1)) in used:
-                step += 1
-            used[at] = k
-            self.probes = max(self.probes, step + 1)
-            self.keys[at], self.ranks[at], self.made[at] = key, ranks[k], made[k]
-        self.empty = int(np.flatnonzero(self.keys < 0)[0])
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Slots of pairs; a slot of rank FAR where there is no such merge."""
-        key = (a * self.size + b).ravel()
-        at = self._slot(key)
-        left = np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))
-        for _ in range(self.probes):
-            if not len(left):
-                break
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            got = self.keys[at[left]]
-            left = left[(got != key[left]) & (got >= 0)]
-        return np.where(self.keys[at] == key, at, self.empty).reshape(a.shape)
+        return self.pairs.find((a * self.size + b).ravel()).reshape(a.shape)
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.ranks[self._find(a, b)]
+        return self.pairs.rank[self._find(a, b)]
 
     def _compatible(self, a: np.ndarray, b: np.ndarray, until: np.ndarray) -> np.ndarray:
         """Whether no merge across the seam of a and b comes before the rank `until`."""
@@ -149,15 +159,47 @@ class Bpe:
                 good[on[(r < hides_x) & ((r <= hides_y) if j else (r < hides_y))]] = False
         return good
 
-    def greedy(self, word: bytes) -> list[int]:
-        vocab, longest, out, at, n = self.vocab, self.longest, [], 0, len(word)
-        while at < n:
-            end = min(n, at + longest.get(int.from_bytes(word[at : at + 2], "little") + 65536, 1))
-            while end > at + 1 and word[at:end] not in vocab:
-                end -= 1
-            out.append(vocab[word[at:end]])
-            at = end
-        return out
+    def _trie(self) -> None:
+        nodes: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for token, i in self.vocab.items():
+            node = 0
+            for b in token:
+                node = nodes.setdefault(node * 256 + b, len(nodes) + 1)
+            ends[node] = i
+        keys = list(nodes)
+        self.trie = _Table(keys, [0] * len(keys), list(nodes.values()))
+        self.ends = np.full(len(nodes) + 1, -1, np.int64)
+        self.ends[list(ends)] = list(ends.values())
+
+    def greedy(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches of many words in step: the ids of all, and how many each word has."""
+        stop = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        text = np.append(np.frombuffer(b"".join(raw), np.uint8).astype(np.int64), 0)
+        pos = np.concatenate([[0], stop[:-1]])
+        live = np.arange(len(raw))
+        end, node = stop, np.zeros(len(raw), np.int64)
+        token, after = np.full(len(raw), -1, np.int64), pos.copy()
+        owners, ids = [], []
+        while len(live):
+            child = self.trie.made[self.trie.find(node * 256 + text[pos])]
+            child[pos >= end] = -1
+            on = child >= 0
+            pos = pos + on
+            node = np.where(on, child, 0)
+            got = np.where(on, self.ends[node], -1)
+            token, after = np.where(got >= 0, got, token), np.where(got >= 0, pos, after)
+            out = np.flatnonzero(~on)
+            if len(out):
+                owners.append(live[out])
+                ids.append(token[out])
+                pos[out] = after[out]
+                keep = on | (after < end)
+                if not keep.all():
+                    live, pos, end, node, token, after = live[keep], pos[keep], end[keep], node[keep], token[keep], after[keep]
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(ids)[order], np.bincount(owner, minlength=len(raw))
 
     def exact(self, word: bytes) -> list[int]:
         """Merges of lowest rank first, leftmost first, by a heap over a linked list."""
@@ -180,25 +222,22 @@ class Bpe:
                     heapq.heappush(heap, (m[0], p, m[1], ids[p], ids[q]))
         return [t for t in ids if t >= 0]
 
-    def exact_many(self, raw: list[bytes]) -> list[list[int]]:
+    def exact_many(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """exact() of many short words in step: each round merges the first pair of lowest rank of every word."""
-        width = max(map(len, raw))
+        width = max(2, *map(len, raw))
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         grid = np.full((len(raw), width), -1, np.int64)
-        inside = np.arange(width) < sizes[:, None]
-        grid[inside] = np.array(self.byte, np.int64)[np.frombuffer(b"".join(raw), np.uint8)]
+        grid[np.arange(width) < sizes[:, None]] = np.array(self.byte, np.int64)[np.frombuffer(b"".join(raw), np.uint8)]
+        empty, rank = self.pairs.empty, self.pairs.rank
 
         def slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return np.where((a >= 0) & (b >= 0), self._find(np.maximum(a, 0), np.maximum(b, 0)), self.empty)
+            return np.where((a >= 0) & (b >= 0), self._find(np.maximum(a, 0), np.maximum(b, 0)), empty)
 
-        pair = slots(grid[:, :-1], grid[:, 1:])
-        live = np.arange(len(raw))
-        g, p = grid, pair
+        live, g, p = np.arange(len(raw)), grid, slots(grid[:, :-1], grid[:, 1:])
         while len(live):
-            best = self.ranks[p].argmin(1)
-            rows = np.arange(len(live))
-            hit = p[rows, best]
-            on = hit != self.empty
+            best = rank[p].argmin(1)
+            hit = p[np.arange(len(live)), best]
+            on = hit != empty
             grid[live[~on]] = g[~on]
             live, g, p, best, hit = live[on], g[on], p[on], best[on], hit[on]
             if not len(live):
@@ -206,59 +245,60 @@ class Bpe:
             rows = np.arange(len(live))
             after = np.arange(width)[None, :] > best[:, None]
             g = np.where(after, np.concatenate([g[:, 1:], np.full((len(g), 1), -1)], 1), g)
-            g[rows, best] = self.made[hit]
-            p = np.where(after[:, :-1], np.concatenate([p[:, 1:], np.full((len(p), 1), self.empty)], 1), p)
-            p[rows[best < width - 1], best[best < width - 1]] = slots(g[rows, best], g[rows, np.minimum(best + 1, width - 1)])[best < width - 1]
+            g[rows, best] = self.pairs.made[hit]
+            p = np.where(after[:, :-1], np.concatenate([p[:, 1:], np.full((len(p), 1), empty)], 1), p)
+            some = np.flatnonzero(best < width - 1)
+            p[some, best[some]] = slots(g[some, best[some]], g[some, best[some] + 1])
             some = np.flatnonzero(best > 0)
             p[some, best[some] - 1] = slots(g[some, best[some] - 1], g[some, best[some]])
-        flat, kept = grid[grid >= 0].tolist(), (grid >= 0).sum(1).cumsum().tolist()
-        return [flat[a:b] for a, b in zip([0, *kept[:-1]], kept, strict=True)]
+        return grid[grid >= 0], (grid >= 0).sum(1)
 
     def encode_words(self, words: list[str]) -> int:
         """Puts the ids of new words in self.words; returns how many needed exact merging."""
         raw = [w.encode() for w in words]
-        found = [self.greedy(w) for w in raw]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(found)), sizes)
+        flat, sizes = self.greedy(raw)
+        owner = np.repeat(np.arange(len(raw)), sizes)
         seam = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(flat[seam] * self.size + flat[seam + 1], return_inverse=True)
         good = self._compatible(pairs // self.size, pairs % self.size, np.full(len(pairs), FAR - 1))
         wrong = np.unique(owner[seam[~good[back]]])
+        data, cuts = flat.astype("<u4").tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
+        self.words.update(zip(words, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         short = [i for i in wrong.tolist() if len(raw[i]) <= STEPPED]
         for at in range(0, len(short), 20_000):
             some = short[at : at + 20_000]
-            for i, ids in zip(some, self.exact_many([raw[i] for i in some]), strict=True):
-                found[i] = ids
+            flat, sizes = self.exact_many([raw[i] for i in some])
+            data, cuts = flat.astype("<u4").tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
+            for i, a, b in zip(some, cuts, cuts[1:], strict=False):
+                self.words[words[i]] = data[a:b]
         for i in wrong.tolist():
             if len(raw[i]) > STEPPED:
-                found[i] = self.exact(raw[i])
-        for w, ids in zip(words, found, strict=True):
-            self.words[w] = np.array(ids, "<u4").tobytes()
+                self.words[words[i]] = np.array(self.exact(raw[i]), "<u4").tobytes()
         return len(wrong)
 
-    def _agreed(self, text: str) -> bool:
-        """Whether every character has the class that older Unicode tables give it, so that `regex` parts it as the tokenizer does."""
-        known = self.plain
+    def _finder(self, text: str) -> re.Pattern | regex.Pattern | None:
+        """A pattern that parts this text as the tokenizer does; None where Unicode tables may disagree on a character."""
+        known, worst = self.plain, 0
         for c in set(text):
-            ok = known.get(c)
-            if ok is None:
+            kind = known.get(c)
+            if kind is None:
                 old, new = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
-                ok = known[c] = old != "Cn" and old == new
-            if not ok:
-                return False
-        return True
+                odd = new in ("No", "Nl") or c == "_" or "\x1c" <= c <= "\x1f"
+                kind = known[c] = 2 if old == "Cn" or old != new else int(odd)
+            if kind > worst:
+                worst = kind
+        return (self.simple, self.pattern, None)[worst]
 
     def _parts(self, text: str) -> Iterator[list[str]]:
         """Lists of the words of a text, each of bounded length."""
         for piece in self.split.split(text) if self.split else [text]:
             if piece in self.special:
                 yield [piece]
-            elif piece and (piece.isascii() or self._agreed(piece)):
+            elif piece and (pattern := self._finder(piece)):
                 if len(piece) < WORDS_AT_ONCE:
-                    yield self.pattern.findall(piece)
+                    yield pattern.findall(piece)
                 else:
-                    words = (m.group() for m in self.pattern.finditer(piece))
+                    words = (m.group() for m in pattern.finditer(piece))
                     while some := list(itertools.islice(words, WORDS_AT_ONCE)):
                         yield some
             elif piece:
@@ -288,7 +328,7 @@ class Bpe:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         known = self.words
-        new = {w for parts in group for words in parts for w in words if w not in known}
+        new = set().union(*(words for parts in group for words in parts)).difference(known)
         marks = new & self.special.keys()
         for w in marks:
             known[w] = np.array([self.special[w]], "<u4").tobytes()
