@@ -11,6 +11,7 @@ from .near import near_duplicates
 from .packing import pack_documents
 from .quality import robust_quality
 from .sharding import shard_records
+from .suffix import repeated_passages
 
 
 def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,11 @@ def op9_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_passages(documents(spark, sf_dir), want_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op2_speculative_bpe": op2_speculative_bpe,
@@ -51,6 +57,7 @@ QUERIES = {
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op8_block_naming": op8_block_naming,
     "op9_tensored_minhash": op9_tensored_minhash,
+    "op10_suffix_arrays": op10_suffix_arrays,
 }
 
 ORACLES: dict[str, str] = {
