@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import round_trip
 from .common import documents
 from .exact import exact_duplicates
+from .language import identify_documents
+from .licences import licence_scan
+from .lines import drop_recurring_lines
 from .near import near_duplicates
 from .packing import pack_documents
 from .quality import robust_quality
@@ -50,6 +54,19 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_recurring_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(documents(spark, sf_dir))
+
+
+def op6_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op2_speculative_bpe": op2_speculative_bpe,
@@ -57,6 +74,9 @@ QUERIES = {
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op8_block_naming": op8_block_naming,
     "op9_tensored_minhash": op9_tensored_minhash,
+    "op3_template_lines": op3_template_lines,
+    "op6_licence_classifier": op6_licence_classifier,
+    "op7_language_spans": op7_language_spans,
     "op10_suffix_arrays": op10_suffix_arrays,
 }
 
