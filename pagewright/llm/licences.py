@@ -7,6 +7,7 @@ unknown class; a predicted family must also be confirmed by its closest template
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from functools import lru_cache
@@ -142,8 +143,8 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     spark = docs.sparkSession
     k = len(model.classes)
     holds = [set(_grams(_words(t))) for _, t in model.templates]
-    table = [(g, [float(v) for v in model.weights[i]], [n for n, h in enumerate(holds) if g in h]) for g, i in model.vocabulary.items()]
-    weights = spark.createDataFrame(table, "gram string, w array<double>, t array<int>")  # its size is that of TEMPLATES
+    table = [{"gram": g, "w": [float(v) for v in model.weights[i]], "t": [n for n, h in enumerate(holds) if g in h]} for g, i in model.vocabulary.items()]
+    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<gram:string,w:array<double>,t:array<int>>>")))  # as large as TEMPLATES
     rows = paragraphs(docs)
     padded = F.concat(F.array(F.lit("^")), F.col("words"), F.array(F.lit("$")))
     rows = rows.withColumn("p", padded)
@@ -156,9 +157,8 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     z = [(F.col(f"w{c}") + float(model.bias[c])) / model.temperature for c in range(k)]
     top = F.array_max(F.array(*[F.struct(z[c].alias("z"), F.lit(model.classes[c]).alias("name")) for c in range(k)]))
     scored = sums.withColumn("top", top).withColumn("probability", 1.0 / sum((F.exp(x - F.col("top.z")) for x in z), F.lit(0.0)))
-    close = F.lit(0.0)
-    for n, (family, _) in enumerate(model.templates):
-        close = F.when(F.col("top.name") == model.classes[family], F.greatest(close, F.col(f"t{n}") / len(holds[n]))).otherwise(close)
+    of = {f: [F.col(f"t{n}") / len(holds[n]) for n, (k2, _) in enumerate(model.templates) if k2 == c] for c, f in enumerate(TEMPLATES)}
+    close = F.coalesce(*[F.when(F.col("top.name") == f, F.array_max(F.array(*x))) for f, x in of.items()], F.lit(0.0))
     scored = scored.withColumn("closeness", close).where(F.col("top.name") != OTHER)
     sure = (F.col("probability") >= model.floor) & (F.col("closeness") >= CONFIRM)
     return scored.select("doc_id", "paragraph", F.when(sure, F.col("top.name")).otherwise("unknown").alias("family"), "probability", F.col("top.name").alias("predicted"), "closeness")
