@@ -1,0 +1,39 @@
+"""Operators over DataFrames of documents or blocks: each runs a declared plan and returns a lazy DataFrame."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+from ..functions.dialect import DUCK, SPARK
+from ..plans import analysis, outline
+
+PLANS = outline.PLANS
+__all__ = ["PLANS", "analysis", "oracle", "run", "run_on_blocks"]
+
+
+def run(name: str, table: DataFrame, relation: str = "documents") -> DataFrame:
+    """The plan `name` over documents(doc_id, text, ...), or over pages(page_id, html) with relation="pages"."""
+    return _run(PLANS[name](SPARK), table, relation)
+
+
+def run_on_blocks(name: str, blocks: DataFrame) -> DataFrame:
+    """The plan over parsed blocks(doc_id, seq, page, text, font_size, is_bold, is_italic, x0, y0, x1, y1), without the line adapter."""
+    sql, head = PLANS[name](SPARK), outline.adapter(SPARK)
+    rest = sql.replace("WITH " + head + ",\n", "WITH ").replace("WITH " + head + "\n", "")
+    return _run(rest, blocks, "blocks")
+
+
+def _run(sql: str, table: DataFrame, relation: str) -> DataFrame:
+    view = f"pw_{relation}_{uuid.uuid4().hex}"
+    table.createOrReplaceTempView(view)
+    try:
+        return table.sparkSession.sql(sql if sql.startswith("WITH") else sql.replace(f"FROM {relation}", f"FROM {view}")) if relation not in sql else table.sparkSession.sql(f"WITH {relation} AS (SELECT * FROM {view})" + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql))
+    finally:
+        table.sparkSession.catalog.dropTempView(view)
+
+
+def oracle(name: str) -> str:
+    """The same plan for DuckDB."""
+    return PLANS[name](DUCK)
