@@ -25,7 +25,8 @@ def block_names(docs: DataFrame, text: Column, carried: list[str], block: int =
     raw = text.cast("binary")
     count = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / block)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(raw, i * block + 1, F.lit(block)))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), count.alias("_n"), *carried, F.posexplode(cut).alias("_pos", "_block"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())  # before blocks multiply the rows
+    rows = rows.select("_row", count.alias("_n"), *carried, F.posexplode(cut).alias("_pos", "_block"))
     rows = rows.withColumn("_h", F.xxhash64("_block"))
     # Text is shuffled once, for the distinct blocks; only hashes travel to meet the names.
     names = stage_table(_names(rows, ["_h", "_block"], "name").select("_h", "name"), "names")
