@@ -26,7 +26,9 @@ RIGHT, RIGHT_ROWS = 12, 3
 MINHASHES = LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS
 #: Pairs whose 4-bit sketches differ in more of the 52 places aren't confirmed: at similarity 0.8 that is under 1e-7.
 SKETCH_APART = 26
-CROWDED = 16
+CROWDED = 32
+BLOCK = 256
+MARKS = 32
 CACHED_WORDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,6 +104,41 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingles(t).view(np.int64) for t in batch["text"]]})
 
 
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """64 * MARKS bits of each set: those that its shingles' hashes name."""
+    for batch in batches:
+        grid = np.zeros((len(batch), 64 * MARKS), np.uint8)
+        for k, t in enumerate(batch["shingles"]):
+            grid[k, (np.asarray(t, np.int64).view(np.uint64) >> np.uint64(8)) % np.uint64(64 * MARKS)] = 1
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "bits": [b.tobytes() for b in np.packbits(grid, axis=1)]})
+
+
+def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of two blocks of a bucket, the pairs over them that may be similar enough: each bit that one has and the other
+    lacks stands for a shingle that they don't share. Members of the bucket's leading component (own -1) only meet
+    those of others."""
+    pdf = pdf.sort_values("own", kind="stable")
+    ids, comp, n, own = (pdf[c].to_numpy() for c in ("doc_id", "component", "n", "own"))
+    bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), MARKS)
+    full = np.bitwise_count(bits).sum(1).astype(np.int64)
+    led, crossing = bool(pdf["g"].iloc[0]["led"]), own[0] != own[-1]
+    first = np.searchsorted(own, own, "right") if crossing else np.arange(1, len(own) + 1)
+    if led and own[0] != -1 or led and own[-1] == -1:
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    out = []
+    for k in range(len(pdf)):
+        r = slice(first[k], None)
+        if first[k] >= len(pdf):
+            break
+        both = np.bitwise_count(bits[r] & bits[k]).sum(1).astype(np.int64)
+        common = np.minimum(n[k] - (full[k] - both), n[r] - (full[r] - both))
+        on = ((100 + PERCENT) * common >= PERCENT * (n[k] + n[r])) & (comp[r] != comp[k])
+        if on.any():
+            out.append(np.stack([np.full(on.sum(), ids[k]), ids[r][on]]))
+    a, b = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 def _apart(a: str, b: str) -> Column:
     """Places in which the sketches of two sides differ."""
     total: Column = F.lit(0)
@@ -118,11 +155,8 @@ def _may(common: Column, total: Column) -> Column:
     return (100 + PERCENT) * common >= PERCENT * total
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(a, b) whose full shingle sets are similar enough."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = bounded_batches(texts.join(need, "doc_id", "left_semi")).mapInPandas(_sets, "doc_id long, shingles array<long>")
-    sets = stage_table(sets, "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -134,7 +168,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets become one class; links join class representatives. Every bucket's members are confirmed against the
     bucket's best-supported member; members still in other components are then confirmed against all others of the
-    bucket, less those that bounds on the sets exclude. Null, empty and blank texts have no shingles and are linked
+    bucket, less those that bounds on the whole sets exclude. Null, empty and blank texts have no shingles and are linked
     with nothing. Equal rows get equal results. Other columns are not read.
     """
     texts = docs.select("doc_id", "text").where("doc_id is not null")
@@ -151,11 +185,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = F.max(F.struct("support", (-F.col("doc_id")).alias("id")))
     hubs = stage_table(hits.join(support, "doc_id").groupBy("key").agg((-best["id"]).alias("hub")), "hubs")
     stars = hits.join(hubs, "key").where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    links = stage_table(confirmed(stage_table(_plausible(stars, marks), "stars"), texts), "links")
+    stars = stage_table(_plausible(stars, marks), "stars")
+    # Texts move once: whoever may be confirmed later is a star's end or shares a bucket with two others.
+    need = hits.where("size > 2").select("doc_id").union(stars.select("a")).union(stars.select("b")).distinct()
+    wanted = texts.join(need.hint("merge"), "doc_id", "left_semi")
+    sets = stage_table(bounded_batches(wanted).mapInPandas(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    links = stage_table(confirmed(stars, sets), "links")
     found = stage_table(connected_components(links), "found")
-    rest = _unresolved(hits, hubs, found, marks, texts)
+    rest = _unresolved(hits, hubs, found, marks, sets)
     if not rest.isEmpty():
-        more = stage_table(confirmed(rest, texts), "links")
+        more = stage_table(confirmed(rest, sets), "links")
         if not more.isEmpty():
             found = stage_table(connected_components(links.union(more)), "found")
     groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
@@ -171,20 +210,36 @@ def _plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return both.where(_may(F.least("ma.n", "mb.n"), F.col("ma.n") + F.col("mb.n")) & (_apart("ma", "mb") <= SKETCH_APART)).select("a", "b")
 
 
-def _unresolved(hits: DataFrame, hubs: DataFrame, found: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Plausible pairs that share a bucket, lie in different components and have not been confirmed or refused."""
+def _unresolved(hits: DataFrame, hubs: DataFrame, found: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Plausible pairs that share a bucket, lie in different components and have not been confirmed or refused.
+
+    Small buckets join with themselves. Of large ones, members of the leading component need only meet the others;
+    both sides are cut into blocks by hash, and two blocks at a time meet in a task, where bit marks of the whole sets
+    bound what two of them can share, without a false refusal.
+    """
     of = hits.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     of = stage_table(of, "members")
     split = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = stage_table(of.join(split, "key").join(marks, "doc_id"), "members")
-    # In large buckets, shingles that no other member of any of them has bound what a document can share at all.
-    crowd = members.where(F.col("size") > CROWDED).select("doc_id").distinct()
-    sets = stage_table(bounded_batches(texts.join(stage_table(crowd, "crowd"), "doc_id", "left_semi")).mapInPandas(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    own = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    members = members.join(own, "doc_id", "left").withColumn("shared", F.when(F.col("size") > CROWDED, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n")))
-    members = stage_table(members.where(_may(F.col("shared"), F.col("shared") + F.col("n"))), "members")
-    a, b = members.alias("x"), members.alias("y")
+    members = stage_table(of.join(split, "key").join(hubs, "key").where("hub <> doc_id").join(marks, "doc_id"), "members")
+    few = members.where(F.col("size") <= CROWDED)
+    a, b = few.alias("x"), few.alias("y")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-    near = near & _may(F.least("x.shared", "y.shared"), F.col("x.n") + F.col("y.n")) & (_apart("x", "y") <= SKETCH_APART)
-    pairs = a.join(b, near).join(hubs.alias("h"), F.col("x.key") == F.col("h.key")).where("h.hub <> x.doc_id and h.hub <> y.doc_id")
-    return stage_table(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "rest")
+    near = near & (_apart("x", "y") <= SKETCH_APART) & _may(F.least("x.n", "y.n"), F.col("x.n") + F.col("y.n"))
+    pairs = a.join(b, near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    many = members.where(F.col("size") > CROWDED)
+    crowd = sets.join(many.select("doc_id").distinct(), "doc_id", "left_semi")
+    marked = bounded_batches(crowd).mapInPandas(_marks, "doc_id long, bits binary")
+    parts = many.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    lead = parts.groupBy("key").agg(F.max(F.struct("k", "component")).alias("lead"), F.sum("k").alias("all"))
+    split = lambda n, block: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    many = many.join(stage_table(marked, "bits"), "doc_id").join(stage_table(lead, "lead"), "key")
+    many = many.withColumn("ma", split(F.col("lead.k"), 4 * BLOCK)).withColumn("mb", split(F.col("all") - F.col("lead.k"), BLOCK)).withColumn("h", F.xxhash64("doc_id"))
+    major = F.col("component") == F.col("lead.component")
+    none = F.lit(-1)
+    to_all = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda b: F.struct(b.alias("i"), F.pmod("h", "ma").cast("int").alias("j"), F.lit(True).alias("led")))
+    own = F.pmod("h", "mb").cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("ma") - 1), lambda a: F.struct(own.alias("i"), a.alias("j"), F.lit(True).alias("led")))
+    rest = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda b: F.struct(F.least(own, b).alias("i"), F.greatest(own, b).alias("j"), F.lit(False).alias("led")))
+    many = many.select("key", "doc_id", "component", "n", "bits", F.when(major, none).otherwise(own).alias("own"), F.explode(F.when(major, to_all).otherwise(F.concat(meet, rest))).alias("g"))
+    crossed = many.groupBy("key", "g").applyInPandas(_block_pairs, "a long, b long")
+    return stage_table(pairs.union(crossed).distinct(), "rest")
