@@ -39,7 +39,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     kept = stage_table(near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
