@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
@@ -368,7 +369,9 @@ def map_ids(docs: DataFrame, path: str, finish: Callable[[Bpe, bytes], list[tupl
             rows = [(d, *r) for d, ids in zip(batch["doc_id"], bpe.encode_batch(t or "" for t in batch["text"]), strict=True) for r in finish(bpe, ids)]
             yield pd.DataFrame(rows, columns=["doc_id", *names])
 
-    return bounded_batches(docs).select("doc_id", "text").mapInPandas(run, f"doc_id long, {schema}")
+    # As text, ids stay exact beside nulls, which pandas would hold as floats.
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rows.mapInPandas(run, f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
@@ -384,7 +387,8 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [bpe.decode(np.asarray([] if x is None else x, "<u4").tobytes()) for x in batch["ids"]]})
 
-    return bounded_batches(encoded).select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    rows = bounded_batches(encoded).select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    return rows.mapInPandas(run, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

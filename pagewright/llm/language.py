@@ -105,7 +105,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """Fits on the word counts of an expected `train_docs` labelled rows outside the held-out fold, drawn by hash."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = usable.count()
-    share = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("train")), 11) / float(1 << 53)
+    share = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("train")), 11) / float(1 << 53)
     rows = usable.where(share < train_docs / n) if n > train_docs else usable
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word")).where("length(word) <= 64")
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))

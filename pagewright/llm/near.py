@@ -172,8 +172,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with nothing. Equal rows get equal results. Other columns are not read.
     """
     texts = docs.select("doc_id", "text").where("doc_id is not null")
-    schema = "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, left array<long>, right array<long>"
-    sketches = stage_table(bounded_batches(docs.select("doc_id", "text")).mapInPandas(_sketches, schema), "sketches")
+    schema = "doc_id string, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, left array<long>, right array<long>"
+    # As text, ids stay exact beside nulls, which pandas would hold as floats.
+    named = bounded_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    sketches = stage_table(named.mapInPandas(_sketches, schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = stage_table(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -16,7 +16,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,20 +94,26 @@ def best_fit_pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY)
     bounds = {n: (np.searchsorted(-lengths, -n, "left"), np.searchsorted(-lengths, -n, "right")) for n in counts}
     local = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", "length").orderBy(*order)) - 1)
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = pieces.columns
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seq, off = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for (part, n), some in batch.groupby(["_part", "length"]).indices.items():
-                rank = base[part, n] + batch["_rank"].to_numpy()[some]
+            part, rank, length = (batch.column(c).to_numpy() for c in ("_part", "_rank", "length"))
+            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            pair = part.astype(np.int64) * (capacity + 1) + length
+            for key in np.unique(pair).tolist():
+                some = np.flatnonzero(pair == key)
+                n = key % (capacity + 1)
+                q = base[key // (capacity + 1), n] + rank[some]
                 lo, hi = bounds[n]
-                at = lo + np.searchsorted(placed[lo:hi, 1], rank, "right") - 1
-                d = rank - placed[at, 1]
+                at = lo + np.searchsorted(placed[lo:hi, 1], q, "right") - 1
+                d = q - placed[at, 1]
                 seq[some] = placed[at, 2] + d // placed[at, 3]
                 off[some] = placed[at, 4] + d % placed[at, 3] * n
-            yield batch.drop(columns=["_part", "_rank"]).assign(sequence_id=seq, offset=off)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return bounded_batches(local).mapInPandas(look_up, f"{fields}, sequence_id long, offset long")
+    return bounded_batches(local).mapInArrow(look_up, f"{fields}, sequence_id long, offset long")
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -367,3 +367,10 @@ def test_licences(spark):
     right = sum(named.get((1000 + k, 1)) == f for k, (f, _) in enumerate(notices))
     assert right >= 0.9 * len(notices)
     assert not any(d < 1000 for d, _ in named)
+
+
+def test_large_ids_beside_nulls(spark):
+    big = (1 << 62) + 1
+    df = spark.createDataFrame([(big, "some text"), (None, "other text"), (None, None)], "doc_id long, text string")
+    for out in (round_trip(df, BPE), bpe_decode(bpe_encode(df, BPE), BPE), pack_documents(df, BPE), near_duplicates(df), exact_duplicates(df), repeated_passages(df), shard_records(df)):
+        assert sorted(str(r.doc_id) for r in out.collect()) == sorted([str(big), "None", "None"])
