@@ -28,8 +28,9 @@ def run_on_blocks(name: str, blocks: DataFrame) -> DataFrame:
 def _run(sql: str, table: DataFrame, relation: str) -> DataFrame:
     view = f"pw_{relation}_{uuid.uuid4().hex}"
     table.createOrReplaceTempView(view)
+    named = f"{relation} AS (SELECT * FROM {view})"
     try:
-        return table.sparkSession.sql(sql if sql.startswith("WITH") else sql.replace(f"FROM {relation}", f"FROM {view}")) if relation not in sql else table.sparkSession.sql(f"WITH {relation} AS (SELECT * FROM {view})" + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql))
+        return table.sparkSession.sql(f"WITH {named}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {named} {sql}")
     finally:
         table.sparkSession.catalog.dropTempView(view)
 

@@ -2,7 +2,11 @@
 
 import json
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from pagewright.operators import run_on_blocks
+from pagewright.operators.extras import _leaders, clean_block, similarity
 from pagewright.operators.models import synthetic_blocks
 from pagewright.sources import read_trees, tree_blocks, tree_spans
 from pagewright.streaming import outline_stream
@@ -57,6 +61,19 @@ def test_trees(spark, tmp_path):
     assert (row.text, row.font_size, row.is_bold) == ("Deep Title", 20.0, True)
 
 
+def test_cleaning(spark):
+    texts = ["Reeeequest", "R F P title", "abcabcabcabc", "a  b   c", "w o r d here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", clean_block(F.col("t")).alias("c"))
+    assert [r.c for r in df.orderBy("i").collect()] == ["Request", "RFP title", "abc", "a b c", "word here"]
+
+
+def test_leaders():
+    rows = [(1, p, p * 8, "header", "confidential draft") for p in range(4)] + [(1, 0, 1, "header", "once only here")]
+    out = _leaders(pd.DataFrame(rows, columns=["doc_id", "page", "seq", "kind", "text"]))
+    assert out[["text_pattern", "n_pages"]].values.tolist() == [["confidential draft", 4]]
+    assert similarity("page 1", "page 1 of 3") == 0.8 and similarity("", "x") == 0.0
+
+
 def test_synthetic(spark):
     rows = synthetic_blocks(spark, 500).collect()
     assert len(rows) == 500 and 120 < sum(r.label == "heading" for r in rows) < 280
