@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,9 +25,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Tables written while a stage of the pipeline was planned; None outside of one.
+_scope: list[str] | None = None
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Lists the tables that stage_table writes inside, so that drop_tables can delete them once they are not needed."""
+    global _scope
+    before, _scope = _scope, []
+    try:
+        yield _scope
+    finally:
+        _scope = before
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, lost executors cost no recomputation."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scope is not None:
+        _scope.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
