@@ -1,9 +1,10 @@
 """Operator 3: line dedup by a log-template tree, in DataFrame functions only.
 
 A line's tokens with a digit are variable fields. The fixed-depth path of a line is its token count and its first
-DEPTH tokens; in a leaf, the commonest sequence leads, and sequences that agree with it in SIMILAR of the places
-become its template, their other places being variable. Templates in MIN_DOCS or more documents recur: the first
-occurrence stays, the others are dropped.
+DEPTH tokens. The tokens of a line are cut into PLACES even stretches (single tokens where there are few); in a leaf,
+the commonest sequence leads, and sequences that differ from it in at most VARIABLE of the places take its template,
+those places being variable fields. Templates in MIN_DOCS or more documents recur: the first occurrence stays, the
+others are dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import WS, stage_table
 
 DEPTH = 3
-SIMILAR = 0.7
+PLACES = 8
+VARIABLE = 0.3
 MIN_DOCS = 10
 MIN_TOKENS = 3
 TOKEN = r"[^\x20\x09-\x0D]"
@@ -22,14 +24,40 @@ FIELD = "<*>"
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """(_key, doc_id, line, n_tokens, leaf, masked) of the lines of whole texts that have MIN_TOKENS tokens."""
+    """(_key, doc_id, line, n, leaf, seq, p0..) of the lines of whole texts that have MIN_TOKENS tokens: the token
+    count and 64-bit hashes of the path and the sequence, 32-bit ones of the places. No text leaves the scan."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.xxhash64(F.col("doc_id"), text).alias("_key"), "doc_id", F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    bare = F.regexp_replace(F.btrim("raw", F.lit(WS)), r"[\x20\x09-\x0D]+", " ")
-    lines = lines.withColumn("masked", bare).where("masked <> ''")
-    lines = lines.withColumn("masked", F.when(F.col("masked").rlike("[0-9]"), F.regexp_replace("masked", rf"(?<!{TOKEN}){TOKEN}*?[0-9]{TOKEN}*", F.lit(FIELD))).otherwise(F.col("masked")))
-    lines = lines.withColumn("n_tokens", F.char_length("masked") - F.char_length(F.translate("masked", " ", "")) + 1).where(F.col("n_tokens") >= MIN_TOKENS)
-    return lines.select("_key", "doc_id", "line", "n_tokens", F.substring_index("masked", " ", DEPTH).alias("leaf"), "masked")
+    even = F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.btrim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " "), F.lit(WS))).otherwise(F.col("raw"))
+    lines = lines.withColumn("_even", even)
+    masked = F.when(F.col("_even").rlike("[0-9]"), F.regexp_replace("_even", rf"(?<!{TOKEN}){TOKEN}*?[0-9]{TOKEN}*", F.lit(FIELD))).otherwise(F.col("_even"))
+    lines = lines.withColumn("_t", F.split(masked, " ")).withColumn("n", F.size("_t")).where(F.col("n") >= MIN_TOKENS)
+    cut = [F.floor(F.col("n") * k / PLACES).cast("int") for k in range(PLACES + 1)]
+    places = [F.hash(F.slice("_t", cut[k] + 1, cut[k + 1] - cut[k])).alias(f"p{k}") for k in range(PLACES)]
+    return lines.select("_key", "doc_id", "line", "n", F.xxhash64("n", F.slice("_t", 1, DEPTH)).alias("leaf"), F.xxhash64("_t").alias("seq"), *places)
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(_key, doc_id, line, template) of the occurrences to drop."""
+    lines = stage_table(template_lines(docs), "lines")
+    often = stage_table(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_docs).select("leaf"), "leaves")
+    lines = stage_table(lines.join(often, "leaf"), "lines")
+    place = [f"p{k}" for k in range(PLACES)]
+    kinds = lines.groupBy("leaf", "seq").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), *[F.min(p).alias(p) for p in place])
+    kinds = stage_table(kinds, "sequences")
+    lead = F.max(F.struct("k", "seq", *place)).alias("lead")
+    leaders = stage_table(kinds.groupBy("leaf").agg(lead), "leaders")
+    apart = sum(((F.col(p) != F.col(f"lead.{p}")).cast("int") for p in place), F.lit(0))
+    follows = apart <= F.floor(F.least(F.col("n"), F.lit(PLACES)) * VARIABLE)
+    of = kinds.join(leaders, "leaf").select("leaf", "seq", "k", F.when(follows, F.col("lead.seq")).otherwise(F.col("seq")).alias("template"))
+    of = stage_table(of, "templates")
+    often = of.groupBy("leaf", "template").agg(F.sum("k").alias("k")).where(F.col("k") >= min_docs).drop("k")
+    of = stage_table(of.drop("k").join(often, ["leaf", "template"]), "templates")
+    marked = stage_table(lines.select("_key", "doc_id", "line", "leaf", "seq").join(of, ["leaf", "seq"]), "marked")
+    once = marked.groupBy("leaf", "template", "_key").agg(F.min(F.struct("doc_id", "line", "_key")).alias("first"))
+    found = once.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
+    hit = marked.join(stage_table(found.select("leaf", "template", "first"), "recurring"), ["leaf", "template"])
+    return hit.where((F.col("first._key") != F.col("_key")) | (F.col("first.line") != F.col("line"))).select("_key", "doc_id", "line", "template")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -39,30 +67,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     occurrence is that of the smallest doc_id (null first) and line number; fully equal rows count as one document
     and get equal results. n_lines and n_dropped replace columns of the same names.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    lines = template_lines(docs)
-    # Text moves once, to count the distinct sequences of each leaf; rows elsewhere carry hashes.
-    seen = stage_table(lines.groupBy("n_tokens", "leaf", "masked").agg(F.count(F.lit(1)).alias("n")), "sequences")
-    leaf = ["n_tokens", "leaf"]
-    leaders = seen.groupBy(*leaf).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.max_by("masked", F.struct("n", (-F.xxhash64("masked")).alias("h"))).alias("lead"))
-    leaders = stage_table(leaders.where(F.col("all") >= min_docs), "leaders")
-    same = F.aggregate(F.zip_with(F.split("masked", " "), F.split("lead", " "), lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
-    joined = seen.join(leaders, leaf)
-    of = F.when((F.col("masked") == F.col("lead")) | ((F.col("kinds") > 1) & (same >= SIMILAR * F.col("n_tokens"))), F.col("lead")).otherwise(F.col("masked"))
-    hashed = F.xxhash64(*leaf, "masked")
-    joined = joined.select(hashed.alias("_s"), F.xxhash64("n_tokens", F.lit("t"), of).alias("_t"), "n")
-    possible = joined.groupBy("_t").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("_t")
-    known = stage_table(joined.drop("n").join(possible, "_t"), "templates")
-    marked = stage_table(lines.select("_key", "doc_id", "line", hashed.alias("_s")).join(known, "_s").drop("_s"), "marked")
-    once = marked.groupBy("_t", "_key").agg(F.min(F.struct("doc_id", "line", "_key")).alias("first"))
-    recurring = once.groupBy("_t").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
-    hit = marked.join(stage_table(recurring.select("_t", "first"), "recurring"), "_t")
-    drops = hit.where((F.col("first._key") != F.col("_key")) | (F.col("first.line") != F.col("line")))
-    drops = drops.groupBy("_key").agg(F.collect_set("line").alias("_gone"))
+    docs = docs.drop("n_lines", "n_dropped", "_key", "_gone")
+    drops = recurring_lines(docs, min_docs).groupBy("_key").agg(F.collect_set("line").alias("_gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), text)).join(drops, "_key", "left")
+    out = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), text)).join(stage_table(drops, "drops").hint("merge"), "_key", "left")  # drops grow with the corpus: never broadcast
     split = F.split("text", "\n")
     left = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.greatest(F.col("n_dropped"), F.lit(0)))
-    return out.withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_dropped")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    kept = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
+    others = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*others, lines.cast("long").alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
