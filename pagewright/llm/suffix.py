@@ -2,8 +2,8 @@
 
 A byte goes when it lies in a 50-byte string that also starts in a document with a smaller doc_id. Texts are packed
 into chunks. Content-defined anchors (the least hashed 24-gram of every 50-byte window) route: equal windows have
-equal anchors, so only anchors found in two documents matter, and the text around them meets in the anchor's
-bucket. There, shard by shard, a suffix array is built by Larsson-Sadakane refinement, Kasai's pass gives common
+equal anchors, so only anchors that two documents share, with some of their surroundings, matter, and the text around
+them meets in the anchor's bucket. There, shard by shard, a suffix array is built by Larsson-Sadakane refinement, Kasai's pass gives common
 prefixes, and the shards' sorted windows are merged by binary search, which yields for each window the smallest
 document that has it. Hashes only route; equality is decided on the bytes.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,12 @@ WINDOW = 50
 GRAM = 24
 SPAN = WINDOW - GRAM + 1  # grams in a window
 REACH = WINDOW - GRAM
-CHUNK_BYTES = 4 << 20
+HALF = REACH // 2
+CHUNK_BYTES = 2 << 20
 CHUNK_DOCS = 1000
 BLOCK = 1 << 20
-BUCKET_BYTES = 16 << 20
-SHARD_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 MULT = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -58,23 +60,36 @@ def _sliding(a: np.ndarray, w: int, f: Callable) -> np.ndarray:
     return f(a[: len(a) - w + n], a[w - n :]) if n < w else a
 
 
-def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the least of some window; long texts block by block."""
-    found, hashes = [], []
+def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the grams that are the least of some window, their hashes, and two hashes of wider strings each.
+
+    A 50-byte string around an anchor reaches at least HALF bytes beyond it on one side; so two occurrences only
+    matter to each other if the anchors extended by HALF bytes on the left, or on the right, are equal. The wider
+    hashes, one row for each side, are 0 where the text ends before. Long texts are searched block by block.
+    """
+    found, hashes, wider = [], [], []
     pad = np.zeros(SPAN - 1, np.uint64)
     for s in range(0, len(text) - WINDOW + 1, BLOCK):
-        h = _grams(text[s : s + BLOCK + WINDOW - 1])
-        low = _sliding(h, SPAN, np.minimum)
+        base = max(0, s - HALF)
+        h = _grams(text[base : s + BLOCK + WINDOW - 1 + HALF])
+        inner = h[s - base : s - base + BLOCK + SPAN - 1]
+        low = _sliding(inner, SPAN, np.minimum)
         top = _sliding(np.concatenate([pad, low, pad]), SPAN, np.maximum)
-        at = np.flatnonzero(h == top)
-        found.append(at + s)
+        at = np.flatnonzero(inner == top) + (s - base)
+        found.append(at + base)
         hashes.append(h[at])
+        left = (h[np.maximum(at - HALF, 0)] * MULT[1] + h[at]) * MULT[2]
+        right = (h[np.minimum(at + HALF, len(h) - 1)] * MULT[3] + h[at]) * MULT[4]
+        wide = np.stack([left ^ (left >> np.uint64(29)), right ^ (right >> np.uint64(31))]) | np.uint64(1)
+        wide[0, at < HALF] = 0
+        wide[1, at + HALF >= len(h)] = 0
+        wider.append(wide)
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((2, 0), np.uint64)
     if len(found) == 1:
-        return found[0], hashes[0]
+        return found[0], hashes[0], wider[0]
     pos, first = np.unique(np.concatenate(found), return_index=True)
-    return pos, np.concatenate(hashes)[first]
+    return pos, np.concatenate(hashes)[first], np.concatenate(wider, 1)[:, first]
 
 
 def larsson_sadakane(text: np.ndarray) -> np.ndarray:
@@ -148,12 +163,17 @@ def kasai(text: np.ndarray, order: np.ndarray, run: int, most: int) -> np.ndarra
     return lcp[order]
 
 
+@lru_cache(maxsize=1)
+def _coder() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _zip(a: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a)
+    return _coder()[0].compress(a)
 
 
 def _unzip(a: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(a)
+    return _coder()[1].decompress(a)
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +188,8 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held += len(texts[b])
                 b += 1
             body = b"".join(texts[a:b])
-            yield pd.DataFrame({"chunk": [serial], "ids": [ids[a:b]], "sizes": [[len(t) for t in texts[a:b]]], "extra": [extra[a:b]], "raw": [len(body)], "body": [_zip(body)]})
+            marks = [hashlib.sha256(t).digest() for t in texts[a:b]]
+            yield pd.DataFrame({"chunk": [serial], "marks": [marks], "ids": [ids[a:b]], "sizes": [[len(t) for t in texts[a:b]]], "extra": [extra[a:b]], "raw": [len(body)], "body": [_zip(body)]})
             serial += 1
             a = b
 
@@ -180,32 +201,41 @@ def _texts(body: bytes, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 def _low(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return h.astype("<u4").tobytes()
 
 
 def _high(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    return np.frombuffer(b, "<u4").astype(np.uint64)
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Columns of integers, zipped byte place by byte place."""
+    return _zip(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _columns(b: bytes, count: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unzip(b), np.uint8).reshape(8, -1).T).view("<i8").reshape(count, -1)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) * np.uint64(2654435761) % np.uint64(buckets)).astype(np.int64)
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-KEPT = np.uint64((1 << 40) - 1)
+KEPT = np.uint64((1 << 32) - 1)
+NONE = np.uint64((1 << 54) - 1)
 
 
 def _announce(buckets: int) -> Callable:
-    """The distinct anchors of each chunk, by bucket, five bytes each (the bucket holds more)."""
+    """The distinct wider hashes of each chunk, by bucket, four bytes each (the bucket holds more)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, sizes, body in zip(batch["chunk"], batch["sizes"], batch["body"], strict=True):
-                found = [np.unique(anchors(t)[1]) for t in _texts(body, sizes) if len(t) >= WINDOW]
+                found = [anchors(t)[2].ravel() for t in _texts(body, sizes) if len(t) >= WINDOW]
                 if not found:
                     continue
                 h = np.unique(np.concatenate(found))
+                h = h[h > 0]
                 to = _bucket(h, buckets)
                 by = np.argsort(to, kind="stable")
                 cut = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1]))
@@ -225,28 +255,32 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _surroundings(buckets: int) -> Callable:
-    """For each chunk and bucket, the distinct texts around shared anchors and where they occur."""
+    """For each chunk and bucket, the texts around shared anchors and where they occur; copies have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for chunk, ids, sizes, body, shared in zip(batch["chunk"], batch["ids"], batch["sizes"], batch["body"], batch["shared"], strict=True):
+            for chunk, ids, sizes, body, copies, shared in zip(batch["chunk"], batch["ids"], batch["sizes"], batch["body"], batch["copies"], batch["shared"], strict=True):
                 texts = _texts(body, sizes)
-                pos, hashes, doc = [], [], []
+                skip = set() if copies is None else set(copies)
+                pos, hashes, wider, doc = [], [], [], []
                 for k, t in enumerate(texts):
-                    if len(t) >= WINDOW:
-                        p, h = anchors(t)
+                    if len(t) >= WINDOW and k not in skip:
+                        p, h, w = anchors(t)
                         pos.append(p)
                         hashes.append(h)
+                        wider.append(w)
                         doc.append(np.full(len(p), k))
                 if not pos:
                     continue
-                pos, h, doc = np.concatenate(pos), np.concatenate(hashes), np.concatenate(doc)
-                code = _bucket(h, buckets).astype(np.uint64) << np.uint64(40) | h & KEPT
-                pair = np.unique(np.stack([code, doc.astype(np.uint64)]), axis=1)[0]
-                value, n = np.unique(pair, return_counts=True)
-                known = [value[n > 1], *((np.uint64(int(s["bucket"])) << np.uint64(40)) | _high(s["h"]) for s in ([] if shared is None else shared))]
-                on = np.isin(code, np.concatenate(known))
-                pos, doc, to = pos[on], doc[on], (code[on] >> np.uint64(40)).astype(np.int64)
+                pos, h, wide, doc = np.concatenate(pos), np.concatenate(hashes), np.concatenate(wider, 1), np.concatenate(doc)
+                code = np.where(wide > 0, _bucket(wide, buckets).astype(np.uint64) << np.uint64(32) | wide & KEPT, NONE)
+                pair = np.unique(code.ravel() * np.uint64(1 << 10) + np.tile(doc, 2).astype(np.uint64))  # a chunk has under 1024 documents
+                value, n = np.unique(pair >> np.uint64(10), return_counts=True)
+                known = [value[n > 1], *((np.uint64(int(s["bucket"])) << np.uint64(32)) | _high(s["h"]) for s in ([] if shared is None else shared))]
+                known = np.concatenate(known)
+                on = (np.isin(code, known[known != NONE])).any(0)
+                code = _bucket(h, buckets).astype(np.int64)
+                pos, doc, to = pos[on], doc[on], code[on]
                 if not len(pos):
                     continue
                 start = np.append(0, np.cumsum(sizes))
@@ -257,14 +291,13 @@ def _surroundings(buckets: int) -> Callable:
                 take = (start[doc] + left)[:, None] + np.arange(wide)
                 grid = np.append(whole, np.zeros(wide, np.uint8))[take]
                 grid[np.arange(wide) >= (right - left)[:, None]] = 0
-                key = np.concatenate([grid, (right - left).astype(np.uint8)[:, None], to.astype("<u4").view(np.uint8).reshape(-1, 4)], 1)
-                _, first, own = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
                 by = np.argsort(to, kind="stable")
+                rows = []
                 for some in np.split(by, np.flatnonzero(to[by][1:] != to[by][:-1]) + 1):
-                    kinds, mine = np.unique(own[some], return_inverse=True)
-                    f = first[kinds]
-                    where = np.stack([np.asarray(ids, np.int64)[doc[some]], doc[some], left[some], mine]).astype("<i8")
-                    yield pd.DataFrame({"bucket": [to[some[0]]], "chunk": [chunk], "length": [(right - left)[f].astype(np.uint8).tobytes()], "text": [_zip(grid[f].tobytes())], "at": [_zip(where.tobytes())]})
+                    where = np.stack([np.asarray(ids, np.int64)[doc[some]], doc[some], left[some]])
+                    place = np.stack([right[some] - left[some], pos[some] - left[some]]).astype(np.uint8)
+                    rows.append((int(to[some[0]]), chunk, place.tobytes(), _zip(grid[some].tobytes()), _planes(where)))
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "place", "text", "at"])
 
     return run
 
@@ -291,62 +324,78 @@ def _strings(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(text[at[:, None] + np.arange(WINDOW)]).view(f"V{WINDOW}").ravel()
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First occurrence of each distinct row of bytes, and the number of each row's. Sorts by a hash, compares bytes."""
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    words = words.view(np.uint64)
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(words.shape[1]):
+        h = (h ^ words[:, k]) * MULT[k % 5]
+        h ^= h >> np.uint64(29)
+    order = np.argsort(h, kind="stable")
+    same = (words[order[1:]] == words[order[:-1]]).all(1)
+    if (~same & (h[order[1:]] == h[order[:-1]])).any():
+        _, first, own = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        return first, own
+    new = np.append(True, ~same)[: len(rows)]
+    own = np.empty(len(rows), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return order[new], own
+
+
 def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, the covered stretch of each occurrence: texts are read in shards of bounded size, each with its
-    own suffix array, merged by binary search in the sorted windows of those before."""
+    """Of one bucket, the covered stretch of each occurrence. Where all texts around a gram are the same bytes, the
+    smallest document keeps them. The others are read in shards of bounded size, each with its own suffix array, and
+    merged by binary search in each other's sorted windows."""
     wide = REACH + WINDOW
-    parts = []
-    for text, length, at in zip(pdf["text"], pdf["length"], pdf["at"], strict=True):
-        where = np.frombuffer(_unzip(at), "<i8").reshape(4, -1)
-        n = np.frombuffer(length, np.uint8).astype(np.int64)
-        low = np.full(len(n), np.iinfo(np.int64).max)
-        np.minimum.at(low, where[3], where[0])
-        parts.append((np.frombuffer(_unzip(text), np.uint8).reshape(-1, wide), n, low, where))
-    shards, held, size = [], [], 0
-    for k, p in enumerate(parts):
-        held.append(k)
-        size += p[0].size
-        if size >= SHARD_BYTES or k == len(parts) - 1:
-            shards.append(held)
-            held, size = [], 0
-    done = []
-    for shard in shards:
-        rows = np.concatenate([parts[k][0] for k in shard])
-        key = np.concatenate([rows, np.concatenate([parts[k][1] for k in shard]).astype(np.uint8)[:, None]], 1)
-        _, first, own = np.unique(np.ascontiguousarray(key).view(f"V{wide + 1}").ravel(), return_index=True, return_inverse=True)
-        low = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(low, own, np.concatenate([parts[k][2] for k in shard]))
-        length = np.concatenate([parts[k][1] for k in shard])[first]
-        head, least, index, text = _windows(rows[first], length, low)
-        done.append([shard, own, index, least, _strings(text, head) if len(shards) > 1 else None])
-    for a in range(len(done)):  # every shard's windows are sought in each other shard's sorted ones
-        for b in range(len(done)):
-            if a != b and len(done[a][4]) and len(done[b][4]):
-                at = np.minimum(np.searchsorted(done[b][4], done[a][4]), len(done[b][4]) - 1)
-                same = done[b][4][at] == done[a][4]
-                done[a][3][same] = np.minimum(done[a][3][same], done[b][3][at[same]])
+    most = np.iinfo(np.int64).max
+    text = np.concatenate([np.frombuffer(_unzip(x), np.uint8).reshape(-1, wide) for x in pdf["text"]])
+    length, offset = np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in pdf["place"]], 1)
+    parts = [_columns(x, 3) for x in pdf["at"]]
+    part = np.repeat(np.arange(len(parts)), [x.shape[1] for x in parts])
+    ids, doc, left = np.concatenate(parts, 1)
+    first, own = _distinct(np.concatenate([text, length[:, None], offset[:, None]], 1))
+    low = np.full(len(first), most)
+    np.minimum.at(low, own, ids)
+    text, length, offset = text[first], length[first].astype(np.int64), offset[first].astype(np.int64)
+    _, gram = _distinct(text[np.arange(len(text))[:, None], offset[:, None] + np.arange(GRAM)])
+    several = np.bincount(gram)[gram] > 1
+    begin, end = np.zeros(len(ids), np.int64), np.where(ids > low[own], length[own], 0)  # of each occurrence
+    hard = np.flatnonzero(several)
+    if len(hard):
+        done = []
+        for shard in np.array_split(hard, -(-len(hard) * wide // SHARD_BYTES)):
+            head, least, index, flat = _windows(text[shard], length[shard], low[shard])
+            done.append([shard, index, least, _strings(flat, head) if len(hard) > len(shard) else None])
+        for a in range(len(done)):  # every shard's windows are sought in each other shard's sorted ones
+            for b in range(len(done)):
+                if a != b and len(done[a][3]) and len(done[b][3]):
+                    at = np.minimum(np.searchsorted(done[b][3], done[a][3]), len(done[b][3]) - 1)
+                    same = done[b][3][at] == done[a][3]
+                    done[a][2][same] = np.minimum(done[a][2][same], done[b][2][at[same]])
+        keeper = np.full((len(text), REACH + 1), most)
+        for shard, index, least, _ in done:
+            window = index[:, : REACH + 1]
+            keeper[shard] = np.where(window >= 0, least[np.maximum(window, 0)], most)
+        some = np.flatnonzero(several[own])
+        gone = keeper[own[some]] < ids[some, None]
+        begin[some] = gone.argmax(1)
+        end[some] = np.where(gone.any(1), REACH + WINDOW - gone[:, ::-1].argmax(1), 0)
     out = []
-    for shard, own, index, least, _ in done:
-        cut = np.append(0, np.cumsum([len(parts[k][1]) for k in shard]))
-        for k, a, b in zip(shard, cut, cut[1:], strict=False):
-            ids, doc, left, kind = parts[k][3]
-            window = index[own[a:b]][kind][:, : REACH + 1]
-            gone = (window >= 0) & (least[np.maximum(window, 0)] < ids[:, None])
-            some = np.flatnonzero(gone.any(1))
-            if len(some):
-                first = gone[some].argmax(1)
-                last = gone.shape[1] - 1 - gone[some][:, ::-1].argmax(1)
-                spans = np.stack([doc[some], left[some] + first, left[some] + last + WINDOW]).astype("<i8")
-                out.append((pdf["chunk"].iloc[k], _zip(spans.tobytes())))
+    for k in np.unique(part[end > 0]):
+        on = (part == k) & (end > 0)
+        out.append((pdf["chunk"].iloc[k], _planes(np.stack([doc[on], left[on] + begin[on], left[on] + end[on]]))))
     return pd.DataFrame(out, columns=["chunk", "spans"])
 
 
 def _removed(want_text: bool) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, sizes, body, extra, spans in zip(batch["ids"], batch["sizes"], batch["body"], batch["extra"], batch["spans"], strict=True):
+            for ids, sizes, body, extra, copies, spans in zip(batch["ids"], batch["sizes"], batch["body"], batch["extra"], batch["copies"], batch["spans"], strict=True):
+                skip = set() if copies is None else set(copies)
                 texts = _texts(body, sizes)
-                found = [np.frombuffer(_unzip(s), "<i8").reshape(3, -1) for s in ([] if spans is None else spans)]
+                found = [_columns(s, 3) for s in ([] if spans is None else spans)]
                 doc, a, b = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
                 by = np.argsort(doc, kind="stable")
                 doc, a, b = doc[by], a[by], b[by]
@@ -357,6 +406,8 @@ def _removed(want_text: bool) -> Callable:
                     np.add.at(gone, a[cut[k] : cut[k + 1]], 1)
                     np.add.at(gone, b[cut[k] : cut[k + 1]], -1)
                     hit = np.cumsum(gone)[:-1] > 0
+                    if k in skip and len(t) >= WINDOW:
+                        hit[:] = True
                     left = t[~hit].tobytes()
                     runs = int((np.diff(np.append(0, hit.astype(np.int8))) == 1).sum())
                     rows.append((ids[k], len(t), int(hit.sum()), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if want_text else None, extra[k]))
@@ -374,18 +425,23 @@ def repeated_passages(docs: DataFrame, want_text: bool = True, extra: str | None
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (F.col(extra) if extra else F.lit(None).cast("string")).alias("extra"))
-    packed = "chunk long, ids array<long>, sizes array<int>, extra array<string>, raw long, body binary"
+    packed = "chunk long, marks array<binary>, ids array<long>, sizes array<int>, extra array<string>, raw long, body binary"
     chunks = stage_table(bounded_batches(docs.where("doc_id is not null")).mapInPandas(_chunks, packed), "chunks")
     raw = chunks.agg(F.sum("raw")).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-raw // BUCKET_BYTES))
+    # A text that a smaller document has, too, loses all that it can; only the first is searched.
+    each = chunks.select("chunk", F.posexplode(F.arrays_zip("marks", "ids")).alias("k", "x")).select("chunk", "k", F.col("x.marks").alias("mark"), F.col("x.ids").alias("id"))
+    least = stage_table(each.groupBy("mark").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "marks")
+    copies = each.join(least, "mark").where("id > least").groupBy("chunk").agg(F.collect_list("k").alias("copies"))
+    copies = stage_table(copies, "copies")
     told = chunks.select("chunk", "sizes", "body").mapInPandas(_announce(buckets), "bucket long, chunk long, h binary")
     both = told.groupBy("bucket").applyInPandas(_shared, "chunk long, bucket long, h binary")
     shared = both.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "h")).alias("shared"))
-    near = chunks.select("chunk", "ids", "sizes", "body").join(shared, "chunk", "left").mapInPandas(_surroundings(buckets), "bucket long, chunk long, length binary, text binary, at binary")
+    near = chunks.select("chunk", "ids", "sizes", "body").join(shared.join(copies.hint("merge"), "chunk", "left"), "chunk", "left").mapInPandas(_surroundings(buckets), "bucket long, chunk long, place binary, text binary, at binary")
     spans = near.groupBy("bucket").applyInPandas(_judge, "chunk long, spans binary")
     spans = spans.groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, extra string"
-    out = chunks.join(spans, "chunk", "left").select("ids", "sizes", "body", "extra", "spans").mapInPandas(_removed(want_text), schema)
+    out = chunks.join(spans.join(copies.hint("merge"), "chunk", "full_outer"), "chunk", "left").select("ids", "sizes", "body", "extra", "copies", "spans").mapInPandas(_removed(want_text), schema)
     text = F.coalesce(F.col("text"), F.lit(""))
     zero = F.lit(0).cast("long")
     lone = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), text.alias("text"), "extra")
