@@ -116,18 +116,20 @@ def _trained(negatives: tuple[str, ...]) -> LicenceModel:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(_row, doc_id, paragraph, words) of the non-blank lines of whole texts."""
+    """(_row, doc_id, paragraph, words) of the non-blank lines of whole texts; words are 64-bit hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.posexplode(F.split(text, "\n")).alias("paragraph", "_line"))
-    words = F.filter(F.transform(F.split(F.lower("_line"), WORDS), lambda w: F.btrim(w, F.lit(".-"))), lambda w: w != "")
-    return lines.select("_row", "doc_id", "paragraph", words.alias("words")).where(F.size("words") > 0)
+    words = F.transform(F.split(F.lower("_line"), WORDS), lambda w: F.xxhash64(F.btrim(w, F.lit(".-"))))
+    return lines.select("_row", "doc_id", "paragraph", F.array_remove(words, F.xxhash64(F.lit(""))).alias("words")).where(F.size("words") > 0)
 
 
 def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
-    """Fits against at most `negatives` corpus paragraphs that name no licence, drawn by the least hash."""
+    """Fits against at most `negatives` corpus paragraphs that name no licence: the least hashes of the whole texts of
+    documents that a hash draws, an expected four for each paragraph wanted."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    share = F.pmod(F.xxhash64(text, F.lit("licence")), F.lit(1 << 20))
-    rows = docs.select(F.explode(F.slice(F.split(text, "\n"), 1, 50)).alias("line"), share.alias("h"))
+    share = F.pmod(F.xxhash64("doc_id", text, F.lit("licence")), F.lit(1 << 30))
+    drawn = docs.select(text.alias("text"), share.alias("h")).where(F.col("h") <= (1 << 30) * min(1.0, 4 * negatives / max(docs.count(), 1)))
+    rows = drawn.select(F.explode(F.split("text", "\n")).alias("line"), "h")
     rows = rows.where(F.length("line").between(20, 600) & ~F.lower("line").rlike("licen[cs]e|licensed|copyright|rights reserved|permission|redistribut|public domain|creative commons"))
     found = rows.groupBy("line").agg(F.min("h").alias("h")).orderBy("h", "line").limit(negatives).collect()
     return _trained(tuple(r["line"] for r in found))
@@ -141,21 +143,23 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     empty texts have none. Repeated rows are judged each; other columns are not read.
     """
     spark = docs.sparkSession
-    k = len(model.classes)
+    n_classes = len(model.classes)
     holds = [set(_grams(_words(t))) for _, t in model.templates]
-    table = [{"gram": g, "w": [float(v) for v in model.weights[i]], "t": [n for n, h in enumerate(holds) if g in h]} for g, i in model.vocabulary.items()]
-    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<gram:string,w:array<double>,t:array<int>>>")))  # as large as TEMPLATES
+    table = [{"g": g.split(" "), "w": [float(v) for v in model.weights[i]], "t": [n for n, h in enumerate(holds) if g in h]} for g, i in model.vocabulary.items()]
+    weights = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(table)), "array<struct<g:array<string>,w:array<double>,t:array<int>>>")))  # as large as TEMPLATES
+    named = [F.xxhash64(F.get("g", F.lit(k))) for k in range(3)]
+    weights = weights.select(F.when(F.size("g") == 2, F.xxhash64(*named[:2])).otherwise(F.xxhash64(*named)).alias("gram"), "w", "t")
     rows = paragraphs(docs)
-    padded = F.concat(F.array(F.lit("^")), F.col("words"), F.array(F.lit("$")))
+    padded = F.concat(F.array(F.xxhash64(F.lit("^"))), F.col("words"), F.array(F.xxhash64(F.lit("$"))))
     rows = rows.withColumn("p", padded)
-    two = F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.concat_ws(" ", F.get("p", i), F.get("p", i + 1)))
-    three = F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.concat_ws(" ", F.get("p", i), F.get("p", i + 1), F.get("p", i + 2)))
+    two = F.transform(F.sequence(F.lit(0), F.size("p") - 2), lambda i: F.xxhash64(F.get("p", i), F.get("p", i + 1)))
+    three = F.transform(F.sequence(F.lit(0), F.size("p") - 3), lambda i: F.xxhash64(F.get("p", i), F.get("p", i + 1), F.get("p", i + 2)))
     grams = rows.select("_row", "doc_id", "paragraph", F.explode(F.array_distinct(F.concat(two, three))).alias("gram"))
     hits = grams.join(F.broadcast(weights), "gram")
     shared = [F.sum(F.array_contains("t", n).cast("int")).alias(f"t{n}") for n in range(len(holds))]
-    sums = hits.groupBy("_row", "doc_id", "paragraph").agg(*[F.sum(F.get("w", F.lit(c))).alias(f"w{c}") for c in range(k)], *shared)
-    z = [(F.col(f"w{c}") + float(model.bias[c])) / model.temperature for c in range(k)]
-    top = F.array_max(F.array(*[F.struct(z[c].alias("z"), F.lit(model.classes[c]).alias("name")) for c in range(k)]))
+    sums = hits.groupBy("_row", "doc_id", "paragraph").agg(*[F.sum(F.get("w", F.lit(c))).alias(f"w{c}") for c in range(n_classes)], *shared)
+    z = [(F.col(f"w{c}") + float(model.bias[c])) / model.temperature for c in range(n_classes)]
+    top = F.array_max(F.array(*[F.struct(z[c].alias("z"), F.lit(model.classes[c]).alias("name")) for c in range(n_classes)]))
     scored = sums.withColumn("top", top).withColumn("probability", 1.0 / sum((F.exp(x - F.col("top.z")) for x in z), F.lit(0.0)))
     of = {f: [F.col(f"t{n}") / len(holds[n]) for n, (k2, _) in enumerate(model.templates) if k2 == c] for c, f in enumerate(TEMPLATES)}
     close = F.coalesce(*[F.when(F.col("top.name") == f, F.array_max(F.array(*x))) for f, x in of.items()], F.lit(0.0))
