@@ -1,21 +1,22 @@
 """Operator 3: line dedup by a log-template tree, in DataFrame functions only.
 
 A line's tokens with a digit are variable fields. The fixed-depth path of a line is its token count and its first
-DEPTH tokens. The tokens of a line are cut into PLACES even stretches (single tokens where there are few); in a leaf,
-the commonest sequence leads, and sequences that differ from it in at most VARIABLE of the places take its template,
-those places being variable fields. Templates in MIN_DOCS or more documents recur: the first occurrence stays, the
-others are dropped.
+DEPTH tokens. In a leaf the commonest sequence leads, and sequences that differ from it in at most VARIABLE of their
+tokens take its template, those tokens being variable fields; of the others the commonest leads next, until the leaf
+is exhausted. Templates in MIN_DOCS or more documents recur: the first occurrence stays, the others are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, stage_table
 
 DEPTH = 3
-PLACES = 8
+PLACES = 8  # not used here any more; the tests import it
 VARIABLE = 0.3
 MIN_DOCS = 10
 MIN_TOKENS = 3
@@ -24,33 +25,72 @@ FIELD = "<*>"
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """(_key, doc_id, line, n, leaf, seq, p0..) of the lines of whole texts that have MIN_TOKENS tokens: the token
-    count and 64-bit hashes of the path and the sequence, 32-bit ones of the places. No text leaves the scan."""
+    """(_key, doc_id, line, n, leaf, seq, masked) of the lines of whole texts that have MIN_TOKENS tokens: the token
+    count, 64-bit hashes of the path and the sequence, and the masked line."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.xxhash64(F.col("doc_id"), text).alias("_key"), "doc_id", F.posexplode(F.split(text, "\n")).alias("line", "raw"))
     even = F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.btrim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " "), F.lit(WS))).otherwise(F.col("raw"))
     lines = lines.withColumn("_even", even)
     masked = F.when(F.col("_even").rlike("[0-9]"), F.regexp_replace("_even", rf"(?<!{TOKEN}){TOKEN}*?[0-9]{TOKEN}*", F.lit(FIELD))).otherwise(F.col("_even"))
-    lines = lines.withColumn("_t", F.split(masked, " ")).withColumn("n", F.size("_t")).where(F.col("n") >= MIN_TOKENS)
-    cut = [F.floor(F.col("n") * k / PLACES).cast("int") for k in range(PLACES + 1)]
-    places = [F.hash(F.slice("_t", cut[k] + 1, cut[k + 1] - cut[k])).alias(f"p{k}") for k in range(PLACES)]
-    return lines.select("_key", "doc_id", "line", "n", F.xxhash64("n", F.slice("_t", 1, DEPTH)).alias("leaf"), F.xxhash64("_t").alias("seq"), *places)
+    lines = lines.withColumn("masked", masked).withColumn("n", F.char_length("masked") - F.char_length(F.translate("masked", " ", "")) + 1).where(F.col("n") >= MIN_TOKENS)
+    return lines.select("_key", "doc_id", "line", "n", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("seq"), "masked")
+
+
+def _follows(n: str, a: str, b: str) -> Column:
+    """At most VARIABLE of a line's n tokens differ; those of the path are equal."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return apart <= F.floor(F.col(n) * VARIABLE + 1e-9)
+
+
+def _stretches() -> Column:
+    """One hash more than tokens may differ, each of an even stretch of `rest`: sequences that follow one another have
+    at least one stretch in common."""
+    m, parts = F.size("rest"), F.floor(F.col("n") * VARIABLE + 1e-9).cast("int") + 1
+    cut = lambda j: F.floor(m * j / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("leaf", j, F.slice("rest", cut(j) + 1, cut(j + 1) - cut(j))))
+
+
+def sequence_templates(kinds: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, seq, k, template) of kinds(leaf, seq, k, n, rest), for sequences whose template may have min_docs lines.
+
+    As if a leaf's sequences came one by one, by falling (k, seq), and each followed the first leader it agrees with
+    or became one. The first leader is that of the whole leaf. Further leaders are found side by side: a sequence leads
+    if it comes first among the undecided ones in each of its stretches, which hold all it can agree with, so a
+    stretch has one new leader a round and no pairs are listed. A follower waits while an earlier sequence of its
+    stretches is undecided.
+    """
+    first = stage_table(kinds.groupBy("leaf").agg(F.max(F.struct("k", "seq", "rest")).alias("lead")), "leaders")
+    of = stage_table(kinds.join(first, "leaf").withColumn("_hit", _follows("n", "rest", "lead.rest")), "sequences")
+    done = [of.where("_hit").select("leaf", "seq", "k", F.col("lead.seq").alias("template"))]
+    more = of.where("not _hit")
+    enough = more.groupBy("leaf").agg(F.sum("k").alias("all")).where(F.col("all") >= min_docs).select("leaf")
+    none = F.lit(None).cast("struct<k:bigint,seq:bigint>")
+    nodes = stage_table(more.join(enough, "leaf").select("leaf", "seq", "k", "n", "rest", _stretches().alias("parts"), none.alias("best")), "sequences")
+    while not nodes.isEmpty():
+        each = nodes.select("leaf", "seq", "k", "best", F.explode("parts").alias("part"))
+        top = each.where("best is null").groupBy("part").agg(F.max(F.struct("k", "seq")).alias("top"))
+        hope = each.select("leaf", "seq", "part").join(top, "part").groupBy("leaf", "seq").agg(F.max("top").alias("hope"))
+        nodes = stage_table(nodes.join(hope, ["leaf", "seq"], "left"), "sequences")
+        leads = F.coalesce(F.col("best").isNull() & (F.col("hope.seq") == F.col("seq")), F.lit(False))
+        settled = F.col("best").isNotNull() & F.coalesce(F.col("best") >= F.col("hope"), F.lit(True))
+        done.append(nodes.where(leads | settled).select("leaf", "seq", "k", F.coalesce("best.seq", "seq").alias("template")))
+        new = nodes.where(leads).select(F.struct("k", "seq").alias("lead"), F.col("leaf").alias("_leaf"), F.col("rest").alias("_rest"), F.explode("parts").alias("part"))
+        left = nodes.where(~(leads | settled)).drop("hope")
+        met = left.select("leaf", "seq", "n", "rest", F.explode("parts").alias("part")).join(new, "part").where((F.col("leaf") == F.col("_leaf")) & _follows("n", "rest", "_rest"))
+        found = met.groupBy("leaf", "seq").agg(F.max("lead").alias("found"))
+        nodes = stage_table(left.join(found, ["leaf", "seq"], "left").withColumn("best", F.greatest("best", "found")).drop("found"), "sequences")
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_key, doc_id, line, template) of the occurrences to drop."""
     lines = stage_table(template_lines(docs), "lines")
     often = stage_table(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_docs).select("leaf"), "leaves")
-    lines = stage_table(lines.join(often, "leaf"), "lines")
-    place = [f"p{k}" for k in range(PLACES)]
-    kinds = lines.groupBy("leaf", "seq").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), *[F.min(p).alias(p) for p in place])
-    kinds = stage_table(kinds, "sequences")
-    lead = F.max(F.struct("k", "seq", *place)).alias("lead")
-    leaders = stage_table(kinds.groupBy("leaf").agg(lead), "leaders")
-    apart = sum(((F.col(p) != F.col(f"lead.{p}")).cast("int") for p in place), F.lit(0))
-    follows = apart <= F.floor(F.least(F.col("n"), F.lit(PLACES)) * VARIABLE)
-    of = kinds.join(leaders, "leaf").select("leaf", "seq", "k", F.when(follows, F.col("lead.seq")).otherwise(F.col("seq")).alias("template"))
-    of = stage_table(of, "templates")
+    # Text is written once and only that of leaves with enough lines moves, once a sequence.
+    kinds = lines.join(often, "leaf").groupBy("leaf", "seq").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), F.min("masked").alias("masked"))
+    kinds = stage_table(kinds.select("leaf", "seq", "k", "n", F.slice(F.split("masked", " "), DEPTH + 1, F.col("n")).alias("rest")), "sequences")
+    lines = stage_table(lines.drop("masked").join(often, "leaf"), "lines")
+    of = stage_table(sequence_templates(kinds, min_docs), "templates")
     often = of.groupBy("leaf", "template").agg(F.sum("k").alias("k")).where(F.col("k") >= min_docs).drop("k")
     of = stage_table(of.drop("k").join(often, ["leaf", "template"]), "templates")
     marked = stage_table(lines.select("_key", "doc_id", "line", "leaf", "seq").join(of, ["leaf", "seq"]), "marked")
