@@ -19,7 +19,7 @@ DEPTH = 3
 PLACES = 8  # not used here any more; the tests import it
 VARIABLE = 0.3
 MIN_DOCS = 10
-MIN_TOKENS = 3
+MIN_TOKENS = 1  # shorter paths than DEPTH are whole lines: these match exactly after masking
 TOKEN = r"[^\x20\x09-\x0D]"
 FIELD = "<*>"
 
@@ -32,7 +32,7 @@ def template_lines(docs: DataFrame) -> DataFrame:
     even = F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.btrim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " "), F.lit(WS))).otherwise(F.col("raw"))
     lines = lines.withColumn("_even", even)
     masked = F.when(F.col("_even").rlike("[0-9]"), F.regexp_replace("_even", rf"(?<!{TOKEN}){TOKEN}*?[0-9]{TOKEN}*", F.lit(FIELD))).otherwise(F.col("_even"))
-    lines = lines.withColumn("masked", masked).withColumn("n", F.char_length("masked") - F.char_length(F.translate("masked", " ", "")) + 1).where(F.col("n") >= MIN_TOKENS)
+    lines = lines.withColumn("masked", masked).withColumn("n", F.char_length("masked") - F.char_length(F.translate("masked", " ", "")) + 1).where((F.col("masked") != "") & (F.col("n") >= MIN_TOKENS))
     return lines.select("_key", "doc_id", "line", "n", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("seq"), "masked")
 
 
@@ -103,7 +103,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of documents(doc_id, text, ...) with the text less its dropped lines, n_lines and n_dropped.
 
-    Null text stays null and has no lines; empty lines and lines of fewer than MIN_TOKENS tokens stay. The first
+    Null text stays null and has no lines; blank lines stay. The first
     occurrence is that of the smallest doc_id (null first) and line number; fully equal rows count as one document
     and get equal results. n_lines and n_dropped replace columns of the same names.
     """

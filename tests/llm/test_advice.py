@@ -66,3 +66,8 @@ def test_lines_equal_leaders_one_by_one(spark):
         gone |= {k for p in places.values() if len(p) >= 10 for k in p[1:]}
     got = lines_of(spark, lines)
     assert {k for k, n in got.items() if n} == gone and 15 < len(gone) < len(lines) - 10, (len(gone), len({k for k, n in got.items() if n} ^ gone))
+
+
+def test_lines_of_one_and_two_tokens(spark):
+    got = lines_of(spark, [f"Advertisement\n\n{NAMES[k]}\nPage {k}\nRead {NAMES[k]}" for k in range(20)])
+    assert sorted(got.values()) == [0] + [2] * 19 and got[0] == 0
