@@ -4,6 +4,7 @@ switching penalty labels the spans of mixed-language text; the language of most
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ LONGEST = 4
 PENALTY = 6.0
 CACHED_WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
+PIECE = 64  # letters of a run that are scored as one word at most
 #: First code points of script ranges and their names (fixed values, in order).
 SCRIPTS = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C00, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE70, "arabic"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0x10000, "other"), (0x20000, "han"), (0x32000, "other")]
 STARTS = [s for s, _ in SCRIPTS]
@@ -32,6 +34,29 @@ def script(c: str) -> str:
     return SCRIPTS[max(0, bisect.bisect_right(STARTS, ord(c)) - 1)][1]
 
 
+@functools.lru_cache(maxsize=100_000)
+def pieces(run: str) -> tuple[str, ...]:
+    """A run of letters, cut where the script changes and after each PIECE letters, so that every letter is scored."""
+    if run.isascii() and len(run) <= PIECE:
+        return (run,)
+    out, start, now = [], 0, script(run[0])
+    for i, c in enumerate(run):
+        at = script(c)
+        if at != now or i - start == PIECE:
+            out.append(run[start:i])
+            start, now = i, at
+    return (*out, run[start:])
+
+
+def piece_pattern() -> str:
+    """The same pieces as a Java pattern."""
+    ranges: dict[str, str] = defaultdict(str)
+    for k, (first, name) in enumerate(SCRIPTS):
+        last = STARTS[k + 1] - 1 if k + 1 < len(SCRIPTS) else 0x10FFFF
+        ranges[name] += rf"\x{{{first:X}}}-\x{{{last:X}}}"
+    return "(" + "|".join(rf"[{x}&&[\p{{L}}]]{{1,{PIECE}}}" for x in ranges.values()) + ")"
+
+
 def grams(word: str) -> list[str]:
     w = f" {word} "
     return [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1]
@@ -59,7 +84,7 @@ class Model:
     def score(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word; languages without the word's script are out, unless all would be."""
         none = len(self.index)
-        lists = [[self.index.get(g, none) for g in grams(w[:64])] for w in words]
+        lists = [[self.index.get(g, none) for g in grams(w)] for w in words]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((g for x in lists for g in x), np.int64, int(sizes.sum()))
         sums = np.add.reduceat(self.weights[flat], np.append(0, np.cumsum(sizes)[:-1]))
@@ -107,7 +132,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     n = usable.count()
     share = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("train")), 11) / float(1 << 53)
     rows = usable.where(share < train_docs / n) if n > train_docs else usable
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word")).where("length(word) <= 64")
+    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(piece_pattern()))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     kept = counts.withColumn("r", rank).where(F.col("r") <= TRAIN_WORDS)
@@ -125,7 +150,7 @@ def _label(model: Model | None, penalty: float, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = np.empty((0, len(model.languages)), np.float32) if model else None
         for batch in batches:
-            words = [WORD.findall((t or "").lower()) for t in batch.column(0).to_pylist()]
+            words = [[p for run in WORD.findall((t or "").lower()) for p in (pieces(run) if len(run) <= PIECE else pieces.__wrapped__(run))] for t in batch.column(0).to_pylist()]
             sizes = np.fromiter(map(len, words), np.int64, len(words))
 
             def told(names: list[str], score: np.ndarray, found: list, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
@@ -173,8 +198,8 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, spa
 
     `und` with score 0 where the text is null or has no letters, or nothing was there to learn from. Else the language
     of most letters after labelling; score is the mean probability that a letter's word gives it. spans: runs of
-    words of one language. Only the text is looked at; equal rows get equal results; columns of the new names are
-    replaced.
+    words of one language, where a run of letters counts as one word for each of its pieces. Only the text is
+    looked at; equal rows get equal results; columns of the new names are replaced.
     """
     docs = bounded_batches(docs).drop("lang_pred", "score", "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -4,6 +4,7 @@ import random
 
 import xxhash
 
+from pagewright.llm.language import PIECE, Model, identify, identify_documents, piece_pattern, pieces
 from pagewright.llm.lines import VARIABLE, drop_recurring_lines
 
 RNG = random.Random(23)
@@ -71,3 +72,24 @@ def test_lines_equal_leaders_one_by_one(spark):
 def test_lines_of_one_and_two_tokens(spark):
     got = lines_of(spark, [f"Advertisement\n\n{NAMES[k]}\nPage {k}\nRead {NAMES[k]}" for k in range(20)])
     assert sorted(got.values()) == [0] + [2] * 19 and got[0] == 0
+
+
+def test_language_scores_every_letter_of_a_long_run(spark):
+    a, b = ["thand", "there", "worth"], ["çãodor", "ñaque", "lleía"]
+    model = Model([("xx", w, 5) for w in a] + [("yy", w, 5) for w in b])
+    run = "".join(RNG.choice(a) for _ in range(26)) + "".join(RNG.choice(b) for _ in range(120))
+    got = identify(spark.createDataFrame([(1, run)], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "yy" and [x.lang for x in got.spans] == ["xx", "yy"]
+
+
+def test_language_learns_from_long_runs(spark):
+    rows = [(k, "".join(RNG.choice(("thand", "there")) for _ in range(40)) if k % 2 else " ".join(RNG.choice(("dor", "que")) for _ in range(40)), "xx" if k % 2 else "yy") for k in range(60)]
+    got = {r.doc_id: r.lang_pred for r in identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k] == ("xx" if k % 2 else "yy") for k in range(60))
+
+
+def test_language_pieces_are_the_same_in_both_engines(spark):
+    texts = ["latinкириллица漢字かな" + "字" * 150 + "abc한글", "a" * 200, "plain words"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(f"regexp_extract_all(t, r'{piece_pattern()}') AS p").collect()
+    for t, r in zip(texts, rows, strict=True):
+        assert r.p == [p for w in t.split() for p in pieces(w)] and max(map(len, r.p)) <= PIECE
