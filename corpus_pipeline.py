@@ -23,6 +23,8 @@ from pagewright.llm.suffix import repeated_passages
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+NEAR_SHINGLE = 5  # words; op9 has its own
+
 #: Scratch tables of the stage planned last.
 _scratch: list[str] = []
 
@@ -62,7 +64,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    kept = stage_table(near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    kept = stage_table(near_duplicates(docs, NEAR_SHINGLE).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 

@@ -79,10 +79,10 @@ def _groups(mins: np.ndarray, count: int, rows: int, salt: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     flip, times = _permutations()
     for batch in batches:
-        sets = [shingles(t) for t in batch["text"]]
+        sets = [shingles(t, size) for t in batch["text"]]
         size = np.array([len(s) for s in sets])
         mins = np.zeros((len(sets), MINHASHES), np.uint64)
         some = np.flatnonzero(size)
@@ -99,9 +99,9 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": size.astype(np.int64), "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "s0": sketch[0], "s1": sketch[1], "s2": sketch[2], "s3": sketch[3], "left": list(left), "right": list(right)})
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingles(t).view(np.int64) for t in batch["text"]]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingles(t, size).view(np.int64) for t in batch["text"]]})
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,8 +163,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(_may(common, F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of documents(doc_id, text).
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of documents(doc_id, text), by shingles of `size` words.
 
     Equal sets become one class; links join class representatives. Every bucket's members are confirmed against the
     bucket's best-supported member; members still in other components are then confirmed against all others of the
@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     schema = "doc_id string, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, left array<long>, right array<long>"
     # As text, ids stay exact beside nulls, which pandas would hold as floats.
     named = bounded_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    sketches = stage_table(named.mapInPandas(_sketches, schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
+    sketches = stage_table(named.mapInPandas(lambda b: _sketches(b, size), schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = stage_table(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Texts move once: whoever may be confirmed later is a star's end or shares a bucket with two others.
     need = hits.where("size > 2").select("doc_id").union(stars.select("a")).union(stars.select("b")).distinct()
     wanted = texts.join(need.hint("merge"), "doc_id", "left_semi")
-    sets = stage_table(bounded_batches(wanted).mapInPandas(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = stage_table(bounded_batches(wanted).mapInPandas(lambda b: _sets(b, size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
     links = stage_table(confirmed(stars, sets), "links")
     found = stage_table(connected_components(links), "found")
     rest = _unresolved(hits, hubs, found, marks, sets)

@@ -2,10 +2,12 @@
 
 import random
 
+import corpus_pipeline
 import xxhash
 
 from pagewright.llm.language import PIECE, Model, identify, identify_documents, piece_pattern, pieces
 from pagewright.llm.lines import VARIABLE, drop_recurring_lines
+from pagewright.llm.near import near_duplicates
 
 RNG = random.Random(23)
 LETTERS = "abcdefghijklmnoprstuvw"
@@ -93,3 +95,12 @@ def test_language_pieces_are_the_same_in_both_engines(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(f"regexp_extract_all(t, r'{piece_pattern()}') AS p").collect()
     for t, r in zip(texts, rows, strict=True):
         assert r.p == [p for w in t.split() for p in pieces(w)] and max(map(len, r.p)) <= PIECE
+
+
+def test_near_stage_takes_five_words(spark):
+    base = [NAMES[k] for k in range(200)]
+    other = [f"new{k}" if k in (20, 60, 100, 140, 180) else w for k, w in enumerate(base)]  # 0.82 by four words, 0.77 by five
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(other), "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, df, "").collect()) == [1, 2]
+    assert {r.component_id for r in near_duplicates(df).collect()} == {1}
