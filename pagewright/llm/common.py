@@ -88,28 +88,22 @@ def numbered(df: DataFrame, within: list[str], order: list[str], out: str, chunk
     return ranked.join(offsets, key).withColumn(out, (F.col("_offset") + F.col("_rank")).cast("long")).drop("_chunk", "_offset", "_rank")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each written to the shared folder, until the
     edges no longer change. Neighbour minima are aggregates, so a hub of any degree is combined before the shuffle.
     """
-    spark = edges.sparkSession
     cur = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    for _ in range(rounds):
+    before, now = None, ()
+    while now != before:
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         cur = stage_table(small.select("e.*").where("u <> v").distinct(), "edges")
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components have not settled")
+        before, now = now, tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     found = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return found.unionByName(roots.join(found, "node", "left_anti"))

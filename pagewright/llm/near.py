@@ -1,8 +1,9 @@
 """Operator 9: near-duplicates by MinHash with tensored banding, confirmed on full shingle sets.
 
 Two small collections of hash groups, LEFT x LEFT_ROWS and RIGHT x RIGHT_ROWS minhashes, are computed for a document;
-each pair of a left and a right group forms a table key. So 52 minhashes give 96 tables of five rows, which would
-otherwise take 480. A pair at similarity 0.8 shares no key with probability below 0.0005.
+each pair of a left and a right group forms a table key. So 62 minhashes give 140 tables of five rows, which would
+otherwise take 700. A pair at similarity 0.8 shares no key with probability below 0.0001; that is the only place
+where a link can be missed. All that follows is exact: bounds that refuse a pair hold for whole sets.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ from .common import bounded_batches, connected_components, stage_table
 
 SHINGLE = 4
 PERCENT = 80
-LEFT, LEFT_ROWS = 8, 2
-RIGHT, RIGHT_ROWS = 12, 3
+LEFT, LEFT_ROWS = 10, 2
+RIGHT, RIGHT_ROWS = 14, 3
 MINHASHES = LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS
-#: Pairs whose 4-bit sketches differ in more of the 52 places aren't confirmed: at similarity 0.8 that is under 1e-7.
-SKETCH_APART = 26
-CROWDED = 32
+BITS = 8  # 64-bit words of marks that travel with a document
+CROWDED = 32  # members beyond which a bucket meets in blocks instead of by a join; the result is the same
 BLOCK = 256
-MARKS = 32
+MARKS = 32  # 64-bit words of marks in blocks
 CACHED_WORDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,46 +79,53 @@ def _groups(mins: np.ndarray, count: int, rows: int, salt: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _bits(shingle_set: np.ndarray, words: int) -> np.ndarray:
+    """The bits that a set's hashes name: what one set has and another lacks stands for a shingle that they don't share."""
+    bits = np.zeros(64 * words, np.uint8)
+    bits[(shingle_set >> np.uint64(8)) % np.uint64(64 * words)] = 1
+    return np.packbits(bits)
+
+
+def _digest(shingle_set: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingle_set.tobytes(), digest_size=16).digest()
+
+
 def _sketches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     flip, times = _permutations()
     for batch in batches:
         sets = [shingles(t, size) for t in batch["text"]]
-        size = np.array([len(s) for s in sets])
+        count = np.array([len(s) for s in sets], np.int64)
         mins = np.zeros((len(sets), MINHASHES), np.uint64)
-        some = np.flatnonzero(size)
+        some = np.flatnonzero(count)
         if len(some):
             flat = np.concatenate([sets[i] for i in some])
-            at = np.concatenate([[0], np.cumsum(size[some])[:-1]])
+            at = np.concatenate([[0], np.cumsum(count[some])[:-1]])
             for k in range(MINHASHES):
                 mins[some, k] = np.minimum.reduceat((flat ^ flip[k]) * times[k], at)
-        nibbles = (mins >> np.uint64(24)) & np.uint64(15)
-        split = MINHASHES // 4
-        sketch = [(nibbles[:, q * split : (q + 1) * split] << (np.arange(split, dtype=np.uint64) * np.uint64(4))).sum(1).astype(np.uint64).view(np.int64) for q in range(4)]
         left = _groups(mins[:, : LEFT * LEFT_ROWS], LEFT, LEFT_ROWS, 1)
         right = _groups(mins[:, LEFT * LEFT_ROWS :], RIGHT, RIGHT_ROWS, 1000)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": size.astype(np.int64), "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "s0": sketch[0], "s1": sketch[1], "s2": sketch[2], "s3": sketch[3], "left": list(left), "right": list(right)})
+        marks = np.stack([_bits(s, BITS).view(np.int64) for s in sets]) if sets else np.empty((0, BITS), np.int64)
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": count, "digest": [_digest(s) for s in sets], "marks": list(marks), "left": list(left), "right": list(right)})
 
 
 def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Of rows (node, digest, text), the sets of those whose text is the node's."""
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingles(t, size).view(np.int64) for t in batch["text"]]})
+        sets = [shingles(t, size) for t in batch["text"]]
+        own = np.array([_digest(s) == d for s, d in zip(sets, batch["digest"], strict=True)], bool)
+        yield pd.DataFrame({"node": batch["node"][own], "shingles": [s.view(np.int64) for s, o in zip(sets, own, strict=True) if o]})
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """64 * MARKS bits of each set: those that its shingles' hashes name."""
     for batch in batches:
-        grid = np.zeros((len(batch), 64 * MARKS), np.uint8)
-        for k, t in enumerate(batch["shingles"]):
-            grid[k, (np.asarray(t, np.int64).view(np.uint64) >> np.uint64(8)) % np.uint64(64 * MARKS)] = 1
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "bits": [b.tobytes() for b in np.packbits(grid, axis=1)]})
+        yield pd.DataFrame({"node": batch["node"], "bits": [_bits(np.asarray(t, np.int64).view(np.uint64), MARKS).tobytes() for t in batch["shingles"]]})
 
 
 def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of two blocks of a bucket, the pairs over them that may be similar enough: each bit that one has and the other
-    lacks stands for a shingle that they don't share. Members of the bucket's leading component (own -1) only meet
-    those of others."""
+    """Of two blocks of a bucket, the pairs over them that may be similar enough by their sizes and bits. Members of the
+    bucket's leading component (own -1) only meet those of others."""
     pdf = pdf.sort_values("own", kind="stable")
-    ids, comp, n, own = (pdf[c].to_numpy() for c in ("doc_id", "component", "n", "own"))
+    ids, comp, n, own = (pdf[c].to_numpy() for c in ("node", "component", "n", "own"))
     bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), MARKS)
     full = np.bitwise_count(bits).sum(1).astype(np.int64)
     led, crossing = bool(pdf["g"].iloc[0]["led"]), own[0] != own[-1]
@@ -139,25 +146,21 @@ def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _apart(a: str, b: str) -> Column:
-    """Places in which the sketches of two sides differ."""
-    total: Column = F.lit(0)
-    for q in range(4):
-        x = F.col(f"{a}.s{q}").bitwiseXOR(F.col(f"{b}.s{q}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total + F.bit_count(x)
-    return total
-
-
 def _may(common: Column, total: Column) -> Column:
     """Whether sets of `total` members together can reach the threshold with `common` shared."""
     return (100 + PERCENT) * common >= PERCENT * total
 
 
+def _possible(a: str, b: str) -> Column:
+    """Whether two sides (n, marks) can reach the threshold: a set shares at most what it has less the bits that only it has."""
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}.marks")[k].bitwiseAND(F.bitwise_not(F.col(f"{y}.marks")[k]))) for k in range(BITS)), F.lit(0))
+    n = lambda x: F.col(f"{x}.n")
+    return _may(F.least(n(a), n(b)), n(a) + n(b)) & _may(F.least(n(a) - alone(a, b), n(b) - alone(b, a)), n(a) + n(b))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(a, b) whose full shingle sets are similar enough."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(_may(common, F.size("sa") + F.size("sb"))).select("a", "b")
@@ -166,82 +169,113 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents(doc_id, text), by shingles of `size` words.
 
-    Equal sets become one class; links join class representatives. Every bucket's members are confirmed against the
-    bucket's best-supported member; members still in other components are then confirmed against all others of the
-    bucket, less those that bounds on the whole sets exclude. Null, empty and blank texts have no shingles and are linked
-    with nothing. Equal rows get equal results. Other columns are not read.
+    Equal sets become one node; links join nodes. Every bucket's members are confirmed against the bucket's
+    best-supported member, in crowded buckets against further ones while that settles half of the rest; members still
+    in other components are then confirmed against all others of the bucket, less those that bounds on the whole sets
+    exclude. Null, empty and blank texts have no shingles and are linked with nothing; so are rows without doc_id.
+    Rows that share a doc_id are judged each by their own text. Other columns are not read.
     """
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
-    schema = "doc_id string, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, left array<long>, right array<long>"
+    schema = "doc_id string, n_shingles long, digest binary, marks array<long>, left array<long>, right array<long>"
     # As text, ids stay exact beside nulls, which pandas would hold as floats.
     named = bounded_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     sketches = stage_table(named.mapInPandas(lambda b: _sketches(b, size), schema).withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = stage_table(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    marks = stage_table(reps.select("doc_id", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3"), "marks")
-    keys = reps.select("doc_id", F.explode("left").alias("l"), "right").select("doc_id", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "doc_id")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id())
+    classes = stage_table(classes, "classes")
+    reps = full.join(classes, "digest").where(F.col("doc_id") == F.col("low")).dropDuplicates(["digest"])
+    reps = stage_table(reps.select("node", "low", "digest", F.col("n_shingles").alias("n"), "marks", "left", "right"), "nodes")
+    marks = reps.select("node", "n", "marks")
+    keys = reps.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "node")
     buckets = stage_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     hits = stage_table(keys.join(buckets, "key"), "hits")
-    support = hits.groupBy("doc_id").agg(F.sum("size").alias("support"))
-    best = F.max(F.struct("support", (-F.col("doc_id")).alias("id")))
-    hubs = stage_table(hits.join(support, "doc_id").groupBy("key").agg((-best["id"]).alias("hub")), "hubs")
-    stars = hits.join(hubs, "key").where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    support = hits.groupBy("node").agg(F.sum("size").alias("support"))
+    hubs, stars = _stars(hits.join(support, "node"))
     stars = stage_table(_plausible(stars, marks), "stars")
     # Texts move once: whoever may be confirmed later is a star's end or shares a bucket with two others.
-    need = hits.where("size > 2").select("doc_id").union(stars.select("a")).union(stars.select("b")).distinct()
-    wanted = texts.join(need.hint("merge"), "doc_id", "left_semi")
-    sets = stage_table(bounded_batches(wanted).mapInPandas(lambda b: _sets(b, size), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    need = hits.where("size > 2").select("node").union(stars.select("a")).union(stars.select("b")).distinct()
+    need = reps.select("node", "low", "digest").join(need, "node").withColumnRenamed("low", "doc_id")
+    wanted = docs.select("doc_id", "text").join(need.hint("merge"), "doc_id").select("node", "digest", "text")
+    sets = stage_table(bounded_batches(wanted).mapInPandas(lambda b: _sets(b, size), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
     links = stage_table(confirmed(stars, sets), "links")
     found = stage_table(connected_components(links), "found")
-    rest = _unresolved(hits, hubs, found, marks, sets)
-    if not rest.isEmpty():
-        more = stage_table(confirmed(rest, sets), "links")
-        if not more.isEmpty():
-            found = stage_table(connected_components(links.union(more)), "found")
-    groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = full.select("doc_id", "n_shingles", "digest").join(stage_table(groups, "groups"), "digest").drop("digest")
+    members = stage_table(hits.where("size > 2").join(support, "node"), "members")
+    left = None
+    while True:
+        open_ = _open(members, found)
+        now = open_.where((F.col("size") > CROWDED) & (F.col("component") != F.col("lead"))).count()
+        if not now or left is not None and 2 * now > left:
+            break
+        left = now
+        more = _stars(open_.where((F.col("size") > CROWDED) & (F.col("component") != F.col("lead"))))[1]
+        links, found = _linked(links, found, confirmed(stage_table(_plausible(more, marks), "stars"), sets))
+    rest = _unresolved(open_, hubs, marks, sets)
+    links, found = _linked(links, found, confirmed(rest, sets))
+    groups = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = groups.groupBy("component").agg(F.min("low").alias("component_id"))
+    groups = stage_table(groups.join(lows, "component").select("digest", "component_id"), "groups")
+    out = full.select("doc_id", "n_shingles", "digest").join(groups, "digest").drop("digest")
     lone = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, hub): the best supported of each bucket's members(key, node, support); and the pairs (a, b) of it and the others."""
+    best = F.max(F.struct("support", (-F.col("node")).alias("id")))
+    hubs = stage_table(members.groupBy("key").agg((-best["id"]).alias("hub")), "hubs")
+    stars = members.join(hubs, "key").where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    return hubs, stars
+
+
+def _linked(links: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with more of them, and their components."""
+    more = stage_table(more, "links")
+    if more.isEmpty():
+        return links, found
+    links = links.union(more)
+    return links, stage_table(connected_components(links), "found")
+
+
 def _plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs that sizes and sketches allow."""
-    side = lambda x: marks.select(F.col("doc_id").alias(x), F.struct("n", "s0", "s1", "s2", "s3").alias(f"m{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_may(F.least("ma.n", "mb.n"), F.col("ma.n") + F.col("mb.n")) & (_apart("ma", "mb") <= SKETCH_APART)).select("a", "b")
+    """Pairs that sizes and marks allow."""
+    side = lambda x: marks.select(F.col("node").alias(x), F.struct("n", "marks").alias(f"m{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_possible("ma", "mb")).select("a", "b")
 
 
-def _unresolved(hits: DataFrame, hubs: DataFrame, found: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Plausible pairs that share a bucket, lie in different components and have not been confirmed or refused.
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, size, support, component, lead, most, rest) of buckets with several components: its largest, and how many
+    members are in it and not."""
+    of = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = stage_table(of, "members")
+    each = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    lead = each.groupBy("key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    lead = lead.select("key", F.col("top.component").alias("lead"), F.col("top.k").alias("most"), (F.col("all") - F.col("top.k")).alias("rest"))
+    return stage_table(of.join(lead, "key"), "members")
+
 
-    Small buckets join with themselves. Of large ones, members of the leading component need only meet the others;
-    both sides are cut into blocks by hash, and two blocks at a time meet in a task, where bit marks of the whole sets
+def _unresolved(open_: DataFrame, hubs: DataFrame, marks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Possible pairs that share a bucket, lie in different components and have not been confirmed or refused.
+
+    Small buckets join with themselves. Of crowded ones, members of the leading component need only meet the others;
+    both sides are cut into blocks by hash, and two blocks at a time meet in a task, where marks of the whole sets
     bound what two of them can share, without a false refusal.
     """
-    of = hits.where("size > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    of = stage_table(of, "members")
-    split = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = stage_table(of.join(split, "key").join(hubs, "key").where("hub <> doc_id").join(marks, "doc_id"), "members")
+    members = stage_table(open_.join(hubs, "key").where("hub <> node").join(marks, "node"), "members")
     few = members.where(F.col("size") <= CROWDED)
     a, b = few.alias("x"), few.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-    near = near & (_apart("x", "y") <= SKETCH_APART) & _may(F.least("x.n", "y.n"), F.col("x.n") + F.col("y.n"))
-    pairs = a.join(b, near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y")
+    pairs = a.join(b, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     many = members.where(F.col("size") > CROWDED)
-    crowd = sets.join(many.select("doc_id").distinct(), "doc_id", "left_semi")
-    marked = bounded_batches(crowd).mapInPandas(_marks, "doc_id long, bits binary")
-    parts = many.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    lead = parts.groupBy("key").agg(F.max(F.struct("k", "component")).alias("lead"), F.sum("k").alias("all"))
+    crowd = sets.join(many.select("node").distinct(), "node", "left_semi")
+    marked = bounded_batches(crowd).mapInPandas(_marks, "node long, bits binary")
     split = lambda n, block: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
-    many = many.join(stage_table(marked, "bits"), "doc_id").join(stage_table(lead, "lead"), "key")
-    many = many.withColumn("ma", split(F.col("lead.k"), 4 * BLOCK)).withColumn("mb", split(F.col("all") - F.col("lead.k"), BLOCK)).withColumn("h", F.xxhash64("doc_id"))
-    major = F.col("component") == F.col("lead.component")
+    many = many.join(stage_table(marked, "bits"), "node")
+    many = many.withColumn("ma", split(F.col("most"), 4 * BLOCK)).withColumn("mb", split(F.col("rest"), BLOCK)).withColumn("h", F.xxhash64("node"))
+    major = F.col("component") == F.col("lead")
     none = F.lit(-1)
     to_all = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda b: F.struct(b.alias("i"), F.pmod("h", "ma").cast("int").alias("j"), F.lit(True).alias("led")))
     own = F.pmod("h", "mb").cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("ma") - 1), lambda a: F.struct(own.alias("i"), a.alias("j"), F.lit(True).alias("led")))
     rest = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda b: F.struct(F.least(own, b).alias("i"), F.greatest(own, b).alias("j"), F.lit(False).alias("led")))
-    many = many.select("key", "doc_id", "component", "n", "bits", F.when(major, none).otherwise(own).alias("own"), F.explode(F.when(major, to_all).otherwise(F.concat(meet, rest))).alias("g"))
+    many = many.select("key", "node", "component", "n", "bits", F.when(major, none).otherwise(own).alias("own"), F.explode(F.when(major, to_all).otherwise(F.concat(meet, rest))).alias("g"))
     crossed = many.groupBy("key", "g").applyInPandas(_block_pairs, "a long, b long")
     return stage_table(pairs.union(crossed).distinct(), "rest")
