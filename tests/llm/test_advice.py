@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import xxhash
 
-from pagewright.llm.language import PIECE, Model, identify, identify_documents, piece_pattern, pieces
+from pagewright.llm.language import PIECE, Model, identify, identify_documents, pieces, runs
 from pagewright.llm.lines import VARIABLE, drop_recurring_lines
 from pagewright.llm.near import near_duplicates
 
@@ -78,7 +78,7 @@ def test_lines_of_one_and_two_tokens(spark):
 
 def test_language_scores_every_letter_of_a_long_run(spark):
     a, b = ["thand", "there", "worth"], ["çãodor", "ñaque", "lleía"]
-    model = Model([("xx", w, 5) for w in a] + [("yy", w, 5) for w in b])
+    model = Model.of_words([("xx", w, 5) for w in a] + [("yy", w, 5) for w in b])
     run = "".join(RNG.choice(a) for _ in range(26)) + "".join(RNG.choice(b) for _ in range(120))
     got = identify(spark.createDataFrame([(1, run)], "doc_id long, text string"), model).first()
     assert got.lang_pred == "yy" and [x.lang for x in got.spans] == ["xx", "yy"]
@@ -90,11 +90,28 @@ def test_language_learns_from_long_runs(spark):
     assert all(got[k] == ("xx" if k % 2 else "yy") for k in range(60))
 
 
-def test_language_pieces_are_the_same_in_both_engines(spark):
-    texts = ["latinкириллица漢字かな" + "字" * 150 + "abc한글", "a" * 200, "plain words"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(f"regexp_extract_all(t, r'{piece_pattern()}') AS p").collect()
-    for t, r in zip(texts, rows, strict=True):
-        assert r.p == [p for w in t.split() for p in pieces(w)] and max(map(len, r.p)) <= PIECE
+def test_language_pieces_hold_every_letter():
+    for t in ["latinкириллица漢字かな" + "字" * 150 + "abc한글", "a" * 200, "plain words", "x1y" * 50, ""]:
+        cut = [p for some in runs(t) for r in some for p in pieces(r)]
+        assert "".join(cut) == "".join(c for c in t if c.isalpha()) and all(len(p) <= PIECE for p in cut)
+
+
+def test_language_knows_as_many_languages_as_there_are(spark):
+    """300 labels: none is dropped, and the label of a held-out text is one of them."""
+    words = {k: [f"{a}{b}" for a in (NAMES[3 * k][:3], NAMES[3 * k + 1][:3]) for b in ("ab", "cd", "ef")] for k in range(300)}
+    rows = [(300 * j + k, " ".join(RNG.choice(words[k]) for _ in range(30)), f"l{k}") for k in range(300) for j in range(6)]
+    got = identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len({r.lang_pred for r in got}) > 290 and sum(r.lang_pred == f"l{r.doc_id % 300}" for r in got) > 0.9 * len(got)
+
+
+def test_language_long_text_among_short_ones(spark):
+    a, b = ["thand", "there", "worth"], ["çãodor", "ñaque", "lleía"]
+    make = lambda words, n: " ".join(RNG.choice(words) for _ in range(n))
+    model = Model.of_words([("xx", w, 5) for w in a] + [("yy", w, 5) for w in b])
+    rows = [(0, make(a, 5)), (1, make(b, 400_000)), (2, None), (3, make(a, 100_000) + " " + make(b, 150_000)), (4, make(b, 3))]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()}
+    assert [got[k].lang_pred for k in range(5)] == ["xx", "yy", "und", "yy", "yy"]
+    assert [(s.lang, s.n_words) for s in got[3].spans] == [("xx", 100_000), ("yy", 150_000)]
 
 
 def test_near_stage_takes_five_words(spark):

@@ -14,16 +14,18 @@ from tokenizers import Tokenizer
 from pagewright.llm.bpe import Bpe, bpe_decode, bpe_encode, round_trip
 from pagewright.llm.common import connected_components, numbered
 from pagewright.llm.exact import exact_duplicates
-from pagewright.llm.language import Model, identify, identify_documents, viterbi
+from pagewright.llm.language import Model, identify, identify_documents, labels, viterbi
 from pagewright.llm.licences import TEMPLATES, LicenceModel, licence_paragraphs, licence_scan
-from pagewright.llm.lines import FIELD, MIN_DOCS, PLACES, VARIABLE, drop_recurring_lines
+from pagewright.llm.lines import FIELD, MIN_DOCS, drop_recurring_lines
 from pagewright.llm.near import near_duplicates
 from pagewright.llm.packing import best_fit_pack, pack_documents, place_classes
-from pagewright.llm.quality import chi2_quantile, robust_quality
+from pagewright.llm.quality import ALL, FLOORS, HALF, TAIL, chi2_quantile, consistency, mcd_estimates, robust_quality
 from pagewright.llm.sharding import shard_records
 from pagewright.llm.suffix import kasai, larsson_sadakane, repeated_passages
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, shard string, component_id string, _key string"
+#: Extra columns named like results and like inner names of the operators.
+EXTRA = ("n_words", "shard", "component_id", "_key", "grp", "x0", "own", "every", "c00", "m1", "_text", "own_text", "doc", "_gone", "_row", "h", "k", "node", "digest", "level", "name", "_chunk", "chunk", "leaf", "seq", "masked", "gram", "words", "length", "_part", "spans", "score")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
@@ -53,7 +55,7 @@ ROWS = corpus()
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, ("en", None, "de")[i % 3], ("a", "b")[i % 2], None, "x", "y", "z", "k") for i, t in ROWS]
+    rows = [(i, t, ("en", None, "de")[i % 3], ("a", "b")[i % 2], None, *(f"extra {c}" for c in EXTRA)) for i, t in ROWS]
     return spark.createDataFrame(rows, SCHEMA).repartition(4, "doc_id").cache()
 
 
@@ -82,6 +84,65 @@ def test_quality(docs):
         assert r.word_chars == sum(len(x.decode()) for x in w)
         assert r.base_failed == (len(w) < 20 or 100 * len(cover) > 30 * len(w))
         assert r.base_failed <= (not r.kept)
+        assert r.n_symbols == sum((t or "").count(c) for c in "#*$%&|<>")
+        assert all(r[c] == f"extra {c}" for c in EXTRA if c != "n_words")
+
+
+def brute_force_mcd(x, floors, half, starts=60):
+    """Centre and covariance of the least determinant, from many random starts on the exact subset, reweighted once."""
+    rng, best = np.random.default_rng(1), None
+    n, d = x.shape
+    away = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    for _ in range(starts):
+        some = x[rng.choice(n, d + 1, replace=False)]
+        m, c, before = some.mean(0), np.cov(some.T, bias=True) + np.diag(floors), np.inf
+        while True:
+            some = x[np.argsort(away(m, c))[: int(half * n)]]
+            m, c = some.mean(0), consistency(half, d) * np.cov(some.T, bias=True) + np.diag(floors)
+            if np.linalg.det(c) > before * (1 - 1e-6):
+                break
+            before = np.linalg.det(c)
+        if best is None or before < best[0]:
+            best = before, m, c
+    some = x[away(*best[1:]) <= chi2_quantile(0.975, d)]
+    m, c = some.mean(0), consistency(0.975, d) * np.cov(some.T, bias=True) + np.diag(floors)
+    return m, c, away(m, c)
+
+
+def test_quality_against_brute_force(spark):
+    """Correlated features, a fifth of the rows in a tight cluster aside, for which medians alone are no good start."""
+    rng = np.random.default_rng(8)
+    n = 1500
+    x = rng.normal(0, 1, (n, 4)) @ np.array([[0.3, 0.2, 0, 0], [0, 0.2, 0.5, 0], [0, 0, 0.6, 0.2], [0, 0, 0, 0.3]])
+    x[: n // 5] = rng.normal(0, 0.05, (n // 5, 4)) + [1.2, -1, 3, 1]
+    rows = spark.createDataFrame([("a", *map(float, r)) for r in x], "grp string, x0 double, x1 double, x2 double, x3 double")
+    est = {r.grp: r for r in mcd_estimates(rows).collect()}
+    m, c, far = brute_force_mcd(x, np.array(FLOORS) ** 2, HALF)
+    for grp in ("a", ALL):
+        got_m = np.array([est[grp][f"m{i}"] for i in range(4)])
+        got_c = np.array([[est[grp][f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+        assert est[grp].n == n and np.abs(got_m - m).max() < 0.03 and np.abs(got_c / np.sqrt(np.outer(np.diag(c), np.diag(c))) - c / np.sqrt(np.outer(np.diag(c), np.diag(c)))).max() < 0.06
+        d = np.einsum("ij,jk,ik->i", x - got_m, np.linalg.inv(got_c), x - got_m)
+        cut = chi2_quantile(1 - TAIL, 4)
+        clear = (far < 0.8 * cut) | (far > 1.25 * cut)
+        assert ((d <= cut) == (far <= cut))[clear].all() and (d[: n // 5] > cut).all() and (d[n // 5 :] <= cut).mean() > 0.99
+
+
+def test_quality_moderate_outliers_of_each_feature(spark):
+    rng = random.Random(77)
+    clean = [prose(120, rng) for _ in range(500)]
+    lines = lambda k: "\n".join(["alpha beta gamma"] * (k + 1) + [prose(110, rng)])
+    window = " ".join(rng.choice(WORDS) for _ in range(8))
+    odd = {"long words": " ".join(w + w for w in prose(120, rng).split()), "symbols": prose(96, rng) + " #%" * 24, "duplicate lines": lines(6), "repeats": " ".join([window, prose(30, rng), window, prose(30, rng), window, prose(10, rng), window])}
+    rows = [(k, t, "en", "s") for k, t in enumerate([*clean, *odd.values()])]
+    got = [r.kept for r in sorted(robust_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect(), key=lambda r: r.doc_id)]
+    assert sum(got[:500]) >= 498 and not any(got[500:]), dict(zip(odd, got[500:], strict=True))
+
+
+def test_quality_small_groups_lean_on_all_rows(spark):
+    rows = [(k, prose(80), "en", "s") for k in range(400)] + [(1000 + k, prose(80), "en", f"small{k}") for k in range(5)] + [(2000 + k, " ".join(f"{w}%%%###" for w in prose(80).split()), "xx", f"odd{k}") for k in range(5)]
+    got = {r.doc_id: r.kept for r in robust_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[1000 + k] for k in range(5)) and not any(got[2000 + k] for k in range(5))
 
 
 def test_quality_rejects_outliers(spark):
@@ -195,7 +256,7 @@ def test_language(spark):
     assert all(got[k].lang_pred == ("xx", "yy")[k % 2] for k in range(300))
     assert (got[900].lang_pred, got[901].lang_pred, got[902].lang_pred) == ("und", "und", "yy")
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got.values())
-    model = Model([("xx", w, 5) for w in a] + [("yy", w, 5) for w in b])
+    model = Model.of_words([("xx", w, 5) for w in a] + [("yy", w, 5) for w in b])
     spans = {r.doc_id: r.spans for r in identify(df, model).collect()}[902]
     assert [s.lang for s in spans] == ["xx", "yy"] and abs(spans[0].n_words - 20) <= 2
 
@@ -204,13 +265,13 @@ def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     for _ in range(30):
         sizes = rng.integers(0, 9, 5)
-        emit = rng.normal(0, 3, (sizes.sum(), 3)).astype(np.float32)
-        label, at = viterbi(emit, sizes, 2.0), 0
+        emit = rng.normal(0, rng.choice([0.3, 3]), (sizes.sum(), 3)).astype(np.float32)
+        label, short, at = viterbi(emit, sizes, 2.0), labels(emit, sizes, 2.0), 0
         for n in sizes:
             e, got = emit[at : at + n], label[at : at + n]
             worth = lambda p: sum(e[i, x] for i, x in enumerate(p)) - 2.0 * sum(x != y for x, y in zip(p, p[1:]))  # noqa: B023, B905, E731
             best = max((worth(p) for p in np.ndindex(*[3] * n)), default=0)
-            assert abs(worth(got) - best) < 1e-3
+            assert abs(worth(got) - best) < 1e-3 and abs(worth(short[at : at + n]) - best) < 1e-3
             at += n
 
 
@@ -274,6 +335,40 @@ def test_near_large_group_of_near_copies(spark):
     assert got == label
 
 
+def test_near_over_several_batches_and_repeated_ids(spark):
+    base = [prose(40) for _ in range(2500)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(5000, base[7]), (5000, base[8]), (5000, base[8]), (3, prose(40))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r.component_id)
+    assert len(got) == len(rows) and sorted(by[5000]) == [7, 8, 8] and by[3] == [3, 3] and all(by[k] == [k] for k in range(2500) if k != 3)
+
+
+def test_near_recall_on_the_small_tables(spark):
+    """Components equal those of all pairs that an inverted index finds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    index = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            index[g].append(i)
+    common = Counter((a, b) for ids in index.values() for x, a in enumerate(sorted(ids)) for b in sorted(ids)[x + 1 :])
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for (a, b), n in common.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = root(a), root(b)
+            label[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert got == {i: root(i) for i in sets} and len(set(got.values())) < len(got)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -326,36 +421,39 @@ def masked(line):
     return [FIELD if any(c in "0123456789" for c in w) else w for w in line.split()]
 
 
-def test_lines(docs):
+def line_templates(texts):
+    """(doc, line) -> template, by the rule carried out one sequence at a time: of a leaf's sequences by falling count
+    (ties by hash) each follows the first leader it agrees with or becomes one; the first leads the leaf."""
     leaves, occur = defaultdict(Counter), []
-    keys = {}
-    for i, t in ROWS:
+    for i, t in texts:
         for k, line in enumerate((t or "").split("\n")):
-            w = [x.decode() for x in line.encode().split()]
-            w = [FIELD if any(c in "0123456789" for c in x) else x for x in w]
-            if len(w) >= 3:
-                leaves[len(w), *w[:3]][tuple(w)] += 1
-                occur.append((i, k, (len(w), *w[:3]), tuple(w)))
-    lead = {leaf: max(seqs.values()) for leaf, seqs in leaves.items()}
-    clear = {leaf: [s for s, n in seqs.items() if n == lead[leaf]] for leaf, seqs in leaves.items()}
-    assert all(len(x) == 1 or sum(leaves[leaf].values()) < MIN_DOCS for leaf, x in clear.items())
-
-    def template(leaf, seq):
-        top, n = clear[leaf][0], len(seq)
-        cut = [n * k // PLACES for k in range(PLACES + 1)]
-        apart = sum(seq[cut[k] : cut[k + 1]] != top[cut[k] : cut[k + 1]] for k in range(PLACES))
-        return top if apart <= int(min(n, PLACES) * VARIABLE) else seq
-
-    for i, k, leaf, seq in occur:
-        keys.setdefault((leaf, template(leaf, seq)), []).append((i, k))
-    gone = {p for places in keys.values() if len({i for i, _ in places}) >= MIN_DOCS for p in places if p != min(places)}
+            w = tuple(FIELD if any(c in "0123456789" for c in x.decode()) else x.decode() for x in line.encode().split())
+            if w:
+                leaves[len(w), *w[:3]][w] += 1
+                occur.append((i, k, (len(w), *w[:3]), w))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of = {}
+    for leaf, seqs in leaves.items():
+        leaders = []
+        for s in sorted(seqs, key=lambda s: (-seqs[s], -signed(xxhash.xxh64_intdigest(" ".join(s), seed=42)))):
+            of[leaf, s] = next((x for x in leaders if sum(a != b for a, b in zip(s, x, strict=True)) <= int(len(s) * 0.3 + 1e-9)), s)
+            if of[leaf, s] == s:
+                leaders.append(s)
+    return {(i, k): (leaf, of[leaf, w]) for i, k, leaf, w in occur}
+
+
+def test_lines(docs):
+    places = defaultdict(list)
+    for at, template in line_templates(ROWS).items():
+        places[template].append(at)
+    gone = {p for some in places.values() if len({i for i, _ in some}) >= MIN_DOCS for p in some if p != min(some)}
     assert len(gone) > MIN_DOCS
     for r in drop_recurring_lines(docs).collect():
         t = dict(ROWS)[r.doc_id]
         lines = [] if t is None else t.split("\n")
         keep = [x for k, x in enumerate(lines) if (r.doc_id, k) not in gone]
         assert (r.n_lines, r.n_dropped, r.text) == (len(lines), len(lines) - len(keep), None if t is None else "\n".join(keep))
-        assert r.shard == "y" and r.n_words == "x"
+        assert all(r[c] == f"extra {c}" for c in EXTRA)
 
 
 def test_licences(spark):
