@@ -2,10 +2,12 @@
 
 A byte goes when it lies in a 50-byte string that also starts in a document with a smaller doc_id. Texts are packed
 into chunks. Content-defined anchors (the least hashed 24-gram of every 50-byte window) route: equal windows have
-equal anchors, so only anchors that two documents share, with some of their surroundings, matter, and the text around
-them meets in the anchor's bucket. There, shard by shard, a suffix array is built by Larsson-Sadakane refinement, Kasai's pass gives common
-prefixes, and the shards' sorted windows are merged by binary search, which yields for each window the smallest
-document that has it. Hashes only route; equality is decided on the bytes.
+the same anchor at the same place, so an anchor answers for the windows of which it is the least gram, and only those
+whose surroundings another document has, too, meet in the anchor's bucket. There, shard by shard, a suffix array is
+built by Larsson-Sadakane refinement, Kasai's pass gives common prefixes, and the shards' sorted windows are merged by
+binary search, which yields for each window the smallest document that has it. A bucket that a very common anchor
+would fill is split: its windows are dealt one by one, each chunk's copies as one. Hashes only route; equality is
+decided on the bytes.
 """
 
 from __future__ import annotations
@@ -32,22 +34,25 @@ CHUNK_BYTES = 2 << 20
 CHUNK_DOCS = 1000
 BLOCK = 1 << 20
 BUCKET_BYTES = 8 << 20
+HOT_ANCHORS = 1_000_000  # of a bucket; beyond, its windows are dealt one by one, with the same result
 SHARD_BYTES = 2 << 20
 MULT = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def _grams(b: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte strings, by doubling."""
+def _hashes(b: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of `size` bytes, by doubling."""
     part = {1: b.astype(np.uint64) + np.uint64(1)}
     n = 1
-    while 2 * n <= GRAM:
+    while 2 * n <= size:
         p = part[n]
-        part[2 * n] = p[:-n] * MULT[len(part) - 1] + p[n:]
+        part[2 * n] = p[:-n] * MULT[(len(part) - 1) % 4] + p[n:]
         n *= 2
-    h = part[n]
-    if n < GRAM:
-        m = len(b) - GRAM + 1
-        h = h[:m] * MULT[4] + part[GRAM - n][n : n + m]
+    h = part[n][: len(b) - size + 1]
+    done = n
+    for n in sorted(part, reverse=True)[1:]:
+        if done + n <= size:
+            h = h * MULT[4] + part[n][done : done + len(h)]
+            done += n
     h = (h ^ (h >> np.uint64(31))) * MULT[0]
     return h ^ (h >> np.uint64(29))
 
@@ -60,36 +65,36 @@ def _sliding(a: np.ndarray, w: int, f: Callable) -> np.ndarray:
     return f(a[: len(a) - w + n], a[w - n :]) if n < w else a
 
 
-def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the grams that are the least of some window, their hashes, and two hashes of wider strings each.
+PLACE = np.uint64((1 << 24) - 1)
 
-    A 50-byte string around an anchor reaches at least HALF bytes beyond it on one side; so two occurrences only
-    matter to each other if the anchors extended by HALF bytes on the left, or on the right, are equal. The wider
-    hashes, one row for each side, are 0 where the text ends before. Long texts are searched block by block.
+
+def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the grams that are the least (the first of the least) of some window, their hashes, the first and
+    last window that each answers for, and two hashes of wider strings.
+
+    A window reaches at least HALF bytes beyond its anchor, on the left if it starts so far before, else on the right;
+    so two occurrences only matter to each other if the anchors extended by HALF bytes on that side are equal. The
+    wider hashes, one row for each side, are 0 where no window of the anchor is on that side. Long texts are searched
+    block by block.
     """
-    found, hashes, wider = [], [], []
-    pad = np.zeros(SPAN - 1, np.uint64)
+    found = []
     for s in range(0, len(text) - WINDOW + 1, BLOCK):
-        base = max(0, s - HALF)
-        h = _grams(text[base : s + BLOCK + WINDOW - 1 + HALF])
-        inner = h[s - base : s - base + BLOCK + SPAN - 1]
-        low = _sliding(inner, SPAN, np.minimum)
-        top = _sliding(np.concatenate([pad, low, pad]), SPAN, np.maximum)
-        at = np.flatnonzero(inner == top) + (s - base)
-        found.append(at + base)
-        hashes.append(h[at])
+        h = _hashes(text[s : s + BLOCK + WINDOW - 1], GRAM)
+        low = _sliding(h & ~PLACE | np.arange(len(h), dtype=np.uint64), SPAN, np.minimum)
+        at = (low & PLACE).astype(np.int64)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        last = np.append(first[1:], len(at)) - 1
+        at = at[first]
         left = (h[np.maximum(at - HALF, 0)] * MULT[1] + h[at]) * MULT[2]
         right = (h[np.minimum(at + HALF, len(h) - 1)] * MULT[3] + h[at]) * MULT[4]
         wide = np.stack([left ^ (left >> np.uint64(29)), right ^ (right >> np.uint64(31))]) | np.uint64(1)
-        wide[0, at < HALF] = 0
-        wide[1, at + HALF >= len(h)] = 0
-        wider.append(wide)
+        wide[0, first > at - HALF] = 0
+        wide[1, last <= at - HALF] = 0
+        found.append((at + s, h[at], first + s, last + s, wide))
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((2, 0), np.uint64)
-    if len(found) == 1:
-        return found[0], hashes[0], wider[0]
-    pos, first = np.unique(np.concatenate(found), return_index=True)
-    return pos, np.concatenate(hashes)[first], np.concatenate(wider, 1)[:, first]
+        none = np.empty(0, np.int64)
+        return none, np.empty(0, np.uint64), none, none, np.empty((2, 0), np.uint64)
+    return tuple(np.concatenate(x, -1) for x in zip(*found, strict=True))
 
 
 def larsson_sadakane(text: np.ndarray) -> np.ndarray:
@@ -201,11 +206,13 @@ def _texts(body: bytes, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 def _low(h: np.ndarray) -> bytes:
-    return h.astype("<u4").tobytes()
+    """The low four bytes of hashes as a set: sorted differences, zipped byte place by byte place."""
+    step = np.diff(np.unique(h.astype(np.uint32)), prepend=np.uint32(0))
+    return _zip(np.ascontiguousarray(step.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _high(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u4").astype(np.uint64)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(_unzip(b), np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint64)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -226,77 +233,96 @@ NONE = np.uint64((1 << 54) - 1)
 
 
 def _announce(buckets: int) -> Callable:
-    """The distinct wider hashes of each chunk, by bucket, four bytes each (the bucket holds more)."""
+    """The distinct wider hashes of each chunk, by bucket, four bytes each (the bucket holds more), and how many
+    anchors of the chunk belong there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, sizes, body in zip(batch["chunk"], batch["sizes"], batch["body"], strict=True):
-                found = [anchors(t)[2].ravel() for t in _texts(body, sizes) if len(t) >= WINDOW]
+                found = [anchors(t) for t in _texts(body, sizes) if len(t) >= WINDOW]
                 if not found:
                     continue
-                h = np.unique(np.concatenate(found))
+                n = np.bincount(_bucket(np.concatenate([x[1] for x in found]), buckets), minlength=buckets)
+                h = np.unique(np.concatenate([x[4].ravel() for x in found]))
                 h = h[h > 0]
                 to = _bucket(h, buckets)
                 by = np.argsort(to, kind="stable")
-                cut = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1]))
-                parts = np.split(h[by], cut[1:])
-                yield pd.DataFrame({"bucket": to[by][cut], "chunk": chunk, "h": [_low(p) for p in parts]})
+                cut = np.searchsorted(to[by], np.arange(buckets + 1))
+                some = np.flatnonzero((n > 0) | (np.diff(cut) > 0))
+                yield pd.DataFrame({"bucket": some, "chunk": chunk, "h": [_low(h[by[cut[k] : cut[k + 1]]]) for k in some], "n": n[some]})
 
     return run
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, the anchors of each chunk that another chunk has, too."""
-    each = [np.unique(_high(b)) for b in pdf["h"]]
+def _shared(pdf: pd.DataFrame, hot_anchors: int) -> pd.DataFrame:
+    """Of one bucket, the anchors of each chunk that another chunk has, too, and whether the bucket is to be split."""
+    hot = bool(pdf["n"].sum() > hot_anchors)
+    each = [_high(b) for b in pdf["h"]]
     value, n = np.unique(np.concatenate(each), return_counts=True)
     both = value[n > 1]
-    out = [_low(h[np.isin(h, both, assume_unique=True)]) for h in each]
-    return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "h": out})[[len(o) > 0 for o in out]]
+    kept = [h[np.isin(h, both, assume_unique=True)] for h in each]
+    out = pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "h": [_low(h) for h in kept], "hot": hot})
+    return out[[len(h) > 0 or hot for h in kept]]
+
+
+def _grid(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of stretches of a text, one after the other."""
+    return text[np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())]
 
 
 def _surroundings(buckets: int) -> Callable:
-    """For each chunk and bucket, the texts around shared anchors and where they occur; copies have none."""
+    """For each chunk and bucket, the windows around shared anchors and where they occur; copies have none."""
+
+    def split(text: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray, chunk: int) -> Iterator[tuple]:
+        """The windows of hot buckets, dealt out by their own hash, the chunk's equal ones as one."""
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        rows = text[at[:, None] + np.arange(WINDOW)]
+        first, own = _distinct(rows)
+        ids = np.repeat(ids, n)
+        low, top = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+        np.minimum.at(low, own, ids)
+        np.maximum.at(top, own, ids)
+        rows = rows[first]
+        to = buckets + _bucket(_hashes(rows.ravel(), WINDOW)[:: WINDOW], buckets)
+        by = np.argsort(to, kind="stable")
+        for some in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
+            yield int(to[some[0]]), chunk, b"", _zip(rows[some].tobytes()), _planes(np.stack([low[some], top[some]]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, ids, sizes, body, copies, shared in zip(batch["chunk"], batch["ids"], batch["sizes"], batch["body"], batch["copies"], batch["shared"], strict=True):
                 texts = _texts(body, sizes)
                 skip = set() if copies is None else set(copies)
-                pos, hashes, wider, doc = [], [], [], []
-                for k, t in enumerate(texts):
-                    if len(t) >= WINDOW and k not in skip:
-                        p, h, w = anchors(t)
-                        pos.append(p)
-                        hashes.append(h)
-                        wider.append(w)
-                        doc.append(np.full(len(p), k))
-                if not pos:
+                own = [k for k, t in enumerate(texts) if len(t) >= WINDOW and k not in skip]
+                if not own:
                     continue
-                pos, h, wide, doc = np.concatenate(pos), np.concatenate(hashes), np.concatenate(wider, 1), np.concatenate(doc)
+                found = [anchors(texts[k]) for k in own]
+                doc = np.repeat(own, [len(x[0]) for x in found])
+                pos, h, first, last, wide = (np.concatenate(x, -1) for x in zip(*found, strict=True))
                 code = np.where(wide > 0, _bucket(wide, buckets).astype(np.uint64) << np.uint64(32) | wide & KEPT, NONE)
                 pair = np.unique(code.ravel() * np.uint64(1 << 10) + np.tile(doc, 2).astype(np.uint64))  # a chunk has under 1024 documents
                 value, n = np.unique(pair >> np.uint64(10), return_counts=True)
-                known = [value[n > 1], *((np.uint64(int(s["bucket"])) << np.uint64(32)) | _high(s["h"]) for s in ([] if shared is None else shared))]
-                known = np.concatenate(known)
-                on = (np.isin(code, known[known != NONE])).any(0)
-                code = _bucket(h, buckets).astype(np.int64)
-                pos, doc, to = pos[on], doc[on], code[on]
+                told = [] if shared is None else shared
+                known = np.concatenate([value[n > 1], *((np.uint64(int(x["bucket"])) << np.uint64(32)) | _high(x["h"]) for x in told)])
+                left, right = np.isin(code, known[known != NONE])
+                first = np.where(left, first, np.maximum(first, pos - HALF + 1))
+                last = np.where(right, last, np.minimum(last, pos - HALF))
+                on = left | right
+                pos, doc, first, last, to = pos[on], doc[on], first[on], last[on], _bucket(h[on], buckets)
                 if not len(pos):
                     continue
-                start = np.append(0, np.cumsum(sizes))
+                start = np.append(0, np.cumsum(sizes))[doc]
                 whole = np.concatenate(texts)
-                left = np.maximum(pos - REACH, 0)
-                right = np.minimum(pos + WINDOW, np.asarray(sizes)[doc])
-                wide = REACH + WINDOW
-                take = (start[doc] + left)[:, None] + np.arange(wide)
-                grid = np.append(whole, np.zeros(wide, np.uint8))[take]
-                grid[np.arange(wide) >= (right - left)[:, None]] = 0
-                by = np.argsort(to, kind="stable")
-                rows = []
-                for some in np.split(by, np.flatnonzero(to[by][1:] != to[by][:-1]) + 1):
-                    where = np.stack([np.asarray(ids, np.int64)[doc[some]], doc[some], left[some]])
-                    place = np.stack([right[some] - left[some], pos[some] - left[some]]).astype(np.uint8)
-                    rows.append((int(to[some[0]]), chunk, place.tobytes(), _zip(grid[some].tobytes()), _planes(where)))
+                number = np.asarray(ids, np.int64)[doc]
+                length = last - first + WINDOW
+                hot = np.isin(to, [int(x["bucket"]) for x in told if x["hot"]])
+                rows = list(split(whole, (start + first)[hot], (last - first + 1)[hot], number[hot], chunk)) if hot.any() else []
+                by = np.flatnonzero(~hot)
+                by = by[np.argsort(to[by], kind="stable")]
+                for some in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []:
+                    where = np.stack([number[some], doc[some], first[some]])
+                    place = np.stack([length[some], pos[some] - first[some]]).astype(np.uint8)
+                    rows.append((int(to[some[0]]), chunk, place.tobytes(), _zip(_grid(whole, (start + first)[some], length[some]).tobytes()), _planes(where)))
                 yield pd.DataFrame(rows, columns=["bucket", "chunk", "place", "text", "at"])
 
     return run
@@ -344,40 +370,54 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], own
 
 
-def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, the covered stretch of each occurrence. Where all texts around a gram are the same bytes, the
-    smallest document keeps them. The others are read in shards of bounded size, each with its own suffix array, and
-    merged by binary search in each other's sorted windows."""
+def _least(text: np.ndarray, length: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each (row, offset) of texts (a row each, `length` valid bytes, smallest document `low`) the smallest document
+    that has its window, by suffix arrays of shards of bounded size, merged by binary search in each other's windows."""
+    wide = text.shape[1]
+    done = []
+    shards = np.array_split(np.arange(len(text)), -(-text.size // SHARD_BYTES))
+    for shard in shards:
+        head, least, index, flat = _windows(text[shard], length[shard], low[shard])
+        done.append([index, least, _strings(flat, head) if len(shards) > 1 else None])
+    # The windows of all shards so far, sorted, with the smallest document of each.
+    merged, best = done[0][2], done[0][1]
+    for _, least, strings in done[1:]:
+        at = np.searchsorted(merged, strings)
+        same = merged[np.minimum(at, len(merged) - 1)] == strings if len(merged) else np.zeros(len(strings), bool)
+        best[at[same]] = np.minimum(best[at[same]], least[same])
+        merged, best = np.insert(merged, at[~same], strings[~same]), np.insert(best, at[~same], least[~same])
+    keeper = np.full(text.shape, np.iinfo(np.int64).max)
+    for shard, (index, least, strings) in zip(shards, done, strict=True):
+        if strings is not None and len(strings):
+            least = best[np.searchsorted(merged, strings)]
+        if len(least):
+            keeper[shard] = np.where(index >= 0, least[np.maximum(index, 0)], np.iinfo(np.int64).max)
+    return keeper[:, : wide - WINDOW + 1]
+
+
+def _judge(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Of one bucket, the covered stretch of each occurrence. Equal surroundings count once. Where all texts around a
+    gram are the same bytes, the smallest document keeps them; the others go through suffix arrays."""
+    if pdf["bucket"].iloc[0] >= buckets:
+        return _judge_windows(pdf)
     wide = REACH + WINDOW
-    most = np.iinfo(np.int64).max
-    text = np.concatenate([np.frombuffer(_unzip(x), np.uint8).reshape(-1, wide) for x in pdf["text"]])
-    length, offset = np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in pdf["place"]], 1)
+    length, offset = np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in pdf["place"]], 1).astype(np.int64)
+    text = np.zeros((len(length), wide), np.uint8)
+    text[np.arange(wide) < length[:, None]] = np.concatenate([np.frombuffer(_unzip(x), np.uint8) for x in pdf["text"]])
     parts = [_columns(x, 3) for x in pdf["at"]]
     part = np.repeat(np.arange(len(parts)), [x.shape[1] for x in parts])
     ids, doc, left = np.concatenate(parts, 1)
-    first, own = _distinct(np.concatenate([text, length[:, None], offset[:, None]], 1))
-    low = np.full(len(first), most)
+    first, own = _distinct(np.concatenate([text, length[:, None].astype(np.uint8), offset[:, None].astype(np.uint8)], 1))
+    low = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(low, own, ids)
-    text, length, offset = text[first], length[first].astype(np.int64), offset[first].astype(np.int64)
+    text, length, offset = text[first], length[first], offset[first]
     _, gram = _distinct(text[np.arange(len(text))[:, None], offset[:, None] + np.arange(GRAM)])
     several = np.bincount(gram)[gram] > 1
     begin, end = np.zeros(len(ids), np.int64), np.where(ids > low[own], length[own], 0)  # of each occurrence
     hard = np.flatnonzero(several)
     if len(hard):
-        done = []
-        for shard in np.array_split(hard, -(-len(hard) * wide // SHARD_BYTES)):
-            head, least, index, flat = _windows(text[shard], length[shard], low[shard])
-            done.append([shard, index, least, _strings(flat, head) if len(hard) > len(shard) else None])
-        for a in range(len(done)):  # every shard's windows are sought in each other shard's sorted ones
-            for b in range(len(done)):
-                if a != b and len(done[a][3]) and len(done[b][3]):
-                    at = np.minimum(np.searchsorted(done[b][3], done[a][3]), len(done[b][3]) - 1)
-                    same = done[b][3][at] == done[a][3]
-                    done[a][2][same] = np.minimum(done[a][2][same], done[b][2][at[same]])
-        keeper = np.full((len(text), REACH + 1), most)
-        for shard, index, least, _ in done:
-            window = index[:, : REACH + 1]
-            keeper[shard] = np.where(window >= 0, least[np.maximum(window, 0)], most)
+        keeper = np.full((len(text), REACH + 1), np.iinfo(np.int64).max)
+        keeper[hard] = _least(text[hard], length[hard], low[hard])
         some = np.flatnonzero(several[own])
         gone = keeper[own[some]] < ids[some, None]
         begin[some] = gone.argmax(1)
@@ -385,8 +425,33 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for k in np.unique(part[end > 0]):
         on = (part == k) & (end > 0)
-        out.append((pdf["chunk"].iloc[k], _planes(np.stack([doc[on], left[on] + begin[on], left[on] + end[on]]))))
-    return pd.DataFrame(out, columns=["chunk", "spans"])
+        out.append((pdf["chunk"].iloc[k], _planes(np.stack([doc[on], left[on] + begin[on], left[on] + end[on]])), None, None))
+    return pd.DataFrame(out, columns=["chunk", "spans", "windows", "keepers"])
+
+
+def _judge_windows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of single windows, those of each chunk that a smaller document has, and which."""
+    rows = [np.frombuffer(_unzip(x), np.uint8).reshape(-1, WINDOW) for x in pdf["text"]]
+    part = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    low, top = np.concatenate([_columns(x, 2) for x in pdf["at"]], 1)
+    rows = np.concatenate(rows)
+    first, own = _distinct(rows)
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, low)
+    keeper = _least(rows[first], np.full(len(first), WINDOW), least)[own, 0]
+    out = []
+    for k in np.unique(part[keeper < top]):
+        on = (part == k) & (keeper < top)
+        out.append((pdf["chunk"].iloc[k], None, _zip(rows[on].tobytes()), _planes(keeper[None, on])))
+    return pd.DataFrame(out, columns=["chunk", "spans", "windows", "keepers"])
+
+
+def _repeats(text: np.ndarray, own: int, keepers: dict[bytes, int], hashes: np.ndarray) -> np.ndarray:
+    """Where windows of a text start that a document smaller than `own` has."""
+    if len(text) < WINDOW:
+        return np.empty(0, np.int64)
+    at = np.flatnonzero(np.isin(_hashes(text, WINDOW), hashes))
+    return np.array([p for p in at.tolist() if keepers.get(text[p : p + WINDOW].tobytes(), own) < own], np.int64)
 
 
 def _removed(want_text: bool) -> Callable:
@@ -395,7 +460,14 @@ def _removed(want_text: bool) -> Callable:
             for ids, sizes, body, extra, copies, spans in zip(batch["ids"], batch["sizes"], batch["body"], batch["extra"], batch["copies"], batch["spans"], strict=True):
                 skip = set() if copies is None else set(copies)
                 texts = _texts(body, sizes)
-                found = [_columns(s, 3) for s in ([] if spans is None else spans)]
+                spans = [] if spans is None else spans
+                found = [_columns(s["spans"], 3) for s in spans if s["spans"] is not None]
+                keepers: dict[bytes, int] = {}
+                for s in spans:
+                    if s["windows"] is not None:
+                        b = _unzip(s["windows"])
+                        keepers.update(zip((b[i : i + WINDOW] for i in range(0, len(b), WINDOW)), _columns(s["keepers"], 1)[0].tolist(), strict=True))
+                hashes = _hashes(np.frombuffer(b"".join(keepers), np.uint8), WINDOW)[::WINDOW] if keepers else None
                 doc, a, b = np.concatenate(found, 1) if found else np.empty((3, 0), np.int64)
                 by = np.argsort(doc, kind="stable")
                 doc, a, b = doc[by], a[by], b[by]
@@ -405,6 +477,10 @@ def _removed(want_text: bool) -> Callable:
                     gone = np.zeros(len(t) + 1, np.int64)
                     np.add.at(gone, a[cut[k] : cut[k + 1]], 1)
                     np.add.at(gone, b[cut[k] : cut[k + 1]], -1)
+                    if keepers and k not in skip:
+                        at = _repeats(t, ids[k], keepers, hashes)
+                        gone[at] += 1
+                        gone[at + WINDOW] -= 1
                     hit = np.cumsum(gone)[:-1] > 0
                     if k in skip and len(t) >= WINDOW:
                         hit[:] = True
@@ -416,7 +492,7 @@ def _removed(want_text: bool) -> Callable:
     return run
 
 
-def repeated_passages(docs: DataFrame, want_text: bool = True, extra: str | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame, want_text: bool = True, extra: str | None = None, hot_anchors: int = HOT_ANCHORS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, extra) of every row of documents(doc_id, text).
 
     Null text is empty; texts under 50 bytes keep all. Rows that share a doc_id don't remove from each other; rows
@@ -434,12 +510,12 @@ def repeated_passages(docs: DataFrame, want_text: bool = True, extra: str | None
     least = stage_table(each.groupBy("mark").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "marks")
     copies = each.join(least, "mark").where("id > least").groupBy("chunk").agg(F.collect_list("k").alias("copies"))
     copies = stage_table(copies, "copies")
-    told = chunks.select("chunk", "sizes", "body").mapInPandas(_announce(buckets), "bucket long, chunk long, h binary")
-    both = told.groupBy("bucket").applyInPandas(_shared, "chunk long, bucket long, h binary")
-    shared = both.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "h")).alias("shared"))
+    told = chunks.select("chunk", "sizes", "body").mapInPandas(_announce(buckets), "bucket long, chunk long, h binary, n long")
+    both = told.groupBy("bucket").applyInPandas(lambda pdf: _shared(pdf, hot_anchors), "chunk long, bucket long, h binary, hot boolean")
+    shared = both.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "h", "hot")).alias("shared"))
     near = chunks.select("chunk", "ids", "sizes", "body").join(shared.join(copies.hint("merge"), "chunk", "left"), "chunk", "left").mapInPandas(_surroundings(buckets), "bucket long, chunk long, place binary, text binary, at binary")
-    spans = near.groupBy("bucket").applyInPandas(_judge, "chunk long, spans binary")
-    spans = spans.groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
+    spans = near.groupBy("bucket").applyInPandas(lambda pdf: _judge(pdf, buckets), "chunk long, spans binary, windows binary, keepers binary")
+    spans = spans.groupBy("chunk").agg(F.collect_list(F.struct("spans", "windows", "keepers")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, extra string"
     out = chunks.join(spans.join(copies.hint("merge"), "chunk", "full_outer"), "chunk", "left").select("ids", "sizes", "body", "extra", "copies", "spans").mapInPandas(_removed(want_text), schema)
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -383,13 +383,13 @@ def test_numbered(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
-def test_suffixes(docs):
+def passages_by_brute_force(rows):
     seen, want = {}, {}
-    for i, t in ROWS:
+    for i, t in sorted(rows, key=lambda r: r[0]):
         b = (t or "").encode()
         for k in range(len(b) - 49):
             seen.setdefault(b[k : k + 50], i)
-    for i, t in ROWS:
+    for i, t in rows:
         b = (t or "").encode()
         hit = bytearray(len(b))
         for k in range(len(b) - 49):
@@ -397,12 +397,34 @@ def test_suffixes(docs):
                 hit[k : k + 50] = b"\1" * 50
         left = bytes(x for x, h in zip(b, hit, strict=True) if not h)
         want[i] = (len(b), sum(hit), sum(h and not (k and hit[k - 1]) for k, h in enumerate(hit)), hashlib.sha256(left).hexdigest())
-    got = repeated_passages(docs).collect()
+    return want
+
+
+@pytest.mark.parametrize("hot", [10**6, 0, 300])
+def test_suffixes(docs, hot):
+    want = passages_by_brute_force(ROWS)
+    got = repeated_passages(docs, hot_anchors=hot).collect()
     assert len(got) == len(ROWS)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
 
 
+@pytest.mark.parametrize("hot", [10**6, 50])
+def test_suffixes_one_anchor_in_most_documents(spark, hot):
+    """Phrases of 30 to 70 bytes in most documents, with different surroundings each time."""
+    rng = random.Random(31)
+    phrases = [prose(30, rng)[:n] for n in (30, 40, 49, 50, 52, 60, 70)]
+    rows = []
+    for k in range(400):
+        some = [prose(rng.randint(1, 12), rng)]
+        for x in rng.sample(phrases, 4):
+            some += [f"{rng.randrange(10**9)}", x, prose(rng.randint(1, 12), rng)]
+        rows.append((k, rng.choice(["", "\n"]).join(some)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hot_anchors=hot).collect()}
+    want = passages_by_brute_force(rows)
+    assert got == want and sum(x[2] > 0 for x in want.values()) > 300
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(4)
     for _ in range(80):
