@@ -173,6 +173,12 @@ def _coder() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
+@lru_cache(maxsize=1)
+def _packer() -> zstandard.ZstdCompressor:
+    """For bodies, which are stored once and move twice."""
+    return zstandard.ZstdCompressor(level=6)
+
+
 def _zip(a: bytes) -> bytes:
     return _coder()[0].compress(a)
 
@@ -194,7 +200,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 b += 1
             body = b"".join(texts[a:b])
             marks = [hashlib.sha256(t).digest() for t in texts[a:b]]
-            yield pd.DataFrame({"chunk": [serial], "marks": [marks], "ids": [ids[a:b]], "sizes": [[len(t) for t in texts[a:b]]], "extra": [extra[a:b]], "raw": [len(body)], "body": [_zip(body)]})
+            yield pd.DataFrame({"chunk": [serial], "marks": [marks], "ids": [ids[a:b]], "sizes": [[len(t) for t in texts[a:b]]], "extra": [extra[a:b]], "raw": [len(body)], "body": [_packer().compress(body)]})
             serial += 1
             a = b
 
