@@ -1,8 +1,10 @@
 """Operator 6: licence families of paragraphs, by a trained sparse n-gram logistic regression.
 
+A paragraph ends at a blank line or at a line that ends a sentence, so a notice that is wrapped over lines is one.
 Scoring is DataFrame functions only: a paragraph's distinct word 2- and 3-grams meet the model's (a bounded table
 that is broadcast) and their weights are summed. A temperature and a floor fitted on held-out paragraphs make the
-unknown class; a predicted family must also be confirmed by its closest template.
+unknown class; a predicted family must also be confirmed by its closest template, of whose n-grams the paragraph
+must hold half.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -18,19 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import stage_table
 
-#: Notices of the licence families that are told apart (fixed values).
+#: Notices of the licence families that are told apart: sentences, headings and identifiers (fixed values).
 TEMPLATES = {
-    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under the GNU Affero General Public License, version 3."],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Released under the 2-Clause BSD License."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-SA 4.0."],
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "See the License for the specific language governing permissions and limitations under the License.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Licensed under the BSD 3-Clause License.", "Released under the 2-Clause BSD License.", "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released into the public domain under CC0 1.0 Universal."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU General Public License, version 2 or later."],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Licensed under the MIT License."],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released into the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU General Public License along with this program.", "Licensed under the GNU General Public License, version 2 or later.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "Licensed under the MIT License.", "The MIT License (MIT)", "MIT License", "SPDX-License-Identifier: MIT"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "reserved": ["All rights reserved.", "Copyright by the author. All rights reserved. No part of this publication may be reproduced without permission."],
 }
 OTHER = "other"
@@ -38,7 +41,10 @@ NEGATIVES = 2000  # paragraphs of the corpus, drawn by hash, that the fit sees a
 VARIANTS = 24
 STEPS = 300
 CONFIRM = 0.5
+LEAST_ROWS = 3  # training rows that an n-gram beyond the templates' own is in
 WORDS = r"[^a-z0-9.-]+"
+#: Where a paragraph ends: a line end after the end of a sentence, or a line without a letter or digit.
+BREAK = r"(?<=[.!?:;][\"')\]]?)[ \t\r]*\n|\n[^\p{L}\p{N}\n]*(?=\n)"
 
 
 def _words(text: str) -> list[str]:
@@ -70,7 +76,8 @@ class LicenceModel:
         for _ in range(400):  # licence words in prose, out of their order
             words = [w for f in TEMPLATES.values() for t in f for w in _words(t)]
             rows.append((_grams([rng.choice(words if rng.random() < 0.3 else filler) for _ in range(rng.randint(4, 30))]), len(self.classes) - 1))
-        own = {g for f in TEMPLATES.values() for t in f for g in _grams(_words(t))}
+        seen = Counter(g for gs, k in rows if k < len(TEMPLATES) for g in gs)
+        own = {g for f in TEMPLATES.values() for t in f for g in _grams(_words(t))} | {g for g, n in seen.items() if n >= LEAST_ROWS}
         self.vocabulary = {g: i for i, g in enumerate(sorted(own))}
         rng.shuffle(rows)
         x = np.zeros((len(rows), len(self.vocabulary)), np.float32)
@@ -116,11 +123,11 @@ def _trained(negatives: tuple[str, ...]) -> LicenceModel:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(_row, doc_id, paragraph, words) of the non-blank lines of whole texts; words are 64-bit hashes."""
+    """(_row, doc_id, paragraph, words) of the paragraphs of whole texts that have words; words are 64-bit hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.posexplode(F.split(text, "\n")).alias("paragraph", "_line"))
-    words = F.transform(F.split(F.lower("_line"), WORDS), lambda w: F.xxhash64(F.btrim(w, F.lit(".-"))))
-    return lines.select("_row", "doc_id", "paragraph", F.array_remove(words, F.xxhash64(F.lit(""))).alias("words")).where(F.size("words") > 0)
+    parts = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.posexplode(F.split(text, BREAK)).alias("paragraph", "_part"))
+    words = F.transform(F.split(F.lower("_part"), WORDS), lambda w: F.xxhash64(F.btrim(w, F.lit(".-"))))
+    return parts.select("_row", "doc_id", "paragraph", F.array_remove(words, F.xxhash64(F.lit(""))).alias("words")).where(F.size("words") > 0)
 
 
 def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
@@ -129,7 +136,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
     text = F.coalesce(F.col("text"), F.lit(""))
     share = F.pmod(F.xxhash64("doc_id", text, F.lit("licence")), F.lit(1 << 30))
     drawn = docs.select(text.alias("text"), share.alias("h")).where(F.col("h") <= (1 << 30) * min(1.0, 4 * negatives / max(docs.count(), 1)))
-    rows = drawn.select(F.explode(F.split("text", "\n")).alias("line"), "h")
+    rows = drawn.select(F.explode(F.split("text", BREAK)).alias("line"), "h")
     rows = rows.where(F.length("line").between(20, 600) & ~F.lower("line").rlike("licen[cs]e|licensed|copyright|rights reserved|permission|redistribut|public domain|creative commons"))
     found = rows.groupBy("line").agg(F.min("h").alias("h")).orderBy("h", "line").limit(negatives).collect()
     return _trained(tuple(r["line"] for r in found))
@@ -139,8 +146,8 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """(doc_id, paragraph, family, probability, predicted) of the paragraphs the model takes for a licence notice.
 
     predicted: the likeliest family; family is it where the calibrated probability reaches the floor and the closest
-    template of the family confirms it, else `unknown`. Paragraphs are the lines of the text, numbered from 0; null and
-    empty texts have none. Repeated rows are judged each; other columns are not read.
+    template of the family confirms it, else `unknown`. Paragraphs are numbered from 0 in their text, blank ones
+    included; null and empty texts have none. Repeated rows are judged each; other columns are not read.
     """
     spark = docs.sparkSession
     n_classes = len(model.classes)

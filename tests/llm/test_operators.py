@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,7 @@ from pagewright.llm.bpe import Bpe, bpe_decode, bpe_encode, round_trip
 from pagewright.llm.common import connected_components, numbered
 from pagewright.llm.exact import exact_duplicates
 from pagewright.llm.language import Model, identify, identify_documents, labels, viterbi
+from pagewright.llm import licences
 from pagewright.llm.licences import TEMPLATES, LicenceModel, licence_paragraphs, licence_scan
 from pagewright.llm.lines import FIELD, MIN_DOCS, drop_recurring_lines
 from pagewright.llm.near import near_duplicates
@@ -478,15 +480,65 @@ def test_lines(docs):
         assert all(r[c] == f"extra {c}" for c in EXTRA)
 
 
+#: Usual headers as they stand in files, wrapped and behind comment marks.
+NOTICES = {
+    "mit": """# Permission is hereby granted, free of charge, to any person obtaining a
+# copy of this software and associated documentation files (the
+# "Software"), to deal in the Software without restriction, including
+# without limitation the rights to use, copy, modify, merge, publish,
+# distribute, sublicense, and/or sell copies of the Software""",
+    "gpl": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+    "bsd": """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions
+// are met:""",
+    "apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "mpl": """This Source Code Form is subject to the terms of the Mozilla
+Public License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+
 def test_licences(spark):
     plain = [prose(12) for _ in range(300)]
     notices = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
-    rows = [(k, t + "\nUnder MIT license of and the terms " + prose(3)) for k, t in enumerate(plain)] + [(1000 + k, prose(9) + "\n" + t) for k, (_, t) in enumerate(notices)] + [(5000, None), (5001, "")]
-    got = licence_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), LicenceModel(plain)).collect()
+    rows = [(k, t + "\nUnder MIT license of and the terms " + prose(3)) for k, t in enumerate(plain)]
+    rows += [(1000 + k, f"{prose(9)}.\n{t}") for k, (_, t) in enumerate(notices)]
+    rows += [(2000 + k, f"{prose(20)}\n{prose(15)}\n\n{t}\n#\n{prose(30)}") for k, t in enumerate(NOTICES.values())]
+    rows += [(3000 + k, f"{prose(5)} {t[: len(t) * 3 // 4]} {prose(6)}") for k, (_, t) in enumerate(notices) if len(t) > 100]
+    rows += [(4000, "The licence of the software is granted. You may copy the terms and conditions of any work"), (4001, "He was free to modify the general public notice with permission"), (5000, None), (5001, "")]
+    model = LicenceModel(plain)
+    got = licence_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
     named = {(r.doc_id, r.paragraph): r.family for r in got if r.family != "unknown"}
-    right = sum(named.get((1000 + k, 1)) == f for k, (f, _) in enumerate(notices))
-    assert right >= 0.9 * len(notices)
-    assert not any(d < 1000 for d, _ in named)
+    assert sum(named.get((1000 + k, 1)) == f for k, (f, _) in enumerate(notices)) >= 0.95 * len(notices)
+    assert [next((f for (d, _), f in named.items() if d == 2000 + k), None) for k in range(len(NOTICES))] == list(NOTICES)
+    cut = [(k, f) for k, (f, t) in enumerate(notices) if len(t) > 100]
+    assert sum(named.get((3000 + k, 0)) == f for k, f in cut) >= 0.9 * len(cut)
+    assert not any(d < 1000 or d >= 4000 for d, _ in named)
+    # Brute force: the same paragraphs, n-grams and weights by hand.
+    want = {}
+    for d, t in rows:
+        for k, part in enumerate(re.split(r"(?:(?<=[.!?:;])|(?<=[.!?:;][\"')\]]))[ \t\r]*\n|\n[^a-zA-Z0-9\n]*(?=\n)", t or "")):
+            grams = licences._grams(licences._words(part)) if licences._words(part) else []
+            hits = [g for g in grams if g in model.vocabulary]
+            if hits:
+                z = (model.weights[[model.vocabulary[g] for g in hits]].sum(0) + model.bias) / model.temperature
+                p, c = np.exp(z - z.max()), int(z.argmax())
+                if model.classes[c] != licences.OTHER:
+                    near = max(len(set(grams) & set(licences._grams(licences._words(x)))) / len(set(licences._grams(licences._words(x)))) for x in TEMPLATES[model.classes[c]])
+                    sure = 1 / p.sum() >= model.floor and near >= licences.CONFIRM
+                    want[d, k] = (model.classes[c] if sure else "unknown", model.classes[c], round(float(1 / p.sum()), 6), round(near, 6))
+    assert {(r.doc_id, r.paragraph): (r.family, r.predicted, round(r.probability, 6), round(r.closeness, 6)) for r in got} == want
 
 
 def test_large_ids_beside_nulls(spark):
