@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from .common import WS, stage_table
 
 DEPTH = 3
-PLACES = 8  # not used here any more; the tests import it
 VARIABLE = 0.3
 MIN_DOCS = 10
 MIN_TOKENS = 1  # shorter paths than DEPTH are whole lines: these match exactly after masking
@@ -100,20 +99,29 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return hit.where((F.col("first._key") != F.col("_key")) | (F.col("first.line") != F.col("line"))).select("_key", "doc_id", "line", "template")
 
 
+def _places() -> Column:
+    """Whether each line up to the last dropped one is dropped, by its number: looked up at once, however many there are."""
+    at = F.col("lines")
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.size(at) - 1))
+    return F.flatten(F.zip_with(at, before, lambda x, y: F.concat(F.array_repeat(F.lit(False), x - y - 1), F.array(F.lit(True)))))
+
+
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """All columns of documents(doc_id, text, ...) with the text less its dropped lines, n_lines and n_dropped.
 
-    Null text stays null and has no lines; blank lines stay. The first
-    occurrence is that of the smallest doc_id (null first) and line number; fully equal rows count as one document
-    and get equal results. n_lines and n_dropped replace columns of the same names.
+    Null text stays null and has no lines; blank lines stay. The first occurrence is that of the smallest doc_id (null
+    first) and line number; fully equal rows count as one document and get equal results. n_lines and n_dropped replace
+    columns of the same names; other columns of any name pass through.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_key", "_gone")
-    drops = recurring_lines(docs, min_docs).groupBy("_key").agg(F.collect_set("line").alias("_gone"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), text)).join(stage_table(drops, "drops").hint("merge"), "_key", "left")  # drops grow with the corpus: never broadcast
-    split = F.split("text", "\n")
-    left = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    kept = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
-    others = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*others, lines.cast("long").alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    drops = recurring_lines(docs, min_docs).groupBy("_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    drops = stage_table(drops.select("_key", F.size("lines").alias("n"), _places().alias("gone")), "drops")
+    key = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), key.alias("_key"))
+    out = rows.join(drops.hint("merge"), "_key", "left")  # drops grow with the corpus: never broadcast
+    text = F.col("doc")["text"]
+    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
+    lines = F.when(text.isNull(), 0).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    kept = F.when(F.col("gone").isNotNull(), F.array_join(left, "\n")).otherwise(text)
+    columns = [(kept if c == "text" else F.col("doc").getField(c)).alias(c) for c in names]
+    return out.select(*columns, lines.cast("long").alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_dropped"))

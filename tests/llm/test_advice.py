@@ -71,6 +71,24 @@ def test_lines_equal_leaders_one_by_one(spark):
     assert {k for k, n in got.items() if n} == gone and 15 < len(gone) < len(lines) - 10, (len(gone), len({k for k, n in got.items() if n} ^ gone))
 
 
+def test_lines_two_families_in_a_leaf(spark):
+    """All counts are ties: each family has a leader of its own and all but its first line go."""
+    lines = [x for a, b in zip(NAMES[:12], NAMES[20:32], strict=True) for x in (f"Posted by user {a} in the forum today", f"Posted by user {b} from a phone yesterday")]
+    got = lines_of(spark, lines)
+    assert sum(got.values()) == 22 and got[0] == got[1] == 0
+
+
+def test_lines_many_dropped_in_one_text(spark):
+    """The places of dropped lines in a long text, against the rule."""
+    own = [f"{NAMES[k]} {NAMES[k + 1]}" for k in range(300)]
+    long = [x for k in range(2000) for x in ("Read more here", own[k % 300] if k < 300 else "")]
+    texts = ["\n".join(long)] + [f"Read more here\n{NAMES[500 + k]}" for k in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in drop_recurring_lines(df).collect()}
+    assert got[0].text == "\n".join(["Read more here", *[x for x in long[1:] if x != "Read more here"]]) and (got[0].n_lines, got[0].n_dropped) == (4000, 1999)
+    assert all(got[k].text == NAMES[499 + k] for k in range(1, 13))
+
+
 def test_lines_of_one_and_two_tokens(spark):
     got = lines_of(spark, [f"Advertisement\n\n{NAMES[k]}\nPage {k}\nRead {NAMES[k]}" for k in range(20)])
     assert sorted(got.values()) == [0] + [2] * 19 and got[0] == 0
