@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,51 +17,56 @@ WS = " \t\n\x0b\x0c\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of its own only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a folder of its own, in local mode only: on a
+    cluster no machine's folder would do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-#: Tables written while a stage of the pipeline was planned; None outside of one.
-_scope: list[str] | None = None
+#: Tables written inside the innermost last_table().
+_written: list[str] = []
 
 
-@contextlib.contextmanager
-def scratch_scope() -> Iterator[list[str]]:
-    """Lists the tables that stage_table writes inside, so that drop_tables can delete them once they are not needed."""
-    global _scope
-    before, _scope = _scope, []
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut, lost executors cost no recomputation."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def last_table(spark: SparkSession, plan: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The staged result of plan(); the tables that were written on the way are deleted, as nothing reads them any more."""
+    global _written
+    before, _written = _written, []
     try:
-        yield _scope
+        out = stage_table(plan(), name)
+        drop_tables(spark, _written[:-1])
+        before.append(_written[-1])
+        return out
     finally:
-        _scope = before
+        _written = before
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, lost executors cost no recomputation."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if _scope is not None:
-        _scope.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Before Python work: small Arrow batches, as texts may be long, and workers that find this package where it is not installed."""
+    """Before Python work: small Arrow batches, as texts may be long, and workers that find this package where it is not
+    installed. Both are settings of the session, which it keeps."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -7,6 +7,8 @@ when the blocks beneath are, so no hash is trusted: hashes only route, and block
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,31 +22,29 @@ def _names(values: DataFrame, keys: list[str], name: str) -> DataFrame:
     return values.select(*keys).distinct().sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id())
 
 
-def block_names(docs: DataFrame, text: Column, carried: list[str], block: int = BLOCK) -> DataFrame:
-    """(_row, _pos, _n, name, *carried at position 0) of the blocks of whole texts."""
+def block_names(docs: DataFrame, text: Column, carried: list[str], block: int = BLOCK, route: Callable[[str], Column] = F.xxhash64) -> DataFrame:
+    """(_row, _pos, _n, name, *carried at position 0) of the blocks of whole texts. `route` may give unlike blocks the
+    same hash; then all blocks are staged once and named by their bytes."""
     raw = text.cast("binary")
     count = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / block)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(raw, i * block + 1, F.lit(block)))
     rows = docs.withColumn("_row", F.monotonically_increasing_id())  # before blocks multiply the rows
     rows = rows.select("_row", count.alias("_n"), *carried, F.posexplode(cut).alias("_pos", "_block"))
-    rows = rows.withColumn("_h", F.xxhash64("_block"))
+    rows = rows.withColumn("_h", route("_block"))
+    first = [F.when(F.col("_pos") == 0, F.col(c)).alias(c) for c in carried]
     # Text is shuffled once, for the distinct blocks; only hashes travel to meet the names.
     names = stage_table(_names(rows, ["_h", "_block"], "name").select("_h", "name"), "names")
-    clash = names.groupBy("_h").count().where("count > 1").select("_h")
-    first = [F.when(F.col("_pos") == 0, F.col(c)).alias(c) for c in carried]
-    left = stage_table(rows.select("_row", "_pos", "_n", "_h", *first), "blocks")
-    if clash.isEmpty():
-        return left.join(names, "_h").drop("_h")
-    clash = stage_table(clash, "clash")
-    full = rows.join(clash, "_h")
-    own = stage_table(_names(full, ["_h", "_block"], "name").withColumn("name", -1 - F.col("name")), "names")
-    apart = full.select("_row", "_pos", "_n", "_h", "_block", *first).join(own, ["_h", "_block"]).drop("_h", "_block")
-    return left.join(clash, "_h", "left_anti").join(names, "_h").drop("_h").unionByName(apart)
+    if names.groupBy("_h").count().where("count > 1").isEmpty():
+        return rows.select("_row", "_pos", "_n", "_h", *first).join(names, "_h").drop("_h")
+    # Row numbers may differ from one run of a plan to the next, so both sides come from one table.
+    rows = stage_table(rows, "blocks")
+    names = stage_table(_names(rows, ["_h", "_block"], "name"), "names")
+    return rows.select("_row", "_pos", "_n", "_h", "_block", *first).join(names, ["_h", "_block"]).drop("_h", "_block")
 
 
-def name_documents(docs: DataFrame, text: Column, carried: list[str], block: int = BLOCK) -> DataFrame:
+def name_documents(docs: DataFrame, text: Column, carried: list[str], block: int = BLOCK, route: Callable[[str], Column] = F.xxhash64) -> DataFrame:
     """(_row, level, name, *carried): texts are equal exactly when (level, name) is."""
-    named = stage_table(block_names(docs, text, carried, block), "named")
+    named = stage_table(block_names(docs, text, carried, block, route), "named")
     done, level = None, 0
     while True:
         one = named.where("_n = 1").select("_row", F.lit(level).alias("level"), "name", *carried)
@@ -59,7 +59,7 @@ def name_documents(docs: DataFrame, text: Column, carried: list[str], block: int
         level += 1
 
 
-def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block: int = BLOCK, route: Callable[[str], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of documents(doc_id, text).
 
     Null counts as the empty text. Of equal texts the row with the largest doc_id stays; of rows that also share
@@ -67,7 +67,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", "text", F.sha2(text, 256).alias("text_sha256"))
-    named = stage_table(name_documents(docs, text, ["doc_id", "text_sha256"], block), "identity")
+    named = stage_table(name_documents(docs, text, ["doc_id", "text_sha256"], block, route), "identity")
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), (-F.col("_row")).alias("row")))
     groups = stage_table(named.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     out = named.join(groups, ["level", "name"])

@@ -19,8 +19,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
-
 #: Notices of the licence families that are told apart: sentences, headings and identifiers (fixed values).
 TEMPLATES = {
     "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0-or-later"],
@@ -177,4 +175,4 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
 
 def licence_scan(docs: DataFrame) -> DataFrame:
     """licence_paragraphs with a model trained on the same table."""
-    return stage_table(licence_paragraphs(docs, train(docs)), "licences")
+    return licence_paragraphs(docs, train(docs))

@@ -13,7 +13,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, stage_table
+from .common import WS, last_table, stage_table
 
 DEPTH = 3
 VARIABLE = 0.3
@@ -114,14 +114,14 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     columns of the same names; other columns of any name pass through.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    drops = recurring_lines(docs, min_docs).groupBy("_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    drops = stage_table(drops.select("_key", F.size("lines").alias("n"), _places().alias("gone")), "drops")
+    lines = lambda: recurring_lines(docs, min_docs).groupBy("_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    drops = last_table(docs.sparkSession, lambda: lines().select("_key", F.size("lines").alias("n"), _places().alias("gone")), "drops")
     key = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), key.alias("_key"))
     out = rows.join(drops.hint("merge"), "_key", "left")  # drops grow with the corpus: never broadcast
     text = F.col("doc")["text"]
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
-    lines = F.when(text.isNull(), 0).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    count = F.when(text.isNull(), 0).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     kept = F.when(F.col("gone").isNotNull(), F.array_join(left, "\n")).otherwise(text)
     columns = [(kept if c == "text" else F.col("doc").getField(c)).alias(c) for c in names]
-    return out.select(*columns, lines.cast("long").alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_dropped"))
+    return out.select(*columns, count.cast("long").alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_dropped"))

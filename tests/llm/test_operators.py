@@ -10,15 +10,18 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from brute import line_templates, passages_by_brute_force, shingles
+
 from pagewright.llm.bpe import Bpe, bpe_decode, bpe_encode, round_trip
 from pagewright.llm.common import connected_components, numbered
 from pagewright.llm.exact import exact_duplicates
 from pagewright.llm.language import Model, identify, identify_documents, labels, viterbi
 from pagewright.llm import licences
 from pagewright.llm.licences import TEMPLATES, LicenceModel, licence_paragraphs, licence_scan
-from pagewright.llm.lines import FIELD, MIN_DOCS, drop_recurring_lines
+from pagewright.llm.lines import MIN_DOCS, drop_recurring_lines
 from pagewright.llm.near import near_duplicates
 from pagewright.llm.packing import best_fit_pack, pack_documents, place_classes
 from pagewright.llm.quality import ALL, FLOORS, HALF, TAIL, chi2_quantile, consistency, mcd_estimates, robust_quality
@@ -281,8 +284,8 @@ def test_exact(docs):
     groups = defaultdict(list)
     for i, t in ROWS:
         groups[t or ""].append(i)
-    for block in (2048, 7):
-        got = {r.doc_id: r for r in exact_duplicates(docs, block).collect()}
+    for block, route in ((2048, F.xxhash64), (7, F.xxhash64), (60, lambda c: F.pmod(F.xxhash64(c), F.lit(40)))):  # the last hash clashes all over
+        got = {r.doc_id: r for r in exact_duplicates(docs.orderBy(F.rand()), block, route).collect()}
         assert len(got) == len(ROWS)
         for t, ids in groups.items():
             for i in ids:
@@ -295,11 +298,6 @@ def test_exact_repeated_rows_keep_one(spark):
     assert sorted(r.group_size for r in got) == [1, 3, 3, 3] and sum(r.kept for r in got) == 2
 
 
-def shingles(t):
-    w = (t or "").encode().lower().split()
-    return frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
-
-
 def test_near(docs):
     sets = {i: shingles(t) for i, t in ROWS}
     label = {i: i for i in sets}
@@ -385,23 +383,6 @@ def test_numbered(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
-def passages_by_brute_force(rows):
-    seen, want = {}, {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
-        b = (t or "").encode()
-        for k in range(len(b) - 49):
-            seen.setdefault(b[k : k + 50], i)
-    for i, t in rows:
-        b = (t or "").encode()
-        hit = bytearray(len(b))
-        for k in range(len(b) - 49):
-            if seen[b[k : k + 50]] < i:
-                hit[k : k + 50] = b"\1" * 50
-        left = bytes(x for x, h in zip(b, hit, strict=True) if not h)
-        want[i] = (len(b), sum(hit), sum(h and not (k and hit[k - 1]) for k, h in enumerate(hit)), hashlib.sha256(left).hexdigest())
-    return want
-
-
 @pytest.mark.parametrize("hot", [10**6, 0, 300])
 def test_suffixes(docs, hot):
     want = passages_by_brute_force(ROWS)
@@ -441,31 +422,6 @@ def test_suffix_array_and_prefixes():
             assert got[k] == n
 
 
-def masked(line):
-    return [FIELD if any(c in "0123456789" for c in w) else w for w in line.split()]
-
-
-def line_templates(texts):
-    """(doc, line) -> template, by the rule carried out one sequence at a time: of a leaf's sequences by falling count
-    (ties by hash) each follows the first leader it agrees with or becomes one; the first leads the leaf."""
-    leaves, occur = defaultdict(Counter), []
-    for i, t in texts:
-        for k, line in enumerate((t or "").split("\n")):
-            w = tuple(FIELD if any(c in "0123456789" for c in x.decode()) else x.decode() for x in line.encode().split())
-            if w:
-                leaves[len(w), *w[:3]][w] += 1
-                occur.append((i, k, (len(w), *w[:3]), w))
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    of = {}
-    for leaf, seqs in leaves.items():
-        leaders = []
-        for s in sorted(seqs, key=lambda s: (-seqs[s], -signed(xxhash.xxh64_intdigest(" ".join(s), seed=42)))):
-            of[leaf, s] = next((x for x in leaders if sum(a != b for a, b in zip(s, x, strict=True)) <= int(len(s) * 0.3 + 1e-9)), s)
-            if of[leaf, s] == s:
-                leaders.append(s)
-    return {(i, k): (leaf, of[leaf, w]) for i, k, leaf, w in occur}
-
-
 def test_lines(docs):
     places = defaultdict(list)
     for at, template in line_templates(ROWS).items():
