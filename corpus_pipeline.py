@@ -6,13 +6,10 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import WS, documents, drop_tables, scratch_scope, stage_table
+from pagewright.llm.common import WS, documents, last_table
 from pagewright.llm.language import identify, is_accepted, train
 from pagewright.llm.lines import drop_recurring_lines
 from pagewright.llm.near import near_duplicates
@@ -21,32 +18,12 @@ from pagewright.llm.queries import vocabulary
 from pagewright.llm.suffix import repeated_passages
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 NEAR_SHINGLE = 5  # words; op9 has its own
 
-#: Scratch tables of the stage planned last.
-_scratch: list[str] = []
-
-
-def _stage(plan: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage begins when the one before is written, so the scratch tables of that one can go."""
 
-    @functools.wraps(plan)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _scratch)
-        with scratch_scope() as used:
-            out = plan(spark, docs, sf_dir)
-        _scratch.extend(used)
-        return out
-
-    return stage
-
-
-@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; others, and those without letters, go."""
-    out = identify(docs.select(*COLUMNS), train(docs), spans=False)
+    out = identify(docs.select(*COLUMNS), train(docs))
     return out.where(is_accepted(F.col("lang_pred"), F.col("score"))).select(*COLUMNS)
 
 
@@ -55,20 +32,17 @@ def _with_text(docs: DataFrame) -> DataFrame:
     return docs.where(F.btrim("text", F.lit(WS)) != "").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
-@_stage
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the lines whose template recurs, but for its first occurrence."""
     return _with_text(drop_recurring_lines(docs.select(*COLUMNS)))
 
 
-@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    kept = stage_table(near_duplicates(docs, NEAR_SHINGLE).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    kept = last_table(spark, lambda: near_duplicates(docs, NEAR_SHINGLE).where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
-@_stage
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less the passages that a document of smaller id has."""
     rest = docs.select("doc_id", "text", F.to_json(F.struct("lang", "source")).alias("rest"))
@@ -77,7 +51,6 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _with_text(out.select("doc_id", "text", "rest.lang", "rest.source", F.lit(0).cast("long").alias("n_chars")))
 
 
-@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 2048 tokens."""
     return pack_documents(docs, vocabulary())
@@ -91,12 +64,18 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Byte-level BPE, MinHash and suffix arrays are beyond SQL; tests hold each stage against a brute-force version.
+#: Byte-level BPE, MinHash and suffix arrays are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    """The last stage's rows. Each stage's result is a table; what it wrote on the way is deleted, and the results
+    themselves once the last is there."""
+
+    def all_stages() -> DataFrame:
+        docs = documents(spark, sf_dir)
+        for name, stage in STAGES:
+            docs = last_table(spark, lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023
+        return docs
+
+    return last_table(spark, all_stages, "pipeline")
