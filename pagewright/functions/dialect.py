@@ -51,8 +51,11 @@ class Spark:
     def at(self, x: str, i: int) -> str:
         return f"try_element_at({x}, {i})"
 
-    def join(self, txt: str, order: str, sep: str) -> str:
-        return f"array_join(transform(array_sort(collect_list(struct({order} AS o, {txt} AS t))), x -> x.t), {self.s(sep)})"
+    def join(self, txt: str, order: str, sep: str, where: str = "") -> str:
+        """Of the rows of a group (where it holds) the texts in order; Spark has an empty text for none, DuckDB null."""
+        row = f"struct({order} AS o, {txt} AS t)"
+        row = f"CASE WHEN {where} THEN {row} END" if where else row
+        return f"array_join(transform(array_sort(collect_list({row})), x -> x.t), {self.s(sep)})"
 
     def pct(self, x: str, p: float) -> str:
         return f"percentile({x}, {p})"
@@ -113,8 +116,8 @@ class Duck(Spark):
     def at(self, x: str, i: int) -> str:
         return f"({x})[{i}]"
 
-    def join(self, txt: str, order: str, sep: str) -> str:
-        return f"string_agg({txt}, {self.s(sep)} ORDER BY {order})"
+    def join(self, txt: str, order: str, sep: str, where: str = "") -> str:
+        return f"string_agg({f'CASE WHEN {where} THEN {txt} END' if where else txt}, {self.s(sep)} ORDER BY {order})"
 
     def pct(self, x: str, p: float) -> str:
         return f"quantile_cont({x}, {p})"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.dialect import Spark, any_of, any_rx, cases, count_of, is_title, is_upper, jaccard, pts
 from . import constants as C
-from .outline import BASE, CORE, HEADS, PLANS, adapter, base, clean_heading, deduped, is_simple_noise, language, lvl, num, parents, register
+from .outline import BASE, CORE, HEADS, PLANS, adapter, base, clean_heading, is_simple_noise, lvl, num, parents, proposed, register
 
 BY_PAGE = "PARTITION BY doc_id, page ORDER BY y0, seq"
 
@@ -324,16 +324,24 @@ def title_quality(t: str, d: Spark) -> str:
 
 
 def candidates(d: Spark) -> str:
-    cols = "doc_id, seq, p1, x0, y0, x1, y1, font_size, is_bold, is_italic"
-    centre = f"abs((x0 + x1) / 2 - (lo + hi) / 2)"
-    pattern = [f"SELECT {cols}, trim({d.ext('lt', p)}) AS text, 'pattern_match' AS source, 3 AS strategy, {k} AS sub, {d.f(.5)} AS ratio FROM paged WHERE {d.rx('lt', p)}" for k, (p, _) in enumerate(C.TITLE_PATTERNS)]
-    return f"""paged AS (SELECT *, page + 1 AS p1, max(font_size) OVER (PARTITION BY doc_id, page) AS top_size, min(x0) OVER (PARTITION BY doc_id, page) AS lo, max(x1) OVER (PARTITION BY doc_id, page) AS hi, max(y1) OVER (PARTITION BY doc_id, page) AS bottom, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, seq) AS rn FROM base WHERE t <> ''),
-gathered AS (SELECT {cols}, t AS text, 'font_size' AS source, 1 AS strategy, 0 AS sub, {d.f(.5)} AS ratio FROM paged WHERE p1 = 1 AND font_size >= top_size - 1 AND wc BETWEEN 2 AND 20 AND length(t) <= 200
-  UNION ALL SELECT {cols}, t AS text, 'centered_position' AS source, 2 AS strategy, 0 AS sub, {centre} / (hi - lo) AS ratio FROM paged WHERE p1 <= 2 AND hi > lo AND {centre} < (hi - lo) * {d.f(.25)} AND wc BETWEEN 2 AND 15 AND length(t) <= 150
-  UNION ALL {" UNION ALL ".join(pattern)}
-  UNION ALL SELECT {cols}, t AS text, 'content_analysis' AS source, 4 AS strategy, 0 AS sub, {d.f(.5)} AS ratio FROM paged WHERE rn <= 10 AND wc BETWEEN 2 AND 20 AND length(t) <= 200 AND round({title_quality('t', d)}, 9) > {d.f(.3)}
-  UNION ALL SELECT {cols}, t AS text, 'top_position' AS source, 5 AS strategy, 0 AS sub, {d.f(.5)} AS ratio FROM paged WHERE p1 <= 2 AND y0 <= bottom * {d.f(.3)} AND wc BETWEEN 3 AND 15),
-distinct_c AS (SELECT * FROM (SELECT *, {d.size(d.words('text'))} AS n, row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY strategy, seq, sub) AS k FROM gathered WHERE source <> 'pattern_match' OR {d.size(d.words('text'))} >= 2) WHERE k = 1)"""
+    """Candidates of five strategies (patterns as one each): a block proposes as often as it qualifies. One scan."""
+    cols = "doc_id, seq, p1, x0, y0, x1, y1, font_size, is_bold, is_italic, t, lt, wc, lo, hi, kind"
+    centre = "abs((x0 + x1) / 2 - (lo + hi) / 2)"
+    found = [f"trim({d.ext('lt', p)})" for p, _ in C.TITLE_PATTERNS]
+    rules = [
+        "p1 = 1 AND font_size >= top_size - 1 AND wc BETWEEN 2 AND 20 AND length(t) <= 200",
+        f"p1 <= 2 AND hi > lo AND {centre} < (hi - lo) * {d.f(.25)} AND wc BETWEEN 2 AND 15 AND length(t) <= 150",
+        *[d.rx("lt", p) for p, _ in C.TITLE_PATTERNS],
+        f"rn <= 10 AND wc BETWEEN 2 AND 20 AND length(t) <= 200 AND round({title_quality('t', d)}, 9) > {d.f(.3)}",
+        f"p1 <= 2 AND y0 <= bottom * {d.f(.3)} AND wc BETWEEN 3 AND 15",
+    ]
+    k, page = len(C.TITLE_PATTERNS), "PARTITION BY doc_id, page, t = ''"
+    # -1, once or twice a document, proposes nothing but keeps the document.
+    kinds = d.filt(d.arr(["CASE WHEN rn = 1 THEN -1 END", *[f"CASE WHEN t <> '' AND {r} THEN {i} END" for i, r in enumerate(rules)]]), "x", "x IS NOT NULL")
+    each = d.explode(cols, kinds, "kind", "paged")
+    return f"""paged AS (SELECT *, page + 1 AS p1, max(font_size) OVER ({page}) AS top_size, min(x0) OVER ({page}) AS lo, max(x1) OVER ({page}) AS hi, max(y1) OVER ({page}) AS bottom FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, t = '' ORDER BY page, y0, seq) AS rn FROM (SELECT /*+ REPARTITION(doc_id) */ * FROM base) z0) z),
+gathered AS (SELECT *, {cases(*[(f"kind = {i + 2}", x) for i, x in enumerate(found)], other="t")} AS text, {cases(("kind = 0", "'font_size'"), ("kind = 1", "'centered_position'"), (f"kind < {k + 2}", "'pattern_match'"), (f"kind = {k + 2}", "'content_analysis'"), other="'top_position'")} AS source, CASE WHEN kind = 1 THEN {centre} / (hi - lo) ELSE {d.f(.5)} END AS ratio FROM ({each}) z),
+distinct_c AS (SELECT * FROM (SELECT *, {d.size(d.words('text'))} AS n, row_number() OVER (PARTITION BY doc_id, kind >= 0, lower(text) ORDER BY {cases((f"kind BETWEEN 2 AND {k + 1}", "2"), other="kind")}, seq, kind) AS k FROM gathered WHERE source <> 'pattern_match' OR {d.size(d.words('text'))} >= 2) z WHERE k = 1)"""
 
 
 def title_scored(d: Spark) -> str:
@@ -348,18 +356,29 @@ ranked_titles AS (SELECT *, round(source_score * {d.f(.25)} + position_score * {
 
 @register(*BASE, candidates)
 def title_candidates(d):
-    return "SELECT doc_id, seq, source, text, p1 AS page FROM distinct_c"
+    return "SELECT doc_id, seq, source, text, p1 AS page FROM distinct_c WHERE kind >= 0"
 
 
 @register(*BASE, candidates, title_scored)
 def title_scores(d):
-    return "SELECT doc_id, seq, source, source_score, round(position_score, 6) AS position_score, round(font_score, 6) AS font_score, round(content_score, 6) AS content_score, length_score, page_score, total_score FROM ranked_titles"
+    return "SELECT doc_id, seq, source, source_score, round(position_score, 6) AS position_score, round(font_score, 6) AS font_score, round(content_score, 6) AS content_score, length_score, page_score, total_score FROM ranked_titles WHERE kind >= 0"
+
+
+def clean_title(t: str, d: Spark) -> str:
+    """White space collapsed, without a leading word "title" and a file extension, a capital first, at most 100 characters."""
+    one = d.rep(d.rep(f"trim({d.rep(t, r'\s+', ' ')})", r"^[Tt][Ii][Tt][Ll][Ee][:\s]+"), r"\.([pP][dD][fF]|[dD][oO][cC]|[dD][oO][cC][xX]|[tT][xX][tT])$")
+    first = f"upper(substring({one}, 1, 1)) || substring({one}, 2)"
+    short = f"CASE WHEN contains(trim(substring(x, 1, 97)), ' ') THEN {d.rep('trim(substring(x, 1, 97))', r'\s+\S+$')} || '...' ELSE substring(x, 1, 97) || '...' END"
+    long = short.replace("substring(x,", f"substring({first},")
+    return f"CASE WHEN trim(coalesce({one}, '')) = '' THEN 'Untitled Document' WHEN length({one}) > 100 THEN {long} ELSE trim({first}) END"
 
 
 @register(*BASE, candidates, title_scored)
 def title_best(d):
-    text = d.rep(d.rep("text", r"^[Tt][Ii][Tt][Ll][Ee][:\s]+"), r"\.(pdf|doc|docx|txt)$")
-    return f"SELECT b.doc_id, coalesce(q.title, 'Untitled Document') AS title, coalesce(q.total_score, {d.f(0)}) AS total_score FROM (SELECT DISTINCT doc_id FROM blocks) b LEFT JOIN (SELECT doc_id, {text} AS title, total_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total_score DESC, strategy, seq, sub) AS rn FROM ranked_titles) z WHERE rn = 1) q ON b.doc_id = q.doc_id"
+    """Of each document with blocks; one without candidates has the fallback."""
+    best = lambda c: f"max(CASE WHEN best = 1 AND kind >= 0 THEN {c} END)"
+    order = f"total_score DESC, {cases((f'kind BETWEEN 2 AND {len(C.TITLE_PATTERNS) + 1}', '2'), other='kind')}, seq, kind"
+    return f"SELECT doc_id, {clean_title('text', d)} AS title, coalesce(total_score, {d.f(0)}) AS total_score FROM (SELECT doc_id, {best('text')} AS text, {best('total_score')} AS total_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind >= 0 ORDER BY {order}) AS best FROM ranked_titles) z GROUP BY doc_id) q"
 
 
 # --- features and metrics
@@ -404,11 +423,11 @@ def imputed_values(d):
     return f"SELECT b.doc_id, b.seq, coalesce(CASE WHEN b.seq % 4 = 1 THEN NULL ELSE b.font_size END, m.med) AS font_size FROM blocks b JOIN (SELECT doc_id, {d.pct(gap, .5)} AS med FROM blocks GROUP BY doc_id) m ON b.doc_id = m.doc_id"
 
 
-@register(*HEADS)
+@register(*CORE, proposed)
 def detection_metrics(d):
     """Precision, recall and F1 of headings by lower text against blocks set in bold at 13 points and more."""
     r = lambda a, b: f"CASE WHEN {b} > 0 THEN cast({a} AS double) / {b} ELSE {d.f(0)} END"
-    return f"""SELECT cast(tp AS bigint) AS tp, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn, round({r('tp', '(tp + fp)')}, 6) AS precision_score, round({r('tp', '(tp + fn)')}, 6) AS recall_score, round({r('2 * tp', '(2 * tp + fp + fn)')}, 6) AS f1 FROM (SELECT count_if(hit AND truth) AS tp, count_if(hit AND NOT truth) AS fp, count_if(NOT hit AND truth) AS fn FROM (SELECT u.is_bold AND u.font_size >= {d.f(13)} AS truth, h.k IS NOT NULL AS hit FROM uniq u LEFT JOIN (SELECT DISTINCT doc_id, lower(text) AS k FROM heads) h ON u.doc_id = h.doc_id AND lower({clean_heading('u.t', d)}) = h.k))"""
+    return f"""SELECT cast(tp AS bigint) AS tp, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn, round({r('tp', '(tp + fp)')}, 6) AS precision_score, round({r('tp', '(tp + fn)')}, 6) AS recall_score, round({r('2 * tp', '(2 * tp + fp + fn)')}, 6) AS f1 FROM (SELECT count_if(hit AND truth) AS tp, count_if(hit AND NOT truth) AS fp, count_if(NOT hit AND truth) AS fn FROM (SELECT kind, is_bold AND font_size >= {d.f(13)} AS truth, bool_or(ok) OVER (PARTITION BY doc_id, lower(htext)) AS hit FROM proposed) z WHERE kind = 0)"""
 
 
 @register(adapter)

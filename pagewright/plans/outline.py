@@ -55,27 +55,25 @@ def base(d: Spark) -> str:
   FROM (SELECT *, trim(text) AS t, lower(trim(text)) AS lt, {d.words('text')} AS ws FROM blocks))"""
 
 
-def deduped(d: Spark) -> str:
-    """uniq: blocks without noise and repeats; the repeated-element filter follows and finds nothing left to drop."""
-    return """once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lt ORDER BY seq) AS rn FROM base WHERE NOT noise) WHERE rn = 1),
-uniq AS (SELECT * FROM once)"""
-
-
-def doc_language(d: Spark) -> str:
-    return """lang_counts AS (SELECT doc_id, language, count(*) AS n, min(seq) AS first_seq FROM base GROUP BY doc_id, language),
-doc_lang AS (SELECT doc_id, language AS doc_language FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_seq) AS rn FROM lang_counts) WHERE rn = 1)"""
+WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
-def font_stats(d: Spark) -> str:
-    f = "CASE WHEN font_size > 0 THEN font_size END"
-    return f"fonts AS (SELECT doc_id, coalesce(avg({f}), {d.f(12)}) AS fa, coalesce(max({f}), {d.f(12)}) AS fm, count(*) AS n_blocks FROM uniq GROUP BY doc_id)"
+def deduped(d: Spark) -> str:
+    """uniq: blocks without noise and repeats (the repeated-element filter follows and finds nothing left to drop), beside
+    what is known of their document: its language, mean and largest font, and how many such blocks it has. One scan, and
+    one exchange by document, which all windows share."""
+    size = "CASE WHEN NOT noise AND rn = 1 AND font_size > 0 THEN font_size END"
+    return f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, noise, lt ORDER BY seq) AS rn, count(*) OVER (PARTITION BY doc_id, language) AS lang_n, min(seq) OVER (PARTITION BY doc_id, language) AS lang_first FROM (SELECT /*+ REPARTITION(doc_id) */ * FROM base) z0),
+told AS (SELECT *, first_value(language) OVER (PARTITION BY doc_id ORDER BY lang_n DESC, lang_first {WHOLE}) AS doc_language, coalesce(avg({size}) OVER (PARTITION BY doc_id), {d.f(12)}) AS fa, coalesce(max({size}) OVER (PARTITION BY doc_id), {d.f(12)}) AS fm, count(CASE WHEN NOT noise AND rn = 1 THEN 1 END) OVER (PARTITION BY doc_id) AS n_blocks FROM numbered),
+uniq AS (SELECT * FROM told WHERE NOT noise AND rn = 1)"""
 
 
 def clean_heading(t: str, d: Spark) -> str:
     return d.rep(f"trim({d.rep(t, r'\s+', ' ')})", r"\.+$", "")
 
 
-def scored(d: Spark) -> str:
+def heading_rules(d: Spark) -> tuple[str, str, str]:
+    """limits: uniq with the font thresholds of each document; and the score and level of a row of it."""
     rng, avg = "(fm - fa)", "fa"
     thr = lambda k, m: f"CASE WHEN {rng} > {d.f(2)} THEN {avg} + {rng} * {d.f(k)} ELSE {avg} * {d.f(m)} END"
     number = f"({d.rx('t', r'^\d+\.\s+[A-Z]')} AND NOT {any_of('lt', C.FORM_WORDS, d)})"
@@ -90,30 +88,55 @@ def scored(d: Spark) -> str:
         pts(d, (any_of("lt", C.SECTION_WORDS, d), 2)), pts(d, ("isup AND wc BETWEEN 3 AND 8", 2)),
     ])
     level = cases((chap, "'H1'"), (sect, "'H2'"), (major, "'H2'"), (number, "'H2'"), (number2, "'H3'"), ("font_size >= h1", "'H1'"), ("font_size >= h2", "'H2'"), (f"font_size >= h3 OR font_size > fa * {d.f(1.05)}", "'H3'"), (f"is_bold OR {colon}", "'H3'"))
-    return f"""limits AS (SELECT u.*, doc_language, fa, fm, {thr(.7, 1.4)} AS h1, {thr(.4, 1.2)} AS h2, {thr(.2, 1.1)} AS h3 FROM uniq u JOIN fonts f ON u.doc_id = f.doc_id JOIN doc_lang l ON u.doc_id = l.doc_id),
-scored AS (SELECT doc_id, seq, page, y0, t, {score} AS score, {level} AS level FROM limits WHERE wc <= 20 AND NOT noise)"""
+    return f"limits AS (SELECT *, {thr(.7, 1.4)} AS h1, {thr(.4, 1.2)} AS h2, {thr(.2, 1.1)} AS h3 FROM uniq)", score, level
+
+
+def scored(d: Spark) -> str:
+    limits, score, level = heading_rules(d)
+    return f"{limits},\nscored AS (SELECT *, {score} AS score, {level} AS level FROM limits WHERE wc <= 20)"
 
 
 def section_level(d: Spark) -> str:
     return cases(*[(d.rx("lt", p), f"'{v}'") for p, v in C.SECTIONS])
 
 
+def proposed(d: Spark) -> str:
+    """Each block of uniq twice: as a scored heading (kind 0) and as a section heading (kind 1), where it is one (ok)."""
+    limits, score, level = heading_rules(d)
+    cols = "doc_id, seq, page, y0, t, lt, wc, font_size, is_bold, isup, noise, doc_language, n_blocks, htext, score0, level0, section, kind"
+    both = d.explode(cols, d.arr(["0", "1"]), "kind", f"(SELECT *, {clean_heading('t', d)} AS htext, {score} AS score0, {level} AS level0, {section_level(d)} AS section FROM limits) z")
+    return f"""{limits},
+twice AS ({both}),
+proposed AS (SELECT *, CASE WHEN kind = 0 THEN score0 ELSE {d.f(10)} END AS score, CASE WHEN kind = 0 THEN level0 ELSE section END AS level, htext <> '' AND CASE WHEN kind = 0 THEN wc <= 20 AND score0 >= {d.f(3)} AND level0 IS NOT NULL ELSE section IS NOT NULL END AS ok FROM twice)"""
+
+
 def headings(d: Spark) -> str:
-    """heads(doc_id, pos, level, text, page, score, y0, raw_level): sorted, deduplicated, with repaired levels."""
-    return f"""found AS (SELECT doc_id, seq, 0 AS kind, page, y0, {clean_heading('t', d)} AS text, score, level FROM scored WHERE score >= {d.f(3)} AND level IS NOT NULL
-  UNION ALL SELECT doc_id, seq, 1 AS kind, page, y0, {clean_heading('t', d)} AS text, {d.f(10)} AS score, level FROM (SELECT *, {section_level(d)} AS level FROM uniq) WHERE level IS NOT NULL),
-single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY page, y0, kind, seq) AS rn FROM found WHERE text <> '') WHERE rn = 1),
-ranked AS (SELECT doc_id, page, y0, text, score, cast(right(level, 1) AS int) AS lv, cast(row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, kind, seq) AS int) AS pos FROM single),
-heads AS (SELECT doc_id, pos, page, y0, text, score, lv AS raw, pos + min(lv - pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS lv FROM ranked)"""
+    """heads(doc_id, pos, text, page, score, y0, raw, lv): sorted, deduplicated, with repaired levels."""
+    return f"""{proposed(d)},
+single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(htext) ORDER BY page, y0, kind, seq) AS nth FROM proposed WHERE ok) z1 WHERE nth = 1),
+ranked AS (SELECT doc_id, page, y0, htext AS text, score, cast(right(level, 1) AS int) AS raw, cast(row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, kind, seq) AS int) AS pos FROM single),
+heads AS (SELECT doc_id, pos, page, y0, text, score, raw, pos + min(raw - pos) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS lv FROM ranked)"""
 
 
-def title(d: Spark) -> str:
+def all_rows(d: Spark) -> str:
+    """As headings, with the other blocks still there: head tells which rows are headings."""
+    return f"""{proposed(d)},
+marked AS (SELECT *, ok AND nth = 1 AS head FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ok, lower(htext) ORDER BY page, y0, kind, seq) AS nth, row_number() OVER (PARTITION BY doc_id, kind = 0 AND page = 0 ORDER BY font_size DESC, y0, seq) AS rank FROM proposed) z1),
+placed_rows AS (SELECT *, cast(right(level, 1) AS int) AS raw, cast(row_number() OVER (PARTITION BY doc_id, head ORDER BY page, y0, kind, seq) AS int) AS pos FROM marked),
+rows_ AS (SELECT *, pos + min(raw - pos) OVER (PARTITION BY doc_id, head ORDER BY pos ROWS UNBOUNDED PRECEDING) AS lv FROM placed_rows)"""
+
+
+def title_text(d: Spark, first: str) -> str:
+    """The title among rows of one document, where `first` holds for blocks of the first page and rank orders them by size."""
     wanted = f"(wc BETWEEN 3 AND 25 AND length(t) <= 200 AND font_size >= {d.f(10)} AND right(t, 4) <> '.pdf' AND NOT noise AND ({any_of('lt', C.TITLE_WORDS, d)} OR font_size >= {d.f(14)} OR is_bold OR isup))"
-    rfp = "(contains(lt, 'rfp') AND contains(lt, 'request') AND contains(lt, 'proposal') AND wc >= 10)"
-    clean = lambda x: d.rep(f"trim({d.rep(x, r'\s+', ' ')})", r"^([Tt][Ii][Tt][Ll][Ee]|[Ss][Uu][Bb][Jj][Ee][Cc][Tt]):\s*")
-    return f"""first_page AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY font_size DESC, y0, seq) AS rank FROM uniq WHERE page = 0),
-titled AS (SELECT doc_id, {clean(f"coalesce(min_by(CASE WHEN {rfp} THEN t END, CASE WHEN {rfp} THEN rank END), min_by(CASE WHEN rank <= 15 AND {wanted} THEN t END, CASE WHEN rank <= 15 AND {wanted} THEN rank END))")} AS title FROM first_page GROUP BY doc_id),
-titles AS (SELECT u.doc_id, CASE WHEN t.doc_id IS NULL THEN 'doc' || cast(u.doc_id AS {'string' if d.name == 'spark' else 'varchar'}) WHEN t.title IS NULL THEN 'doc' || cast(u.doc_id AS {'string' if d.name == 'spark' else 'varchar'}) ELSE t.title END AS title FROM (SELECT DISTINCT doc_id FROM uniq) u LEFT JOIN titled t ON u.doc_id = t.doc_id)"""
+    rfp = f"{first} AND contains(lt, 'rfp') AND contains(lt, 'request') AND contains(lt, 'proposal') AND wc >= 10"
+    largest = f"{first} AND rank <= 15 AND {wanted}"
+    best = f"coalesce(min_by(CASE WHEN {rfp} THEN t END, CASE WHEN {rfp} THEN rank END), min_by(CASE WHEN {largest} THEN t END, CASE WHEN {largest} THEN rank END))"
+    return f"coalesce({d.rep(f'trim({d.rep(best, r'\s+', ' ')})', r'^([Tt][Ii][Tt][Ll][Ee]|[Ss][Uu][Bb][Jj][Ee][Cc][Tt]):\s*')}, 'doc' || {num(d, 'doc_id')})"
+
+
+def title(d: Spark) -> str:
+    return f"titles AS (SELECT doc_id, {title_text(d, 'page = 0')} AS title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page = 0 ORDER BY font_size DESC, y0, seq) AS rank FROM uniq) z2 GROUP BY doc_id)"
 
 
 def plan(d: Spark, parts: list, select: str) -> str:
@@ -121,9 +144,8 @@ def plan(d: Spark, parts: list, select: str) -> str:
 
 
 BASE = [adapter, base]
-CORE = [*BASE, deduped, doc_language, font_stats]
-HEADS = [*CORE, scored, headings]
-LEVEL = "'H' || cast(lv AS {t})"
+CORE = [*BASE, deduped]
+HEADS = [*CORE, headings]
 
 
 def lvl(d: Spark, c: str = "lv") -> str:
@@ -243,9 +265,9 @@ def block_language(d):
     return "SELECT doc_id, seq, language FROM base"
 
 
-@register(adapter, base, doc_language)
+@register(*CORE)
 def document_language(d):
-    return "SELECT doc_id, doc_language FROM doc_lang"
+    return "SELECT doc_id, max(doc_language) AS doc_language FROM told GROUP BY doc_id"
 
 
 @register(adapter, base)
@@ -266,7 +288,7 @@ def repeated_effective(d):
 
 @register(*CORE)
 def font_statistics(d):
-    return "SELECT doc_id, round(fa, 6) AS avg_font_size, fm AS max_font_size, cast(n_blocks AS bigint) AS n_blocks FROM fonts"
+    return "SELECT doc_id, round(max(fa), 6) AS avg_font_size, max(fm) AS max_font_size, cast(max(n_blocks) AS bigint) AS n_blocks FROM uniq GROUP BY doc_id"
 
 
 @register(adapter)
@@ -373,11 +395,10 @@ def document_title(d):
     return "SELECT doc_id, title FROM titles"
 
 
-@register(*HEADS, title)
+@register(*CORE, all_rows)
 def result_document(d):
-    line = f"{lvl(d)} || '|' || text || '|' || {num(d, 'page + 1')}"
-    return f"""SELECT t.doc_id, t.title, coalesce(h.outline, '') AS outline, l.doc_language AS detected_language, cast(f.n_blocks AS bigint) AS total_blocks_analyzed FROM titles t JOIN doc_lang l ON t.doc_id = l.doc_id JOIN fonts f ON t.doc_id = f.doc_id
-  LEFT JOIN (SELECT doc_id, {d.join(line, 'pos', '; ')} AS outline FROM heads GROUP BY doc_id) h ON t.doc_id = h.doc_id"""
+    line = f"{lvl(d)} || '|' || htext || '|' || {num(d, 'page + 1')}"
+    return f"SELECT doc_id, {title_text(d, 'kind = 0 AND page = 0')} AS title, coalesce({d.join(line, 'pos', '; ', 'head')}, '') AS outline, max(doc_language) AS detected_language, cast(max(n_blocks) AS bigint) AS total_blocks_analyzed FROM rows_ GROUP BY doc_id"
 
 
 @register(*HEADS)
