@@ -27,7 +27,8 @@ RIGHT, RIGHT_ROWS = 14, 3
 MINHASHES = LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS
 BITS = 8  # 64-bit words of marks that travel with a document
 CROWDED = 32  # members beyond which a bucket meets in blocks instead of by a join; the result is the same
-BLOCK = 256
+BLOCK = 2048  # members of a crowded bucket that meet in one task, against LEAD of its leading component
+LEAD = 8192
 MARKS = 32  # 64-bit words of marks in blocks
 CACHED_WORDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -269,7 +270,7 @@ def _unresolved(open_: DataFrame, hubs: DataFrame, marks: DataFrame, sets: DataF
     marked = bounded_batches(crowd).mapInPandas(_marks, "node long, bits binary")
     split = lambda n, block: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
     many = many.join(stage_table(marked, "bits"), "node")
-    many = many.withColumn("ma", split(F.col("most"), 4 * BLOCK)).withColumn("mb", split(F.col("rest"), BLOCK)).withColumn("h", F.xxhash64("node"))
+    many = many.withColumn("ma", split(F.col("most"), LEAD)).withColumn("mb", split(F.col("rest"), BLOCK)).withColumn("h", F.xxhash64("node"))
     major = F.col("component") == F.col("lead")
     none = F.lit(-1)
     to_all = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda b: F.struct(b.alias("i"), F.pmod("h", "ma").cast("int").alias("j"), F.lit(True).alias("led")))
