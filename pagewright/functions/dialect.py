@@ -48,8 +48,34 @@ class Spark:
     def arr(self, xs: list[str]) -> str:
         return "array(" + ", ".join(xs) + ")"
 
-    def at(self, x: str, i: int) -> str:
-        return f"try_element_at({x}, {i})"
+    def at(self, x: str, i: int | str) -> str:
+        return f"try_element_at({x}, cast({i} AS int))"
+
+    def struct(self, fields: dict[str, str]) -> str:
+        return "struct(" + ", ".join(f"{x} AS {k}" for k, x in fields.items()) + ")"
+
+    def collect(self, x: str) -> str:
+        return f"collect_list({x})"
+
+    def least(self, x: str) -> str:
+        return f"array_min({x})"
+
+    def has(self, x: str, v: str) -> str:
+        return f"array_contains({x}, {v})"
+
+    def seq(self, a: str, b: str) -> str:
+        return f"sequence({a}, {b})"
+
+    def either_all(self, a: str, b: str) -> str:
+        return f"concat({a}, {b})"
+
+    def titled(self, t: str) -> str:
+        """Each word with a capital first; words part at single spaces."""
+        return f"array_join(transform(split(lower({t}), ' '), w -> CASE WHEN substring(w, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substring(w, 1, 1)) END || substring(w, 2)), ' ')"
+
+    def runs(self, t: str, n: int) -> str:
+        """Runs of `n` and more of one ASCII letter as one."""
+        return self.rep(t, rf"([a-zA-Z])\1{{{n - 1},}}", "$1")
 
     def join(self, txt: str, order: str, sep: str, where: str = "") -> str:
         """Of the rows of a group (where it holds) the texts in order; Spark has an empty text for none, DuckDB null."""
@@ -113,9 +139,35 @@ class Duck(Spark):
     def arr(self, xs: list[str]) -> str:
         return "[" + ", ".join(xs) + "]"
 
-    def at(self, x: str, i: int) -> str:
+    def at(self, x: str, i: int | str) -> str:
         return f"({x})[{i}]"
 
+    def struct(self, fields: dict[str, str]) -> str:
+        return "{" + ", ".join(f"'{k}': {x}" for k, x in fields.items()) + "}"
+
+    def collect(self, x: str) -> str:
+        return f"list({x})"
+
+    def least(self, x: str) -> str:
+        return f"list_min({x})"
+
+    def has(self, x: str, v: str) -> str:
+        return f"list_contains({x}, {v})"
+
+    def seq(self, a: str, b: str) -> str:
+        return f"generate_series({a}, {b})"
+
+    def either_all(self, a: str, b: str) -> str:
+        return f"list_concat({a}, {b})"
+
+    def titled(self, t: str) -> str:
+        return f"array_to_string(list_transform(string_split(lower({t}), ' '), lambda w: CASE WHEN substring(w, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substring(w, 1, 1)) END || substring(w, 2)), ' ')"
+
+    def runs(self, t: str, n: int) -> str:
+        for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+            t = f"regexp_replace({t}, '{c}{{{n},}}', '{c}', 'g')"
+        return t
+
     def join(self, txt: str, order: str, sep: str, where: str = "") -> str:
         return f"string_agg({f'CASE WHEN {where} THEN {txt} END' if where else txt}, {self.s(sep)} ORDER BY {order})"
 

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 
 from ..functions.dialect import DUCK, SPARK
-from ..plans import analysis, outline
+from ..plans import analysis, features, outline, reports
 
 PLANS = outline.PLANS
-__all__ = ["PLANS", "analysis", "oracle", "run", "run_on_blocks"]
+__all__ = ["PLANS", "analysis", "features", "oracle", "reports", "run", "run_on_blocks"]
 
 
 def run(name: str, table: DataFrame, relation: str = "documents") -> DataFrame:

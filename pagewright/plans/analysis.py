@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import Spark, any_of, any_rx, cases, count_of, is_title, is_upper, jaccard, pts
+from ..functions.dialect import Spark, any_of, any_rx, cases, count_of, is_title, jaccard, pts
 from . import constants as C
-from .outline import BASE, CORE, HEADS, PLANS, adapter, base, clean_heading, is_simple_noise, lvl, num, parents, proposed, register
+from .outline import BASE, CORE, PLANS, adapter, clean_heading, is_simple_noise, lvl, num, proposed, register
 
 BY_PAGE = "PARTITION BY doc_id, page ORDER BY y0, seq"
 
@@ -79,21 +79,6 @@ def heading_position(d):
 # --- windows
 
 
-@register(adapter)
-def context_features(d):
-    near = "abs(o.font_size - b.font_size)"
-    return f"""SELECT p.doc_id, p.seq, p.block_index, round(p.block_index / cast(p.total AS double), 6) AS relative_position, p.block_index = 0 AS is_first, p.block_index = p.total - 1 AS is_last, p.whitespace_before, p.whitespace_after, p.prev_diff, p.next_diff, p.similar_nearby FROM (
-  SELECT doc_id, seq, cast(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS int) AS block_index, count(*) OVER (PARTITION BY doc_id) AS total,
-  coalesce(y0 - lag(y1) OVER ({BY_PAGE}), {d.f(0)}) AS whitespace_before, coalesce(lead(y0) OVER ({BY_PAGE}) - y1, {d.f(0)}) AS whitespace_after, coalesce(font_size - lag(font_size) OVER ({BY_PAGE}), {d.f(0)}) AS prev_diff, coalesce(lead(font_size) OVER ({BY_PAGE}) - font_size, {d.f(0)}) AS next_diff,
-  {" + ".join(f"CASE WHEN abs({f}(font_size, {k}) OVER ({BY_PAGE}) - font_size) <= 1 THEN 1 ELSE 0 END" for f in ("lag", "lead") for k in (1, 2, 3))} AS similar_nearby FROM blocks) p"""
-
-
-@register(adapter)
-def ml_context(d):
-    return f"""SELECT doc_id, seq, coalesce(y0 - lag(y1) OVER ({BY_PAGE}), {d.f(0)}) AS prev_vertical_gap, coalesce(font_size - lag(font_size) OVER ({BY_PAGE}), {d.f(0)}) AS prev_font_size_diff, coalesce(lead(y0) OVER ({BY_PAGE}) - y1, {d.f(0)}) AS next_vertical_gap, coalesce(lead(font_size) OVER ({BY_PAGE}) - font_size, {d.f(0)}) AS next_font_size_diff,
-  round((row_number() OVER ({BY_PAGE}) - 1) / cast(count(*) OVER (PARTITION BY doc_id, page) AS double), 6) AS relative_y_position FROM blocks"""
-
-
 @register(adapter)
 def layout_features(d):
     w = "OVER (PARTITION BY doc_id, page)"
@@ -112,27 +97,29 @@ def alignment(d):
 
 
 def chars(d: Spark) -> str:
-    """Characters of the first blocks' words at synthetic places, two to a jittered line."""
-    src = d.explode("doc_id, page, seq, pos, word, font_size, y0, x0", "ws", "word", f"(SELECT *, {d.words('text')} AS ws FROM blocks)", "pos")
-    return f"""words AS ({src}),
-chars AS (SELECT doc_id, page, seq, cast(pos AS int) AS pos, word AS text, font_size AS size, x0 + pos * {d.f(6)} AS cx0, x0 + pos * {d.f(6)} + {d.f(5)} AS cx1, y0 + floor(pos / 10) * {d.f(3)} + (pos % 2) * {d.f(.5)} AS top, CASE WHEN pos % 3 = 0 THEN 'Arial' ELSE 'Times' END AS fontname FROM words)"""
+    """Characters at synthetic places, words apart, on slightly uneven lines."""
+    words = d.explode("doc_id, page, seq, pos, word, font_size, y0, x0", "ws", "word", f"(SELECT *, {d.words('text')} AS ws FROM blocks)", "pos")
+    letters = "split(word, '')" if d.name == "spark" else "string_split(word, '')"
+    each = d.explode("doc_id, page, seq, pos, k, ch, font_size, y0, x0", letters, "ch", f"({words}) z", "k")
+    return f"""letters AS ({each}),
+chars AS (SELECT doc_id, page, seq, cast(pos AS int) AS pos, cast(k AS int) AS k, ch AS text, font_size AS size, x0 + pos * {d.f(24)} + k * {d.f(2)} AS cx0, x0 + pos * {d.f(24)} + k * {d.f(2)} + {d.f(1.5)} AS cx1, y0 + floor(pos / 10) * {d.f(3)} + (pos % 2) * {d.f(.5)} AS top, CASE WHEN pos % 3 = 0 THEN 'Arial' ELSE 'Times' END AS fontname FROM letters)"""
 
 
 def char_groups(d: Spark) -> str:
-    o = "PARTITION BY doc_id, page ORDER BY top, cx0, seq, pos"
+    o = "PARTITION BY doc_id, page ORDER BY top, cx0, seq, pos, k"
     return f"grouped AS (SELECT *, sum(CASE WHEN abs(top - prev) > 2 THEN 1 ELSE 0 END) OVER ({o} ROWS UNBOUNDED PRECEDING) AS line_id FROM (SELECT *, lag(top) OVER ({o}) AS prev FROM chars))"
 
 
 @register(adapter, chars, char_groups)
 def char_lines(d):
-    lead = "struct(cx0 AS a, seq AS b, pos AS c, text AS t)"
-    text = f"array_join(transform(array_sort(collect_list({lead})), x -> x.t), '')" if d.name == "spark" else "string_agg(text, '' ORDER BY cx0, seq, pos)"
-    return f"SELECT doc_id, page, cast(line_id AS bigint) AS line_id, {text} AS text, min(cx0) AS x0, min(top) AS y0, max(cx1) AS x1, max(top + size) AS y1, cast(count(*) AS bigint) AS char_count, {d.pct('size', .5)} AS font_size, count(DISTINCT fontname) <= 2 AS font_consistency FROM grouped GROUP BY doc_id, page, line_id"
+    lead = "struct(cx0 AS a, seq AS b, pos AS c, k AS e, text AS t)"
+    text = f"array_join(transform(array_sort(collect_list({lead})), x -> x.t), '')" if d.name == "spark" else "string_agg(text, '' ORDER BY cx0, seq, pos, k)"
+    return f"SELECT doc_id, page, cast(line_id AS bigint) AS line_id, {text} AS text, min(cx0) AS x0, min(top) AS y0, max(cx1) AS x1, max(top + size) AS y1, cast(count(*) AS bigint) AS char_count, {d.pct('size', .5)} AS font_size, CASE WHEN 2 * count_if(fontname = 'Arial') >= count(*) THEN 'Arial' ELSE 'Times' END AS font_name, count(DISTINCT fontname) <= 2 AS font_consistency FROM grouped GROUP BY doc_id, page, line_id"
 
 
 @register(adapter, chars, char_groups)
 def char_spacing(d):
-    return f"SELECT doc_id, page, cast(line_id AS bigint) AS line_id, round(coalesce(avg(gap), {d.f(0)}), 6) AS character_spacing FROM (SELECT *, cx0 - lag(cx1) OVER (PARTITION BY doc_id, page, line_id ORDER BY cx0, seq, pos) AS gap FROM grouped) GROUP BY doc_id, page, line_id"
+    return f"SELECT doc_id, page, cast(line_id AS bigint) AS line_id, round(coalesce(avg(gap), {d.f(0)}), 6) AS character_spacing FROM (SELECT *, cx0 - lag(cx1) OVER (PARTITION BY doc_id, page, line_id ORDER BY cx0, seq, pos, k) AS gap FROM grouped) GROUP BY doc_id, page, line_id"
 
 
 @register(adapter)
@@ -159,7 +146,9 @@ def span_line_join(d):
 
 @register(*BASE, extractor_lines)
 def page_outer_join(d):
-    return "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page, b.page) AS page, cast(coalesce(a.n, 0) AS bigint) AS n_blocks, cast(coalesce(b.n, 0) AS bigint) AS n_lines FROM (SELECT doc_id, page, count(*) AS n FROM base WHERE seq % 5 <> 0 GROUP BY doc_id, page) a FULL OUTER JOIN (SELECT doc_id, page, count(*) AS n FROM other GROUP BY doc_id, page) b ON a.doc_id = b.doc_id AND a.page = b.page"
+    """Pages of two extractors side by side; a page that only one has is empty on the other side."""
+    side = lambda c, src: f"(SELECT doc_id, page, count(*) AS n, {d.join(num(d, c), c, ' ')} AS items, min(x0) AS x0, max(x1) AS x1 FROM {src} GROUP BY doc_id, page)"
+    return f"SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page, b.page) AS page, cast(coalesce(a.n, 0) AS bigint) AS n_blocks, cast(coalesce(b.n, 0) AS bigint) AS n_lines, coalesce(a.items, '') AS blocks, coalesce(b.items, '') AS lines, least(coalesce(a.x0, b.x0), coalesce(b.x0, a.x0)) AS x0, greatest(coalesce(a.x1, b.x1), coalesce(b.x1, a.x1)) AS x1 FROM {side('seq', '(SELECT * FROM base WHERE seq % 5 <> 0 AND page % 4 <> 3) x')} a FULL OUTER JOIN {side('line_seq', 'other')} b ON a.doc_id = b.doc_id AND a.page = b.page"
 
 
 @register(*BASE)
@@ -176,7 +165,7 @@ def bbox_overlap(d):
 # --- rule engine
 
 
-def rules(d: Spark) -> str:
+def rules(d: Spark, src: str = "base") -> str:
     mean, std = "avg(font_size) OVER (PARTITION BY doc_id)", "stddev_pop(font_size) OVER (PARTITION BY doc_id)"
     z = f"CASE WHEN sd > 0 THEN (font_size - mn) / sd ELSE {d.f(0)} END"
     ratio = "font_size / mn"
@@ -185,11 +174,12 @@ def rules(d: Spark) -> str:
     h1, h2, h3 = (f"({ratio} >= {d.f(a)} OR {z} >= {d.f(b)})" for a, b in ((1.4, 2), (1.2, 1.5), (1.1, 1)))
     caps, tc = "isup AND wc <= 8", "ttl AND wc <= 12"
     place = [(f"abs(x0 - left_m) <= {d.f(20)}", .3), (f"abs((x0 + x1) / 2 - page_w / 2) <= page_w * {d.f(.15)}", .4), (f"white >= {d.f(15)}", .2), (f"(page_h > 0 AND y0 / page_h <= {d.f(.3)})", .1)]
-    near = f"count(*) OVER (PARTITION BY doc_id, page ORDER BY x0 RANGE BETWEEN {d.f(9.999)} PRECEDING AND {d.f(9.999)} FOLLOWING)"
+    # Within 10 to both sides, neither edge counted: those within 10, less those exactly at it.
+    ten, edge = d.f(10), "count(*) OVER (PARTITION BY doc_id, page ORDER BY x0 RANGE BETWEEN {0} {2} AND {1} {2})"
+    near = f"count(*) OVER (PARTITION BY doc_id, page ORDER BY x0 RANGE BETWEEN {ten} PRECEDING AND {ten} FOLLOWING) - {edge.format(ten, ten, 'PRECEDING')} - {edge.format(ten, ten, 'FOLLOWING')}"
     total = " + ".join(f"{s} * {d.f(w)}" for s, w in (("font_score", .25), ("style_score", .15), ("position_score", .2), ("pattern_score", .2), ("context_score", .05)))
     weight = 0.25 + 0.15 + 0.20 + 0.20 + 0.05
-    return f"""ruled AS (SELECT *, {mean} AS mn, {std} AS sd, min(x0) OVER (PARTITION BY doc_id) AS left_m, max(x1) OVER (PARTITION BY doc_id) AS page_w, max(y0) OVER (PARTITION BY doc_id) AS page_h,
-  coalesce(y0 - lag(y1) OVER ({BY_PAGE}), {d.f(0)}) AS white, lead(x0) OVER ({BY_PAGE}) AS next_x, {near} AS same_x FROM base WHERE t <> ''),
+    return f"""ruled AS (SELECT *, {near} AS same_x, coalesce(y0 - lag(y1) OVER ({BY_PAGE}), {d.f(0)}) AS white, lead(x0) OVER ({BY_PAGE}) AS next_x FROM (SELECT *, {mean} AS mn, {std} AS sd, min(x0) OVER (PARTITION BY doc_id) AS left_m, max(x1) OVER (PARTITION BY doc_id) AS page_w, max(y0) OVER (PARTITION BY doc_id) AS page_h FROM {src} WHERE t <> '') z0),
 rule_scores AS (SELECT *, {pts(d, (h1, .8), (h2, .6), (h3, .4))} AS font_score, {cases((h1, "'H1'"), (h2, "'H2'"), (h3, "'H3'"))} AS font_level,
   {pts(d, ('is_bold', .4))} + {pts(d, ('is_italic', .2))} + {pts(d, (caps, .6), (tc, .3))} AS style_score, {pts(d, ('is_bold', .3))} + {pts(d, ('is_italic', .1))} + {pts(d, (caps, .2), (tc, .1))} AS style_boost,
   {' + '.join(pts(d, p) for p in place)} AS position_score, ({' + '.join(f'CASE WHEN {p} THEN 1 ELSE 0 END' for p, _ in place)}) * {d.f(.2)} AS position_confidence,
@@ -219,24 +209,27 @@ def rule_postprocessed(d):
 # --- semantics
 
 
-def semantic(d: Spark) -> str:
+def semantic(d: Spark, src: str = "base") -> str:
     share = lambda p: f"cast(length({d.rep('t', p)}) AS double) / length(t)"
+    sentences = d.size(d.filt(d.split('t', r'[.!?]+\s+'), 'x', "x <> ''"))
+    numbering = cases(*[(f"lang = '{k}'", any_of('t', m[2], d)) for k, m in C.MULTILINGUAL.items() if m[2]], other='false')
+    common = cases(*[(f"lang = '{k}'", any_of('lt', m[3], d)) for k, m in C.MULTILINGUAL.items()], other=any_of('lt', ['introduction', 'conclusion', 'abstract', 'summary', 'references'], d))
     lang = cases((d.rx("lt", "[぀-ゟ゠-ヿ一-龯]"), "'japanese'"), (d.rx("lt", "[一-鿿]"), "'chinese'"), (f"{d.rx('lt', '[àâäçéèêëîïôöùûüÿ]')} OR {any_of('lt', ['le', 'la', 'les', 'de', 'du', 'des', 'et', 'ou'], d)}", "'french'"), (f"{d.rx('lt', '[äöüß]')} OR {any_of('lt', ['der', 'die', 'das', 'und', 'oder', 'mit'], d)}", "'german'"), (f"{d.rx('lt', '[áéíóúüñ]')} OR {any_of('lt', ['el', 'la', 'los', 'las', 'y', 'o', 'con'], d)}", "'spanish'"), other="'english'")
     stop = d.arr([d.s(w) for w in C.STOP_WORDS])
     has = (lambda w: f"array_contains({stop}, {w})") if d.name == "spark" else (lambda w: f"list_contains({stop}, {w})")
     marker = cases(*[(f"lang = '{k}'", any_of("t", m, d)) for k, (m, *_) in C.MULTILINGUAL.items()], other="false")
     native = cases(*[(f"lang = '{k}'", any_rx("lt", p, d)) for k, (_, p, *_) in C.MULTILINGUAL.items()], other="false")
-    return f"""sem0 AS (SELECT *, {lang} AS lang, cast(length(t) AS int) AS char_count, round({share(r'[^\p{L}]')}, 6) AS alpha_ratio, round({share(r'[^\p{Nd}]')}, 6) AS digit_ratio, round({share(r'[^.,;:!?()\[\]{}"\x27-]')}, 6) AS punct_ratio, round({share(r'[^\s]')}, 6) AS space_ratio, round({share(r'[^\p{Lu}]')}, 6) AS upper_ratio,
+    return f"""sem0 AS (SELECT *, {lang} AS lang, cast(length(t) AS int) AS char_count, cast({sentences} AS int) AS sentence_count, cast(length({d.rep('t', r'\s')}) AS double) / wc AS avg_word_length, round({share(r'[^\p{L}]')}, 6) AS alpha_ratio, round({share(r'[^\p{Nd}]')}, 6) AS digit_ratio, round({share(r'[^.,;:!?()\[\]{}"\x27-]')}, 6) AS punct_ratio, round({share(r'[^\s]')}, 6) AS space_ratio, round({share(r'[^\p{Lu}]')}, 6) AS upper_ratio,
   cast({d.size(d.filt('ws', 'w', has('lower(w)')))} AS double) / wc AS stop_ratio, {d.rx('t', r'^\p{Lu}')} AS first_cap, {d.size(d.filt('ws', 'w', 'NOT ' + d.rx('w', r'^\p{Lu}')))} = 0 AS all_cap_words,
   {d.rx('t', r'^\d+')} AS number_prefix, {d.rx('lt', r'^[ivx]+($|[^\p{L}\p{N}_])')} AS roman_prefix, {d.rx('lt', r'^[a-z]\)')} AS letter_prefix, {cases(*[(d.rx('t', p), repr(n)) for p, n, _ in C.SECTION_PATTERNS])} AS section_pattern, {cases(*[(d.rx('t', p), str(k)) for p, _, k in C.SECTION_PATTERNS], other='0')} AS section_level,
   {', '.join(f"{any_of('lt', w, d)} AS is_{k}" for k, w in C.CONTENT_TYPES.items())}, {d.rx('t', r'(^|[^\p{L}\p{N}_])[A-Z]{2,}($|[^\p{L}\p{N}_])')} AS has_acronyms, {any_of('lt', C.TECHNICAL, d)} AS has_technical,
-  {d.size(d.filt('ws', 'w', f"{d.rx('w', r'^\p{Lu}')} AND NOT {has('lower(w)')}"))} > CASE WHEN {d.rx('t', r'^\p{Lu}')} AND NOT {has(f"lower({d.at('ws', 1)})")} THEN 1 ELSE 0 END AS has_proper FROM base WHERE t <> ''),
-sem AS (SELECT *, {marker} AS has_marker, {native} AS native_section FROM sem0)"""
+  {d.size(d.filt('ws', 'w', f"{d.rx('w', r'^\p{Lu}')} AND NOT {has('lower(w)')}"))} > CASE WHEN {d.rx('t', r'^\p{Lu}')} AND NOT {has(f"lower({d.at('ws', 1)})")} THEN 1 ELSE 0 END AS has_proper FROM {src} WHERE t <> ''),
+sem AS (SELECT *, {marker} AS has_marker, {native} AS native_section, {numbering} AS native_numbering, {common} AS common_heading FROM sem0)"""
 
 
 @register(*BASE, semantic)
 def linguistic_features(d):
-    return "SELECT doc_id, seq, char_count, wc AS word_count, alpha_ratio, digit_ratio, punct_ratio, space_ratio, upper_ratio, first_cap AS first_word_capitalized, all_cap_words AS all_words_capitalized, ttl AS title_case, isup AS all_caps, round(stop_ratio, 6) AS stop_word_ratio FROM sem"
+    return "SELECT doc_id, seq, char_count, wc AS word_count, round(avg_word_length, 6) AS avg_word_length, sentence_count, alpha_ratio, digit_ratio, punct_ratio, space_ratio, upper_ratio, first_cap AS first_word_capitalized, all_cap_words AS all_words_capitalized, ttl AS title_case, isup AS all_caps, round(stop_ratio, 6) AS stop_word_ratio FROM sem"
 
 
 @register(*BASE, semantic)
@@ -244,9 +237,33 @@ def pattern_features(d):
     return f"SELECT doc_id, seq, number_prefix, roman_prefix, letter_prefix, section_pattern, section_level, right(t, 1) = ':' AS ends_with_colon, right(t, 1) = '.' AS ends_with_period, contains(t, '?') AS has_question_mark, contains(t, '!') AS has_exclamation, contains(t, '(') AND contains(t, ')') AS has_parentheses FROM sem"
 
 
+def vocabulary_share(d: Spark) -> str:
+    """Of a block's distinct words, the share that is a key of a domain's vocabulary: the keys name levels of confidence,
+    not terms, so hardly any text has one, and all domains score the same."""
+    words = d.distinct(d.words("lt"))
+    return f"cast({d.size(d.both(words, d.arr([d.s(x) for x in C.VOCABULARY_LEVELS])))} AS double) / greatest({d.size(words)}, 1)"
+
+
 @register(*BASE, semantic)
 def semantic_features(d):
-    return "SELECT doc_id, seq, lang AS language, " + ", ".join(f"is_{k}" for k in C.CONTENT_TYPES) + ", has_proper AS has_proper_nouns, has_technical AS has_technical_terms, has_acronyms, has_marker AS has_chapter_marker, native_section AS matches_section_pattern, 'academic' AS dominant_domain, " + f"{d.f(0)} AS max_vocabulary_score FROM sem"
+    scores = {k: f"round({vocabulary_share(d)}, 6)" for k in C.VOCABULARY}
+    top = cases(*[(f"{k}_share >= greatest({', '.join(f'{x}_share' for x in scores)})", repr(k)) for k in scores])
+    rest = ", ".join([*[f"is_{k}" for k in C.CONTENT_TYPES], "has_proper AS has_proper_nouns", "has_technical AS has_technical_terms", "has_acronyms", "has_marker AS has_chapter_marker", "native_section AS matches_section_pattern", "native_numbering AS has_native_numbering", "common_heading AS is_common_heading"])
+    return f"SELECT doc_id, seq, lang AS language, {rest}, {', '.join(f'{k}_share' for k in scores)}, {top} AS dominant_domain, greatest({', '.join(f'{k}_share' for k in scores)}) AS max_vocabulary_score FROM (SELECT *, {', '.join(f'{x} AS {k}_share' for k, x in scores.items())} FROM sem) z"
+
+
+@register(*BASE, semantic, lambda d: probability(d))
+def text_semantics(d):
+    """All that is said of a block's text, in one row of groups."""
+    group = {
+        "linguistic": ["char_count", "wc", "sentence_count", "alpha_ratio", "digit_ratio", "punct_ratio", "space_ratio", "upper_ratio", "first_cap", "all_cap_words", "ttl", "isup"],
+        "pattern": ["number_prefix", "roman_prefix", "letter_prefix", "section_level"],
+        "semantic": [*[f"is_{k}" for k in C.CONTENT_TYPES], "has_proper", "has_technical", "has_acronyms"],
+        "multilingual": ["has_marker", "native_section", "native_numbering", "common_heading"],
+    }
+    whole = lambda c: f"cast(round({c} * 1000000) AS bigint)" if c.endswith("_ratio") else c
+    text = lambda c: f"'{c}=' || lower({num(d, whole(c))})"
+    return f"SELECT doc_id, seq, lang AS language, {', '.join(f'{" || ' ' || ".join(map(text, c))} AS {k}' for k, c in group.items())}, probability AS heading_probability, {lvl(d)} AS suggested_level, confidence FROM judged"
 
 
 def probability(d: Spark) -> str:
@@ -265,8 +282,12 @@ def heading_probability(d):
 
 @register(*BASE, semantic, probability)
 def structure_summary(d):
+    """Headings, depth, languages and domain shares of a document; a domain's share is of all vocabulary found."""
     p = f"probability > {d.f(.3)}"
-    return f"SELECT doc_id, cast(count(*) AS bigint) AS total_blocks, cast(count_if({p}) AS bigint) AS potential_headings, cast(count_if({p} AND lv = 1) AS bigint) AS h1, cast(count_if({p} AND lv = 2) AS bigint) AS h2, cast(count_if({p} AND lv = 3) AS bigint) AS h3, cast(count(DISTINCT CASE WHEN {p} THEN lv END) AS bigint) AS hierarchy_depth FROM judged GROUP BY doc_id"
+    score = lambda h, m: f"sum(({count_of('lt', h, d)} + {d.f(.6)} * {count_of('lt', m, d)}) / greatest(wc, 1))"
+    total = " + ".join(C.VOCABULARY)
+    return f"""SELECT doc_id, total_blocks, potential_headings, h1, h2, h3, hierarchy_depth, languages, {', '.join(f'CASE WHEN {total} > 0 THEN round({k} / ({total}), 5) ELSE {d.f(0)} END AS {k}' for k in C.VOCABULARY)} FROM (SELECT doc_id, cast(count(*) AS bigint) AS total_blocks, cast(count_if({p}) AS bigint) AS potential_headings, cast(count_if({p} AND lv = 1) AS bigint) AS h1, cast(count_if({p} AND lv = 2) AS bigint) AS h2, cast(count_if({p} AND lv = 3) AS bigint) AS h3,
+  cast(count(DISTINCT CASE WHEN {p} THEN lv END) AS bigint) AS hierarchy_depth, cast(count(DISTINCT lang) AS bigint) AS languages, {', '.join(f'{score(h, m)} AS {k}' for k, (h, m) in C.VOCABULARY.items())} FROM judged GROUP BY doc_id) z"""
 
 
 def domains(d: Spark) -> str:
@@ -277,7 +298,7 @@ def domains(d: Spark) -> str:
 @register(*BASE, domains)
 def domain_scores(d):
     top = "greatest(academic, technical, business)"
-    return f"SELECT doc_id, seq, {', '.join(f'round({k}, 6) AS {k}' for k in C.VOCABULARY)}, round({top}, 6) AS max_domain_score, CASE WHEN academic >= {top} THEN 'academic' WHEN technical >= {top} THEN 'technical' ELSE 'business' END AS dominant_domain FROM domains"
+    return f"SELECT doc_id, seq, {', '.join(f'round({k}, 6) AS {k}' for k in C.VOCABULARY)}, round({top}, 6) AS max_domain_score, {', '.join(f'{any_of("lt", w, d)} AS is_{k}' for k, w in C.ENHANCED_TYPES.items())}, CASE WHEN academic >= {top} THEN 'academic' WHEN technical >= {top} THEN 'technical' ELSE 'business' END AS dominant_domain FROM domains"
 
 
 @register(*BASE, domains)
@@ -391,38 +412,6 @@ def section_numbers(d):
     return f"SELECT doc_id, seq, sec AS section_number, CASE WHEN sec = '' THEN 0 ELSE cast(least(length(sec) - length(replace(sec, '.', '')) + 1, 3) AS int) END AS section_depth, {d.size(d.both(d.words('lt'), words))} > 0 AS has_common_words FROM (SELECT *, {sec} AS sec FROM base)"
 
 
-@register(*BASE)
-def ml_features(d):
-    w = "OVER (PARTITION BY doc_id)"
-    share = lambda p: f"CASE WHEN t = '' THEN {d.f(0)} ELSE round(cast(length({d.rep('t', p)}) AS double) / length(t), 6) END"
-    flag = lambda c: f"CASE WHEN {c} THEN 1 ELSE 0 END"
-    return f"""SELECT doc_id, seq, font_size, round(font_size / avg(font_size) {w}, 6) AS font_size_ratio, CASE WHEN stddev_pop(font_size) {w} > 0 THEN round((font_size - avg(font_size) {w}) / stddev_pop(font_size) {w}, 6) ELSE {d.f(0)} END AS font_size_zscore, {flag('is_bold')} AS is_bold, {flag('is_italic')} AS is_italic, cast(length(t) AS int) AS char_count, wc AS word_count,
-  CASE WHEN wc = 0 THEN {d.f(0)} ELSE round(cast(length({d.rep('t', r'\s')}) AS double) / wc, 6) END AS avg_word_length, x0 AS x_position, y0 AS y_position, x1 - x0 AS width, y1 - y0 AS height, page + 1 AS page_number, {flag(d.rx('t', r'^\p{Nd}'))} AS starts_with_number, {flag("contains(t, ':')")} AS has_colon, {flag("contains(t, '.')")} AS has_period, {flag('isup AND wc > 0')} AS all_caps, {flag('ttl')} AS title_case,
-  {flag("right(t, 1) = '.'")} AS ends_with_period, {flag(d.rx('t', r'^\p{Lu}'))} AS starts_with_capital, {share(r'[^\p{Nd}]')} AS digit_ratio, {share(r'[^.,;:!?]')} AS punct_ratio, {share(r'[^\s]')} AS space_ratio, round(cume_dist() OVER (PARTITION BY doc_id ORDER BY font_size), 6) AS font_size_percentile, {flag(f'font_size = max(font_size) {w}')} AS is_largest_font, {flag(f'font_size > avg(font_size) {w}')} AS is_above_avg_font FROM base"""
-
-
-@register(*BASE)
-def comprehensive_features(d):
-    w = "OVER (PARTITION BY doc_id)"
-    flag = lambda c: f"CASE WHEN {c} THEN 1 ELSE 0 END"
-    numbering = {"decimal_1": r"^\d+\.\s+", "decimal_2": r"^\d+\.\d+\.\s+", "decimal_3": r"^\d+\.\d+\.\d+\.\s+", "roman": r"^[ivx]+\.\s+", "letter": r"^[a-z]\.\s+", "paren_number": r"^\d+\)\s+", "paren_letter": r"^\([a-z]\)\s+"}
-    return f"""SELECT doc_id, seq, font_size, round(font_size / avg(font_size) {w}, 6) AS font_size_ratio, {flag('is_bold')} AS is_bold, {flag('is_italic')} AS is_italic, {flag(f'font_size > {d.f(18)}')} AS is_display_font, {flag(f'font_size > {d.f(14)} AND is_bold')} AS is_title_font, x1 - x0 AS width, y1 - y0 AS height, CASE WHEN y1 > y0 THEN round((x1 - x0) / (y1 - y0), 6) ELSE {d.f(1)} END AS aspect_ratio, x0 - min(x0) {w} AS margin_distance, CASE WHEN stddev_pop(x0) {w} > 0 THEN round((x0 - avg(x0) {w}) / stddev_pop(x0) {w}, 6) ELSE {d.f(0)} END AS x_position_zscore,
-  {', '.join(f"{flag(d.rx('lt', p))} AS has_{k}" for k, p in numbering.items())}, {flag(any_rx('lt', list(numbering.values()), d))} AS has_any_numbering, {flag(d.rx('t', r'^\p{Nd}'))} AS starts_with_number, {flag(d.rx('t', r'^\p{L}'))} AS starts_with_letter, {flag(d.rx('t', r'^\p{Lu}'))} AS starts_with_capital, {flag("right(t, 1) = ':'")} AS ends_with_colon, {flag("contains(t, '?')")} AS has_question_mark, {flag(d.rx('t', r'(^|[^\p{L}\p{N}_])[A-Z]{2,}($|[^\p{L}\p{N}_])'))} AS has_acronyms, {flag("language = 'english'")} AS language_english FROM base"""
-
-
-@register(*BASE)
-def tfidf_terms(d):
-    """Terms of a document's blocks with smoothed weights: in two blocks or more, in at most 0.8 of them."""
-    src = d.explode("doc_id, seq, w", d.filt("toks", "w", f"length(w) >= 2 AND NOT {'array' if d.name == 'spark' else 'list'}_contains({d.arr([d.s(w) for w in C.STOP_WORDS])}, w)"), "w", f"(SELECT doc_id, seq, {d.split('lt', r'[^a-z0-9]+')} AS toks FROM base)")
-    return f"""SELECT doc_id, w AS term, cast(df AS bigint) AS df, cast(tf AS bigint) AS tf, round(ln((1 + cast(n AS double)) / (1 + df)) + 1, 6) AS idf FROM (SELECT q.doc_id, w, count(DISTINCT seq) AS df, count(*) AS tf, max(n) AS n FROM ({src}) q JOIN (SELECT doc_id, count(*) AS n FROM base GROUP BY doc_id) c ON q.doc_id = c.doc_id GROUP BY q.doc_id, w) z WHERE df >= 2 AND df <= {d.f(.8)} * n"""
-
-
-@register(adapter)
-def imputed_values(d):
-    gap = "CASE WHEN seq % 4 = 1 THEN NULL ELSE font_size END"
-    return f"SELECT b.doc_id, b.seq, coalesce(CASE WHEN b.seq % 4 = 1 THEN NULL ELSE b.font_size END, m.med) AS font_size FROM blocks b JOIN (SELECT doc_id, {d.pct(gap, .5)} AS med FROM blocks GROUP BY doc_id) m ON b.doc_id = m.doc_id"
-
-
 @register(*CORE, proposed)
 def detection_metrics(d):
     """Precision, recall and F1 of headings by lower text against blocks set in bold at 13 points and more."""
@@ -430,59 +419,19 @@ def detection_metrics(d):
     return f"""SELECT cast(tp AS bigint) AS tp, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn, round({r('tp', '(tp + fp)')}, 6) AS precision_score, round({r('tp', '(tp + fn)')}, 6) AS recall_score, round({r('2 * tp', '(2 * tp + fp + fn)')}, 6) AS f1 FROM (SELECT count_if(hit AND truth) AS tp, count_if(hit AND NOT truth) AS fp, count_if(NOT hit AND truth) AS fn FROM (SELECT kind, is_bold AND font_size >= {d.f(13)} AS truth, bool_or(ok) OVER (PARTITION BY doc_id, lower(htext)) AS hit FROM proposed) z WHERE kind = 0)"""
 
 
-@register(adapter)
-def augmented_samples(d):
-    heads = f"(SELECT * FROM blocks WHERE font_size >= {d.f(16)})"
-    return f"SELECT doc_id, seq, 0 AS variant, upper(replace(text, 'ß', 'ss')) AS text, font_size, x0 FROM {heads} UNION ALL SELECT doc_id, seq, 1 AS variant, text, font_size + 1 AS font_size, x0 + 20 AS x0 FROM {heads}"
-
-
 @register(adapter)
 def page_chunks(d):
     return f"SELECT doc_id, {d.idiv('page', '5')} AS chunk, min(page) AS first_page, max(page) AS last_page, cast(count(*) AS bigint) AS n_blocks FROM blocks GROUP BY doc_id, {d.idiv('page', '5')}"
 
 
 @register(adapter)
-def cluster_profiles(d):
-    """Profiles and ranked labels of font clusters, a cluster being a size of a document."""
+def size_profiles(d):
+    """Profiles and ranked labels of the font sizes of a document; of fitted clusters, see models.cluster_profiles."""
     words = d.size(d.words("text"))
     return f"""SELECT doc_id, font_size AS cluster_id, cast(n AS bigint) AS n, round(bold_ratio, 6) AS bold_ratio, round(words, 6) AS avg_word_count, CASE WHEN rn <= 6 AND score > 1 THEN 'H' || {num(d, 'rn')} ELSE 'TEXT' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, font_size DESC) AS rn FROM (SELECT *, round(font_size / 12 * {d.f(.5)} + bold_ratio * {d.f(.3)} + {d.f(.2)} / (1 + words / 10), 9) AS score FROM (SELECT doc_id, font_size, count(*) AS n, avg(CASE WHEN is_bold THEN {d.f(1)} ELSE {d.f(0)} END) AS bold_ratio, avg(cast({words} AS double)) AS words FROM blocks GROUP BY doc_id, font_size)))"""
 
 
-# --- reports
-
-
-@register(*HEADS)
-def preview_lines(d):
-    text = "CASE WHEN length(text) > 80 THEN substring(text, 1, 77) || '...' ELSE text END"
-    return f"SELECT doc_id, pos, repeat(' ', (lv - 1) * 2) || {lvl(d)} || ': ' || {text} || ' (Page ' || {num(d, 'page + 1')} || ')' AS line FROM heads"
-
-
-@register(*HEADS, parents)
-def preview_markdown(d):
-    anchor = d.rep("replace(lower(text), ' ', '-')", r"[^\p{L}\p{N}-]")
-    return f"SELECT doc_id, pos, repeat('  ', lv - 1) || '- [' || text || '](#' || {anchor} || ') *(Page ' || {num(d, 'page + 1')} || ')*' AS toc_line, prev_page IS NULL OR prev_page <> page AS page_break, repeat('#', lv + 2) || ' ' || text AS body_line FROM parents"
-
-
-@register(*HEADS, parents)
-def structure_report(d):
-    return f"SELECT doc_id, pos, lpad({num(d, 'pos')}, greatest(2, cast(length({num(d, 'pos')}) AS int)), ' ') || '. ' || repeat('  ', lv - 1) || {lvl(d)} || ': ' || text || ' (p.' || {num(d, 'page + 1')} || ')' || CASE WHEN raw <> lv THEN ' [adjusted, was:' || {lvl(d, 'raw')} || ']' ELSE '' END AS line FROM parents"
-
-
-@register(*HEADS)
-def quick_summary(d):
-    part = lambda k: f"CASE WHEN n{k} > 0 THEN {num(d, f'n{k}')} || ' H{k}' END"
-    return f"SELECT doc_id, concat_ws(', ', {part(1)}, {part(2)}, {part(3)}) || ' (' || {num(d, 'n')} || ' total)' AS summary FROM (SELECT doc_id, count(*) AS n, count_if(lv = 1) AS n1, count_if(lv = 2) AS n2, count_if(lv = 3) AS n3 FROM heads GROUP BY doc_id)"
-
-
-@register(*HEADS)
-def comparison_report(d):
-    change = lambda k: f"{num(d, f'a{k}')} || ' → ' || {num(d, f'b{k}')} AS h{k}, cast(b{k} - a{k} AS bigint) AS change_h{k}"
-    return f"SELECT doc_id, {change(1)}, {change(2)}, {change(3)}, cast(adj AS bigint) AS n_adjusted FROM (SELECT doc_id, {', '.join(f'count_if(raw = {k}) AS a{k}, count_if(lv = {k}) AS b{k}' for k in (1, 2, 3))}, count_if(raw <> lv) AS adj FROM heads GROUP BY doc_id)"
-
-
-@register(*HEADS)
-def hierarchy_report(d):
-    return f"SELECT doc_id, {lvl(d)} AS level, cast(count(*) AS bigint) AS n, round(count(*) * {d.f(100)} / sum(count(*)) OVER (PARTITION BY doc_id), 1) AS percentage FROM heads GROUP BY doc_id, lv"
+# --- web pages
 
 
 def page_elements(d: Spark) -> str:

@@ -85,3 +85,5 @@ TITLE_PATTERNS = [(r"^title[:\s]+(.+)", 0.9), (r"^(.+)\s*[-–—]\s*(?:report|s
 SANS = ["arial", "helvetica", "calibri", "verdana"]
 SERIF = ["times", "georgia", "garamond"]
 STRATEGY_WEIGHTS = {"rules": 0.35, "fonts": 0.25, "semantics": 0.20, "layout": 0.15, "model": 0.05}
+# Keys of the domain vocabularies, which stand where their terms should.
+VOCABULARY_LEVELS = ["high_confidence", "medium_confidence"]

@@ -5,7 +5,10 @@ from __future__ import annotations
 from ..functions.dialect import Spark, any_of, any_rx, cases, count_of, is_title, is_upper, jaccard, pts
 from . import constants as C
 
+#: Pages of a document that are read, as the scan has it.
 PAGE_CAP = 50
+#: Lines that the adapter puts in, so that every table of patterns has something to find.
+PHRASES = ["Executive Summary", "Background", "Timeline:", "2. Terms of Reference", "3. Membership", "Appendix B", "Approach and Specific Goals", "Methodology and Results", "API Reference and Installation", "Market Analysis and Budget", "Chapitre 4 : résumé et conclusion", "Kapitel 2 Zusammenfassung", "Capítulo 5 Conclusión", "第3章 概要", "第２节 引言", "What is a Framework?", "A report: an overview", "Annual Study - Report"]
 
 
 def adapter(d: Spark) -> str:
@@ -13,7 +16,10 @@ def adapter(d: Spark) -> str:
     wc = d.size(d.filt(d.split("line", r"[ \t]+"), "x", "x <> ''"))
     src = d.explode("doc_id, pos, trim(raw) AS line", f"split(text, {d.nl})" if d.name == "spark" else f"string_split(text, {d.nl})", "raw", "documents", "pos")
     n = "cast(seq AS string)" if d.name == "spark" else "cast(seq AS varchar)"
-    text = cases((f"seq % 9 = 2", f"{n} || '. ' || line"), ("seq % 9 = 4", f"{n} || '.1 ' || line"), ("seq % 9 = 6", f"substring(line, 1, 30) || ' ..... ' || {n}"), ("seq % 9 = 8", f"'Page ' || {n}"), other="line")
+    k = f"{d.idiv('seq', '9')} + doc_id"
+    phrase = cases(*[(f"({k}) % {len(PHRASES)} = {i}", d.s(x)) for i, x in enumerate(PHRASES)])
+    third = f"cast({d.idiv('seq', '27')} AS {'string' if d.name == 'spark' else 'varchar'})"
+    text = cases(("doc_id % 3 = 0 AND seq % 8 = 7", "'Confidential draft'"), ("doc_id % 4 = 1 AND seq % 9 = 7", phrase), ("seq % 9 = 2", f"{n} || '. ' || line"), ("seq % 9 = 4", f"{n} || '.1 ' || line"), ("seq % 9 = 6", f"substring(line, 1, 30) || ' ..... ' || {n}"), ("doc_id % 2 = 0 AND seq % 9 = 8", f"'Page ' || {third}"), ("seq % 9 = 8", f"'Page ' || {n}"), other="line")
     size = cases(("seq = 0", d.f(20)), ("wc <= 3", d.f(16)), ("wc <= 8", d.f(13)), other=f"{d.f(10)} + (length(line) % 3) * {d.f(0.5)}")
     return f"""lines AS ({src}),
 counted AS (SELECT doc_id, cast(pos AS int) AS seq, line, {wc} AS wc FROM lines),
@@ -177,16 +183,24 @@ def block_scan_simple(d):
     return "SELECT doc_id, seq, page, trim(text) AS text, font_size, is_bold, y0 AS y_pos FROM blocks WHERE length(trim(text)) >= 3"
 
 
+def span_flags() -> str:
+    return "CASE WHEN is_bold THEN 16 ELSE 0 END + CASE WHEN is_italic THEN 2 ELSE 0 END + CASE WHEN seq % 5 = 1 THEN 4 ELSE 0 END + CASE WHEN seq % 7 = 3 THEN 8 ELSE 0 END"
+
+
+def font_name() -> str:
+    return cases(("seq % 4 = 0", "'Arial-BoldMT'"), ("seq % 4 = 1", "'TimesNewRoman'"), ("seq % 4 = 2", "'Calibri'"), other="'CourierNew'")
+
+
 def spans(d):
-    flags = "CASE WHEN is_bold THEN 16 ELSE 0 END + CASE WHEN is_italic THEN 2 ELSE 0 END + CASE WHEN seq % 5 = 1 THEN 4 ELSE 0 END + CASE WHEN seq % 7 = 3 THEN 8 ELSE 0 END"
-    font = cases(("seq % 4 = 0", "'Arial-BoldMT'"), ("seq % 4 = 1", "'TimesNewRoman'"), ("seq % 4 = 2", "'Calibri'"), other="'CourierNew'")
-    src = d.explode("doc_id, page, seq, span, word, font_size, flags, font", "ws", "word", f"(SELECT *, {d.words('text')} AS ws, {flags} AS flags, {font} AS font FROM blocks)", "span")
-    return f"spans AS ({src})"
+    """Words as spans, each with its own box, that of its line and of its block, and the page's."""
+    place = f"x0 + span * {d.f(30)}"
+    src = d.explode("doc_id, page, seq, span, word, font_size, flags, font, x0, y0, x1, y1, page_x1, page_y1", "ws", "word", f"(SELECT *, {d.words('text')} AS ws, {span_flags()} AS flags, {font_name()} AS font, max(x1) OVER (PARTITION BY doc_id, page) AS page_x1, max(y1) OVER (PARTITION BY doc_id, page) AS page_y1 FROM blocks)", "span")
+    return f"spans AS (SELECT *, {place} AS sx0, {place} + {d.f(5)} * length(word) AS sx1 FROM ({src}) z)"
 
 
 @register(adapter, spans)
 def span_scan(d):
-    return "SELECT doc_id, page, seq, cast(span AS int) AS span, word AS text, font_size AS size, cast(flags AS int) AS flags, font FROM spans WHERE length(word) >= 2"
+    return "SELECT doc_id, page, seq, cast(span AS int) AS span, word AS text, font_size AS size, cast(flags AS int) AS flags, font, sx0 AS x0, y0, sx1 AS x1, y1, x0 AS line_x0, y0 AS line_y0, x1 AS line_x1, y1 AS line_y1, x0 AS block_x0, y0 AS block_y0, x1 AS block_x1, y1 AS block_y1, page_x1 AS page_width, page_y1 AS page_height FROM spans WHERE length(word) >= 2"
 
 
 @register(adapter, spans)
@@ -207,17 +221,48 @@ def layout_rectangles(d):
     return f"SELECT doc_id, page, 'rect_' || {num(d, 'row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1')} AS id, 'rectangle' AS type, x0, y0, x1, y1, x1 - x0 AS width, y0 + 40 - y0 AS height FROM blocks WHERE x1 - x0 > {d.f(50)} AND seq % 3 = 0"
 
 
-@register()
 def input_validation(d):
-    return "SELECT doc_id, n_chars, n_chars <= 104857600 AND n_chars > 0 AS valid FROM documents"
+    """The test of a file's name and size, on made-up names: the suffix in any case, at most 100 MB, not empty."""
+    name = f"'doc' || {num(d, 'doc_id')} || CASE WHEN doc_id % 5 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.pdf' END"
+    return f"SELECT doc_id, name, size, lower(name) LIKE '%.pdf' AS is_pdf, size <= 104857600 AS is_small, lower(name) LIKE '%.pdf' AND size <= 104857600 AS valid FROM (SELECT doc_id, {name} AS name, n_chars * CASE WHEN doc_id % 7 = 3 THEN 200000 ELSE 1 END AS size FROM documents) z"
 
 
-PLANS["input_validation"] = lambda d: input_validation(d)
+PLANS["input_validation"] = input_validation
+
+
+@register(adapter)
+def normalised_blocks(d):
+    """Blocks as another extractor may leave them, without size, name or box, made whole: the size is the block's, else that
+    of its font, else 12; the name likewise, else unknown; blocks without text go."""
+    size, other = "CASE WHEN seq % 3 = 1 THEN NULL ELSE font_size END", "CASE WHEN seq % 6 = 1 THEN NULL ELSE font_size + 1 END"
+    name, second = f"CASE WHEN seq % 2 = 1 THEN NULL WHEN seq % 10 = 0 THEN '' ELSE {font_name()} END", f"CASE WHEN seq % 4 = 1 THEN NULL ELSE {font_name()} END"
+    box = lambda c: f"coalesce(CASE WHEN seq % 5 = 2 THEN NULL ELSE {c} END, {d.f(0)}) AS {c}"
+    return f"SELECT doc_id, seq, page, trim(text) AS text, coalesce({size}, {other}, {d.f(12)}) AS font_size, coalesce(nullif({name}, ''), nullif({second}, ''), 'unknown') AS font_name, {', '.join(box(c) for c in ('x0', 'y0', 'x1', 'y1'))} FROM blocks WHERE trim(text) <> ''"
+
+
+@register(adapter, base)
+def estimated_sizes(d):
+    """Sizes where none is known: 16 for capitals under 50 characters, 14 for texts under 100, else 12."""
+    return f"SELECT doc_id, seq, coalesce(size, {cases(('isup AND length(text) < 50', d.f(16)), ('length(text) < 100', d.f(14)), other=d.f(12))}) AS font_size FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN font_size END AS size FROM base) z"
+
+
+@register(adapter)
+def level_numbers(d):
+    """Levels H1 to H6 as numbers and back; anything else counts as 3."""
+    name = f"CASE WHEN seq % 8 = 7 THEN 'body' ELSE 'H' || {num(d, 'seq % 8')} END"
+    n = cases(*[(f"level = 'H{k}'", str(k)) for k in range(1, 7)], other="3")
+    return f"SELECT doc_id, seq, level, number, {cases(*[(f'number = {k}', repr(f'H{k}')) for k in range(1, 7)], other=repr('H3'))} AS name FROM (SELECT *, {n} AS number FROM (SELECT doc_id, seq, {name} AS level FROM blocks) y) z"
+
+
+@register(adapter)
+def time_estimate(d):
+    return f"SELECT doc_id, cast(pages AS bigint) AS pages, round({d.f(1)} + {d.f(.15)} * pages, 6) AS seconds FROM (SELECT doc_id, count(DISTINCT page) AS pages FROM blocks GROUP BY doc_id) z"
 
 
 @register(adapter)
 def clean_span_text(d):
-    one = f"CASE WHEN length(text) < 4 THEN text ELSE {d.rep('text', r'(^|[^\p{L}\p{N}_])[a-zA-Z]\s+([a-zA-Z]{3,})', '$1$2')} END"
+    """Runs of four letters and more, then a lone letter before a word."""
+    one = f"CASE WHEN length(text) < 4 THEN text ELSE {d.rep(d.runs('text', 4), r'(^|[^\p{L}\p{N}_])[a-zA-Z]\s+([a-zA-Z]{3,})', '$1$2')} END"
     return f"SELECT doc_id, seq, {one} AS text FROM blocks"
 
 
@@ -225,7 +270,9 @@ def clean_span_text(d):
 def clean_block_steps(d):
     a = f"trim({d.rep('text', r'\s+', ' ')})"
     b = d.rep(a, r"\b([A-Z])\s+([A-Z])\s+([A-Z])\b", "$1$2$3")
-    return f"SELECT doc_id, seq, {d.rep(b, r'\b([A-Za-z])\s+([A-Za-z])\s+([A-Za-z])\s+([A-Za-z])\b', '$1$2$3$4')} AS text FROM blocks"
+    # Five of the six steps; the repair of substrings repeated three times needs a back-reference (clean_blocks_full).
+    c = d.rep(b, r"\b([A-Za-z])\s+([A-Za-z])\s+([A-Za-z])\s+([A-Za-z])\b", "$1$2$3$4")
+    return f"SELECT doc_id, seq, {d.rep(d.runs('c', 3), r'\b[a-z]\s+([a-z]{4,})\s+[a-z]+o{3,}r\s+', '$1 for ')} AS text FROM (SELECT doc_id, seq, {c} AS c FROM blocks) z"
 
 
 @register(adapter)
@@ -361,18 +408,49 @@ def exact_header_groups(d):
   JOIN (SELECT doc_id, kind, count(DISTINCT page) AS n FROM candidates GROUP BY doc_id, kind) a ON g.doc_id = a.doc_id AND g.kind = a.kind WHERE cast(g.n AS double) / a.n >= {d.f(.7)}"""
 
 
-@register(*REGIONS)
+def similar(d: Spark, a: str, b: str) -> str:
+    """Jaccard of the words of two texts, 0.8 at least where one holds the other; 0 where either is empty."""
+    x, y = d.distinct(d.words(a)), d.distinct(d.words(b))
+    j = jaccard(d, x, y)
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN {d.f(0)} WHEN contains({a}, {b}) OR contains({b}, {a}) THEN greatest({j}, {d.f(.8)}) ELSE {j} END"
+
+
+def led(d: Spark) -> str:
+    """groups(doc_id, kind, page, seq, lead): each header or footer candidate with the first text, in reading order, that
+    it is similar to; and patterns(doc_id, kind, pattern, page) of all four kinds on the pages they hold for."""
+    if d.name == "spark":
+        texts = "transform(array_sort(collect_list(struct(page, seq, lt))), x -> x.lt)"
+        fold = f"aggregate({texts}, cast(array() AS array<string>), (acc, x) -> CASE WHEN exists(acc, a -> a = x OR {similar(d, 'x', 'a')} >= {d.f(.8)}) THEN acc ELSE concat(acc, array(x)) END)"
+    else:
+        fold = f"list_reduce(list_transform(list(lt ORDER BY page, seq), lambda q: [q]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda a: a = y[1] OR {similar(d, 'y[1]', 'a')} >= {d.f(.8)})) > 0 THEN acc ELSE list_concat(acc, y) END)"
+    lead = d.at(d.filt("ls", "a", f"a = lt OR {similar(d, 'lt', 'a')} >= {d.f(.8)}"), 1)
+    return f"""leaders AS (SELECT doc_id, kind, {fold} AS ls, count(DISTINCT page) AS all_pages FROM candidates GROUP BY doc_id, kind),
+groups AS (SELECT doc_id, kind, page, seq, all_pages, {lead} AS lead FROM (SELECT c.doc_id, c.kind, c.page, c.seq, c.lt, l.ls, l.all_pages FROM candidates c JOIN leaders l ON c.doc_id = l.doc_id AND c.kind = l.kind) z),
+regions_ AS (SELECT doc_id, kind, lead, count(DISTINCT page) AS n, max(all_pages) AS all_pages FROM groups GROUP BY doc_id, kind, lead HAVING cast(count(DISTINCT page) AS double) / max(all_pages) >= {d.f(.7)}),
+patterns AS (SELECT DISTINCT g.doc_id, g.kind, g.lead AS pattern, g.page FROM groups g JOIN regions_ r ON g.doc_id = r.doc_id AND g.kind = r.kind AND g.lead = r.lead
+  UNION ALL SELECT DISTINCT n.doc_id, 'page_number' AS kind, n.lt AS pattern, n.page FROM numbers n JOIN (SELECT doc_id, lt FROM numbers GROUP BY doc_id, lt HAVING count(DISTINCT page) >= 2) v ON n.doc_id = v.doc_id AND n.lt = v.lt
+  UNION ALL SELECT DISTINCT o.doc_id, 'repeated_element' AS kind, lower(r.text_pattern) AS pattern, o.page FROM (SELECT *, substring(lt, 1, 20) AS head, cast(floor(y0 / greatest(page_h, {d.f(1)}) * 10) AS int) AS bucket FROM on_page WHERE length(t) >= 3 AND NOT likely) o JOIN repeats r ON o.doc_id = r.doc_id AND o.head = r.head AND o.bucket = r.bucket WHERE cast(r.on_pages AS double) / r.n_pages >= {d.f(.7)}),
+marked_out AS (SELECT b.doc_id, b.seq, min(p.kind) AS kind FROM base b JOIN patterns p ON b.doc_id = p.doc_id AND b.page = p.page AND {similar(d, 'b.lt', 'p.pattern')} >= {d.f(.8)} GROUP BY b.doc_id, b.seq)"""
+
+
+@register(*REGIONS, led)
+def header_footer_groups(d):
+    return "SELECT doc_id, kind, lead AS text_pattern, cast(n AS bigint) AS n_pages, round(cast(n AS double) / all_pages, 6) AS repetition_rate FROM regions_"
+
+
+@register(*REGIONS, led)
 def header_footer_filter(d):
-    """Blocks that match no validated pattern on its pages: equal or containing text, or word sets at 0.8."""
-    sim = f"(contains(b.lt, p.pat) OR contains(p.pat, b.lt) OR {jaccard(d, d.distinct('b.ws2'), d.distinct('p.pw'))} >= {d.f(.8)})"
-    return f"""SELECT b.doc_id, b.seq, b.page, b.t AS text FROM (SELECT *, {d.words('lt')} AS ws2 FROM base) b WHERE NOT EXISTS (SELECT 1 FROM (SELECT n.doc_id, n.page, n.lt AS pat, {d.words('n.lt')} AS pw FROM (SELECT DISTINCT doc_id, page, lt FROM numbers) n JOIN (SELECT doc_id, lt FROM numbers GROUP BY doc_id, lt HAVING count(DISTINCT page) >= 2) v ON n.doc_id = v.doc_id AND n.lt = v.lt) p WHERE p.doc_id = b.doc_id AND p.page = b.page AND b.lt <> '' AND {sim})"""
+    """Blocks that match no pattern of their page: page numbers, headers, footers, repeated elements."""
+    return "SELECT b.doc_id, b.seq, b.page, b.t AS text FROM base b LEFT JOIN marked_out m ON b.doc_id = m.doc_id AND b.seq = m.seq WHERE m.doc_id IS NULL"
 
 
-@register(*REGIONS)
+@register(*REGIONS, led)
 def filter_report(d):
-    return """SELECT m.doc_id, cast(m.n_pages AS bigint) AS n_pages, cast(coalesce(c.h, 0) AS bigint) AS headers, cast(coalesce(c.f, 0) AS bigint) AS footers, cast(coalesce(n.k, 0) AS bigint) AS page_numbers, cast(coalesce(r.k, 0) AS bigint) AS repeated FROM multi m
-  LEFT JOIN (SELECT doc_id, count_if(kind = 'header') AS h, count_if(kind = 'footer') AS f FROM candidates GROUP BY doc_id) c ON m.doc_id = c.doc_id
-  LEFT JOIN (SELECT doc_id, count(*) AS k FROM numbers GROUP BY doc_id) n ON m.doc_id = n.doc_id LEFT JOIN (SELECT doc_id, count(*) AS k FROM repeats GROUP BY doc_id) r ON m.doc_id = r.doc_id"""
+    kinds = ("header", "footer", "page_number", "repeated_element")
+    count = ", ".join(f"cast(coalesce(p.{k}, 0) AS bigint) AS {k}s" for k in kinds)
+    each = ", ".join(f"count(DISTINCT CASE WHEN kind = '{k}' THEN pattern END) AS {k}" for k in kinds)
+    return f"""SELECT a.doc_id, cast(a.n AS bigint) AS total_blocks, cast(coalesce(g.n, 0) AS bigint) AS blocks_filtered, {count}, round(cast(coalesce(g.n, 0) AS double) / a.n, 6) AS filter_rate FROM (SELECT doc_id, count(*) AS n FROM base GROUP BY doc_id) a
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM marked_out GROUP BY doc_id) g ON a.doc_id = g.doc_id LEFT JOIN (SELECT doc_id, {each} FROM patterns GROUP BY doc_id) p ON a.doc_id = p.doc_id"""
 
 
 @register(*CORE, scored)
@@ -403,7 +481,15 @@ def result_document(d):
 
 @register(*HEADS)
 def result_validation(d):
-    return "SELECT doc_id, bool_and(lv BETWEEN 1 AND 3 AND page + 1 >= 1 AND text <> '') AS valid, cast(count(*) AS bigint) AS n FROM heads GROUP BY doc_id"
+    """The test of results, some of them spoilt: levels H1 to H3, pages from 1, texts there."""
+    return f"""SELECT doc_id, cast(count(*) AS bigint) AS n, bool_and(level IN ('H1', 'H2', 'H3')) AS levels_valid, bool_and(page >= 1) AS pages_valid, bool_and(text <> '') AS texts_valid, bool_and(level IN ('H1', 'H2', 'H3') AND page >= 1 AND text <> '') AS valid
+  FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 2 AND pos = 1 THEN 'H4' ELSE {lvl(d)} END AS level, CASE WHEN doc_id % 11 = 3 THEN page ELSE page + 1 END AS page, CASE WHEN doc_id % 13 = 5 AND pos = 2 THEN '' ELSE text END AS text FROM heads) z GROUP BY doc_id"""
+
+
+@register(*HEADS)
+def hierarchy_statistics(d):
+    """Headings, adjustments and gaps fixed: a gap is a heading more than one level below the one before it as it came."""
+    return """SELECT doc_id, cast(count(*) AS bigint) AS total_headings, cast(count_if(raw <> lv) AS bigint) AS level_adjustments, cast(count_if(coalesce(raw > before + 1, false)) AS bigint) AS gaps_fixed FROM (SELECT *, lag(lv) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM heads) z GROUP BY doc_id"""
 
 
 @register(*HEADS)
