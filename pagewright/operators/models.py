@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import run
-
-FEATURES = ["font_size_ratio", "font_size_zscore", "is_italic", "char_count", "word_count", "avg_word_length", "x_position", "y_position", "width", "height", "starts_with_number", "has_colon", "has_period", "all_caps", "title_case", "starts_with_capital", "digit_ratio", "punct_ratio", "space_ratio", "font_size_percentile"]
+from . import run, run_on_blocks
+
+#: The classifier's columns, less font_size and is_bold, of which the made-up label consists, and what follows from them.
+FEATURES = ["font_size_ratio", "font_size_zscore", "is_italic", "char_count", "word_count", "avg_word_length", "x_position", "y_position", "width", "height", "page_number", "starts_with_number", "has_colon", "has_period", "all_caps", "title_case", "ends_with_period", "starts_with_capital", "has_section_number", "section_depth", "has_common_words", "digit_ratio", "punct_ratio", "space_ratio", "font_size_percentile", "is_largest_font", "is_above_avg_font", "prev_vertical_gap", "prev_font_size_diff", "next_vertical_gap", "next_font_size_diff", "relative_y_position"]
+#: Columns that belong to a group are those whose name holds one of its parts (fixed values).
+GROUPS = {
+    "font": ["font_size", "is_bold", "is_italic", "font_flags", "is_serif", "is_sans", "monospace", "display_font", "title_font"],
+    "position": ["x_position", "y_position", "width", "height", "distance", "aspect", "aligned", "centered", "indentation"],
+    "text": ["char_count", "word_count", "sentence", "word_length", "ratio", "title_case", "all_caps", "capitalized", "language"],
+    "pattern": ["has_decimal", "has_roman", "has_letter", "has_paren", "numbering", "section", "starts_with", "ends_with", "acronyms"],
+    "semantic": ["probability", "confidence", "vocab", "keywords", "proper", "technical", "is_question", "is_instruction", "is_definition"],
+    "context": ["block_index", "relative", "first_block", "last_block", "whitespace", "nearby", "diff", "gap"],
+    "rule": ["rule_"],
+    "model": ["ml_"],
+}
 #: Blocks that a model is fitted on at most (expected), drawn by hash; models score every block, held-out ones too.
 FIT_ROWS = 20_000
 FOLDS = 5
@@ -31,6 +48,25 @@ def sample(rows: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
     return rows if n <= limit else rows.where(share < limit / n)
 
 
+def configured(config: dict[str, object] | None = None) -> dict[str, object]:
+    """Thresholds, weights and settings with their standing values, some of them replaced; unknown names are refused."""
+    known: dict[str, object] = {"threshold": 0.5, "folds": FOLDS, "fit_rows": FIT_ROWS, "trees": 100, "depth": 10, "rounds": 50, "step": 0.1, "iterations": 1000}
+    if unknown := set(config or {}) - set(known):
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+    return known | (config or {})
+
+
+def read_config(path: str) -> dict[str, object]:
+    """Settings of a JSON file, checked."""
+    return configured(json.loads(Path(path).read_text()))
+
+
+def feature_groups(columns: list[str]) -> dict[str, list[str]]:
+    """The columns of each group that has any."""
+    found = {k: [c for c in columns if any(x in c for x in parts)] for k, parts in GROUPS.items()}
+    return {k: x for k, x in found.items() if x}
+
+
 def pipeline(kind: str = "forest", features: list[str] | None = None) -> Pipeline:
     model = {
         "forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, minInstancesPerNode=2, seed=42, featuresCol="scaled"),
@@ -81,19 +117,50 @@ def cross_validate(rows: DataFrame, kind: str = "logistic", folds: int = FOLDS,
     return out
 
 
-def grid_search(rows: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """Mean F1 over all folds of a grid of logistic settings, best first; every held-out row is scored."""
+def cross_validation_summary(folds: DataFrame) -> DataFrame:
+    """Mean and standard deviation over the folds of each metric."""
+    out = None
+    for m in ("accuracy", "precision", "recall", "f1"):
+        row = folds.select(F.lit(m).alias("metric"), m).groupBy("metric").agg(F.avg(m).alias("mean"), F.stddev_pop(m).alias("deviation"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def grids(small: bool = False) -> dict[str, list[dict[str, float]]]:
+    """Settings of each kind of model: every combination, or two of each where small."""
+    full = {
+        "forest": {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4]},
+        "boosting": {"maxIter": [50, 100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 6, 9]},
+        "logistic": {"regParam": [10.0, 1.0, 0.1, 0.01], "elasticNetParam": [0.0, 1.0]},
+    }
+    all_ = {k: [dict(zip(g, x, strict=True)) for x in itertools.product(*g.values())] for k, g in full.items()}
+    return {k: x[:2] if small else x for k, x in all_.items()}
+
+
+def grid_search(rows: DataFrame, kind: str = "logistic", settings: list[dict[str, float]] | None = None, limit: int = FIT_ROWS) -> DataFrame:
+    """Mean F1 over all folds of each setting of a kind of model, best first; every held-out row is scored."""
     data, out = _dealt(rows), None
+    settings = settings or grids()[kind]
     for k in range(FOLDS):
         fit, held = sample(data.where(F.col("fold") != k), limit).cache(), data.where(F.col("fold") == k)
-        for reg in (0.001, 0.01, 0.1):
-            for net in (0.0, 0.5):
-                stages = pipeline("logistic").getStages()
-                model = Pipeline(stages=[*stages[:2], stages[2].copy({stages[2].regParam: reg, stages[2].elasticNetParam: net})]).fit(fit)
-                part = _metrics(model.transform(held)).select(F.lit(reg).alias("reg"), F.lit(net).alias("elastic_net"), "f1")
-                out = part if out is None else out.unionByName(part)
+        for n, x in enumerate(settings):
+            stages = pipeline(kind).getStages()
+            model = Pipeline(stages=[*stages[:2], stages[2].copy({stages[2].getParam(name): v for name, v in x.items()})]).fit(fit)
+            part = _metrics(model.transform(held)).select(F.lit(n).alias("n"), F.lit(json.dumps(x)).alias("settings"), "f1")
+            out = part if out is None else out.unionByName(part)
         fit.unpersist()
-    return out.groupBy("reg", "elastic_net").agg(F.avg("f1").alias("f1")).orderBy(F.desc("f1"), "reg", "elastic_net")
+    return out.groupBy("n", "settings").agg(F.avg("f1").alias("f1")).orderBy(F.desc("f1"), "n").select(F.lit(kind).alias("model"), "settings", "f1")
+
+
+def mutual_information(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """(feature, information): of each feature, in tenths of its range, and the label, in nats; one aggregate over all rows."""
+    ends = rows.agg(*[F.min(f).alias(f"lo_{f}") for f in FEATURES], *[F.max(f).alias(f"hi_{f}") for f in FEATURES]).first()
+    tenth = lambda f: F.least(F.lit(bins - 1), F.floor((F.col(f) - ends[f"lo_{f}"]) / ((ends[f"hi_{f}"] - ends[f"lo_{f}"]) or 1) * bins))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), tenth(f).cast("int").alias("bin")) for f in FEATURES])).alias("x")
+    cells = rows.where("label is not null").select("label", each).groupBy("x.feature", "x.bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    total = lambda *by: F.sum("n").over(Window.partitionBy("feature", *by))
+    part = cells.select("feature", (F.col("n") / total() * F.log(F.col("n") * total() / (total("bin") * total("label")))).alias("p"))
+    return part.groupBy("feature").agg(F.sum("p").alias("information"))
 
 
 def feature_importance(rows: DataFrame, top: int = 10) -> DataFrame:
@@ -103,12 +170,14 @@ def feature_importance(rows: DataFrame, top: int = 10) -> DataFrame:
 
 
 def select_features(rows: DataFrame, n: int = 30) -> list[str]:
-    """Union of a third of n by the F-test and a third by forest importance, at least ten."""
+    """Union of a third of n by the F-test, a third by mutual information and a third by forest importance; at least ten."""
+    third = max(10, n // 3)
     data = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(sample(rows))
-    test = UnivariateFeatureSelector(featuresCol="raw", outputCol="out", labelCol="label").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(max(10, n // 3))
+    test = UnivariateFeatureSelector(featuresCol="raw", outputCol="out", labelCol="label").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(third)
     chosen = [FEATURES[i] for i in test.fit(data).selectedFeatures]
-    more = [r["feature"] for r in feature_importance(rows, max(10, n // 3)).collect()]
-    return list(dict.fromkeys(chosen + more))
+    told = [r["feature"] for r in mutual_information(rows).orderBy(F.desc("information"), "feature").limit(third).collect()]
+    more = [r["feature"] for r in feature_importance(rows, third).collect()]
+    return list(dict.fromkeys(chosen + told + more))
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
@@ -168,18 +237,92 @@ def font_clusters(docs: DataFrame) -> DataFrame:
     return x.groupBy("doc_id").applyInPandas(_cluster, "doc_id long, seq int, cluster_id long, label string")
 
 
+def cluster_profiles(blocks: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Of each fitted cluster of a document: size, means, bold share, label and its first three texts."""
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    mean = lambda c, name: F.round(F.avg(c.cast("double")), 6).alias(name)
+    first = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "text"))), 1, 3), lambda x: x["text"]), " | ").alias("sample_texts")
+    return blocks.join(clusters, ["doc_id", "seq"]).groupBy("doc_id", "cluster_id", "label").agg(F.count(F.lit(1)).alias("size"), mean(F.col("font_size"), "avg_font_size"), mean(F.col("y0"), "avg_y_position"), mean(F.col("is_bold").cast("int"), "bold_ratio"), mean(words, "avg_word_count"), mean(F.length("text"), "avg_text_length"), first)
+
+
+def cluster_statistics(profiles: DataFrame) -> DataFrame:
+    """Clusters of each document: how many, how many of headings and of text, and the levels among them."""
+    levels = F.array_join(F.array_sort(F.collect_set("label")), ",")
+    return profiles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_clusters"), F.count_if(F.col("label").startswith("H")).alias("heading_clusters"), F.count_if(F.col("label") == "TEXT").alias("text_clusters"), levels.alias("hierarchy_levels"))
+
+
+#: Headings of the generator by level, and of other languages; placeholders in braces (fixed values).
+HEADING_TEMPLATES = {1: ["{n}. {topic}", "Chapter {n}: {topic}", "{topic}"], 2: ["{n}.{m} {topic}", "{topic} and {other}", "Section {n}: {topic}"], 3: ["{n}.{m}.{k} {topic}", "({k}) {topic}", "{topic} of {other}"]}
+TEXT_TEMPLATES = ["The section continues with sentence {n}.", "This paragraph discusses {topic} in relation to {other}.", "As shown in Table {n}, the {topic} of the system improves {other}.", "In this work we consider {topic}, which is important for {other}."]
+TOPICS = ["Introduction", "Background", "Methodology", "Results", "Discussion", "Conclusion", "Overview", "Summary"]
+LANGUAGE_TEMPLATES = {"japanese": ["第{n}章 概要", "第{n}節 結論"], "chinese": ["第{n}章 引言", "第{n}节 概述"], "french": ["Chapitre {n} Introduction", "Section {n} Résumé"], "german": ["Kapitel {n} Einführung", "Abschnitt {n} Zusammenfassung"], "spanish": ["Capítulo {n} Introducción", "Sección {n} Resumen"]}
+
+
+def _filled(templates: list[str], at: Column) -> Column:
+    """The template at a place, from a number between 0 and 1, with its placeholders filled."""
+    pick = lambda xs, r: F.element_at(F.array(*[F.lit(x) for x in xs]), (r * len(xs)).cast("int") + 1)
+    text = pick(templates, at)
+    for k, (name, r) in enumerate((("n", "r5"), ("m", "r7"), ("k", "r8"))):
+        text = F.replace(text, F.lit(f"{{{name}}}"), ((F.col(r) * 9).cast("int") + 1 + k).cast("string"))
+    return F.replace(F.replace(text, F.lit("{topic}"), pick(TOPICS, F.col("r9"))), F.lit("{other}"), pick(TOPICS, F.col("r10")))
+
+
 def synthetic_blocks(spark: SparkSession, n: int = 2000, seed: int = 42) -> DataFrame:
-    """n labelled blocks: four in ten are headings of three levels, with sizes, weights and places of their kind."""
+    """n labelled blocks: four in ten are headings of three levels, with texts, sizes, weights and places of their kind."""
     r = lambda k: F.rand(seed + k)
     kind = F.when(r(0) < 0.4, F.floor(r(1) * 3).cast("int") + 1).otherwise(0)
-    df = spark.range(n).select("id", kind.alias("kind"), *[r(k).alias(f"r{k}") for k in range(2, 7)])
+    df = spark.range(n).select("id", kind.alias("kind"), *[r(k).alias(f"r{k}") for k in range(2, 11)])
     pick = lambda a, b, c, d: F.when(F.col("kind") == 1, a).when(F.col("kind") == 2, b).when(F.col("kind") == 3, c).otherwise(d)
     low, span, bold = pick(16.0, 14.0, 12.0, 10.0), pick(8.0, 4.0, 4.0, 2.0), pick(0.9, 0.8, 0.6, 0.1)
-    words = F.array(*[F.lit(w) for w in ("Introduction", "Background", "Methodology", "Results", "Discussion", "Conclusion", "Overview", "Summary")])
-    text = F.when(F.col("kind") > 0, F.concat_ws(" ", F.concat((F.col("r5") * 9).cast("int") + 1, F.lit(".")), F.element_at(words, (F.col("r6") * 8).cast("int") + 1))).otherwise(F.concat(F.lit("The section continues with sentence "), F.col("id"), F.lit(".")))
+    text = pick(*[_filled(HEADING_TEMPLATES[k], F.col("r6")) for k in (1, 2, 3)], _filled(TEXT_TEMPLATES, F.col("r6")))
     return df.select("id", text.alias("text"), ((F.col("r2") * 50).cast("int") + 1).alias("page"), F.round(low + F.col("r2") * span, 2).alias("font_size"), (F.col("r3") < bold).alias("is_bold"), F.round(F.when(F.col("kind") > 0, 50 + F.col("r4") * 100).otherwise(72 + F.col("r4") * 128), 2).alias("x0"), F.when(F.col("kind") > 0, F.concat(F.lit("H"), "kind")).alias("suggested_level"), F.when(F.col("kind") > 0, "heading").otherwise("text").alias("label"))
 
 
+def multilingual_blocks(spark: SparkSession, n: int = 400, seed: int = 7) -> DataFrame:
+    """n headings in five other languages, dealt out in turn."""
+    names = list(LANGUAGE_TEMPLATES)
+    df = spark.range(n).select("id", (F.col("id") % len(names)).cast("int").alias("at"), *[F.rand(seed + k).alias(f"r{k}") for k in range(2, 11)])
+    text = F.coalesce(*[F.when(F.col("at") == k, _filled(LANGUAGE_TEMPLATES[x], F.col("r6"))) for k, x in enumerate(names)])
+    return df.select("id", text.alias("text"), F.element_at(F.array(*[F.lit(x) for x in names]), F.col("at") + 1).alias("language"), F.round(14 + F.col("r2") * 6, 2).alias("font_size"), F.lit(True).alias("is_bold"), F.lit("heading").alias("label"))
+
+
+def _as_rows(blocks: DataFrame) -> DataFrame:
+    """Training rows of generated blocks, each a page of its own text's measures."""
+    size = F.col("font_size")
+    place = blocks.select((F.col("id") / 25).cast("long").alias("doc_id"), F.col("id").cast("int").alias("seq"), (F.coalesce("page", F.lit(1)) - 1).cast("int").alias("page") if "page" in blocks.columns else F.lit(0).alias("page"), "text", size.alias("font_size"), "is_bold", F.lit(False).alias("is_italic"), (F.col("x0") if "x0" in blocks.columns else F.lit(72.0)).alias("x0"), ((F.col("id") % 25) * 30.0).alias("y0"), F.lit(400.0).alias("x1"), ((F.col("id") % 25) * 30.0 + size).alias("y1"))
+    return run_on_blocks("ml_features", place).join(blocks.select(F.col("id").cast("int").alias("seq"), (F.col("label") == "heading").cast("double").alias("label")), "seq")
+
+
+def train_from_synthetic(spark: SparkSession, kind: str = "forest", n: int = 2000, other: int = 400) -> PipelineModel:
+    """Fits on generated blocks and headings in other languages."""
+    blocks = synthetic_blocks(spark, n).select("id", "text", "page", "font_size", "is_bold", "x0", "label")
+    more = multilingual_blocks(spark, other).select((F.col("id") + n).alias("id"), "text", F.lit(1).alias("page"), "font_size", "is_bold", F.lit(72.0).alias("x0"), "label")
+    return train(_as_rows(blocks.unionByName(more)), kind)
+
+
+def train_from_real(rows: DataFrame, blocks: int = 1000, kind: str = "forest") -> PipelineModel:
+    """Fits on labelled rows, variations of their headings (a size up, moved by 20) and generated blocks."""
+    heads = rows.where("label = 1")
+    moved = heads.withColumn("x_position", F.col("x_position") + 20)
+    larger = heads.withColumn("font_size", F.col("font_size") + 1)
+    made = _as_rows(synthetic_blocks(rows.sparkSession, blocks).select("id", "text", "page", "font_size", "is_bold", "x0", "label"))
+    columns = ["doc_id", "seq", *FEATURES, "label"]
+    return train(functools.reduce(DataFrame.unionByName, (x.select(*columns) for x in (rows, moved, larger, made))), kind)
+
+
+def lightweight_model(rows: DataFrame) -> PipelineModel:
+    """A few shallow trees on the features that matter most."""
+    stages = pipeline("forest", select_features(rows, 10)).getStages()
+    return Pipeline(stages=[*stages[:2], stages[2].copy({stages[2].numTrees: 20, stages[2].maxDepth: 5})]).fit(sample(rows))
+
+
+def with_probability(features: DataFrame, predicted: DataFrame) -> DataFrame:
+    """The comprehensive rows with a model's probability and confidence, the distance from one half, doubled."""
+    p = F.coalesce("probability", F.lit(0.0))
+    both = features.drop("ml_heading_probability", "ml_confidence").join(predicted.select("doc_id", "seq", "probability"), ["doc_id", "seq"], "left")
+    return both.withColumn("ml_heading_probability", p).withColumn("ml_confidence", F.when(F.col("probability").isNull(), 0.0).otherwise(F.abs(p - 0.5) * 2)).drop("probability")
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -196,12 +339,28 @@ def _predicted(kind: str):
     return query
 
 
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return cluster_profiles(run("block_scan", docs), font_clusters(docs))
+
+
 QUERIES = {
     "predict_forest": _predicted("forest"),
+    "predict_boosting": _predicted("boosting"),
     "predict_logistic": _predicted("logistic"),
     "cross_validation": lambda spark, sf_dir: cross_validate(_rows(spark, sf_dir)),
+    "cross_validation_summary": lambda spark, sf_dir: cross_validation_summary(cross_validate(_rows(spark, sf_dir))),
     "grid_search": lambda spark, sf_dir: grid_search(_rows(spark, sf_dir)),
+    "grid_search_forest": lambda spark, sf_dir: grid_search(_rows(spark, sf_dir), "forest", grids(small=True)["forest"]),
+    "grid_search_boosting": lambda spark, sf_dir: grid_search(_rows(spark, sf_dir), "boosting", [{"maxIter": 5, "maxDepth": 3}, {"maxIter": 10, "maxDepth": 3}]),
+    "mutual_information": lambda spark, sf_dir: mutual_information(_rows(spark, sf_dir)),
     "feature_importance": lambda spark, sf_dir: feature_importance(_rows(spark, sf_dir)),
     "font_clusters": lambda spark, sf_dir: font_clusters(_docs(spark, sf_dir)),
+    "cluster_profiles": _profiles,
+    "cluster_statistics": lambda spark, sf_dir: cluster_statistics(_profiles(spark, sf_dir)),
     "synthetic_blocks": lambda spark, sf_dir: synthetic_blocks(spark),
+    "multilingual_blocks": lambda spark, sf_dir: multilingual_blocks(spark),
+    "predict_from_synthetic": lambda spark, sf_dir: predict(train_from_synthetic(spark), _rows(spark, sf_dir)),
+    "predict_from_real": lambda spark, sf_dir: predict(train_from_real(_rows(spark, sf_dir)), _rows(spark, sf_dir)),
+    "predict_lightweight": lambda spark, sf_dir: predict(lightweight_model(_rows(spark, sf_dir)), _rows(spark, sf_dir)),
 }

@@ -51,6 +51,16 @@ def write_outlines(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
+def write_debug(rows: DataFrame, path: str) -> None:
+    """Any rows as JSON objects, nulls included, to look into."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """One folder for each document, with its report as text; of rows(doc_id, report)."""
+    reports.select("doc_id", F.col("report").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
 def write_training(rows: DataFrame, path: str) -> None:
     """{blocks, labels} objects, one for each document, from rows(doc_id, seq, text, ..., label)."""
     cols = [c for c in rows.columns if c not in ("doc_id", "label")]
