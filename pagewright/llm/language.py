@@ -138,9 +138,9 @@ def gram_counts(lang: str, words: Counter) -> list[tuple[str, int, int]]:
 def steady(emit: np.ndarray, sizes: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """For each text the label that is best throughout, and whether no path with a switch can beat it.
 
-    Any other path has m stretches of other labels and at least m - 1 switches, m where the one label comes up, too. So
-    if no stretch gains half the penalty over the one label, none of them pays (with m = 1 and no switch, the one
-    label has the larger sum). The best stretch of each label is a running sum less its running minimum.
+    A path in which the one label comes up, too, has a switch for each stretch of other labels; none of these pays if
+    no stretch gains the penalty. A path without it gains at most the sum of what each word gains by its best other
+    label, which must be below 0. The best stretch of each label is a running sum less its running minimum.
     """
     start = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -152,7 +152,9 @@ def steady(emit: np.ndarray, sizes: np.ndarray, penalty: float) -> tuple[np.ndar
     # Texts lie far apart, so the running minimum begins anew with each.
     far = 1e3 + run.max(initial=0) - run.min(initial=0)
     lowest = np.minimum.accumulate(before - far * owner[:, None], 0) + far * owner[:, None]
-    return label, np.maximum.reduceat(run - lowest, start).max(1) < penalty / 2 - 1e-3
+    within = np.maximum.reduceat(run - lowest, start).max(1) < penalty - 1e-3
+    gain[np.arange(len(gain)), label[owner]] = -np.inf
+    return label, within & (np.add.reduceat(gain.max(1), start) < -1e-3)
 
 
 def viterbi(emit: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
