@@ -60,8 +60,9 @@ class Spark:
     def least(self, x: str) -> str:
         return f"array_min({x})"
 
-    def has(self, x: str, v: str) -> str:
-        return f"array_contains({x}, {v})"
+    def among(self, v: str, words: list[str]) -> str:
+        """Whether a value is one of many; both engines look it up in a set."""
+        return f"({v} IN ({', '.join(self.s(w) for w in words)}))"
 
     def seq(self, a: str, b: str) -> str:
         return f"sequence({a}, {b})"
@@ -94,6 +95,11 @@ class Spark:
             return f"SELECT {cols} FROM {src} LATERAL VIEW posexplode({x}) e AS {pos}, {v}"
         return f"SELECT {cols} FROM {src} LATERAL VIEW explode({x}) e AS {v}"
 
+    def once(self, cols: str, x: str, name: str, src: str) -> str:
+        """src with x as a column that is computed once a row: behind a generator, Spark can't copy the expression into
+        every place (and every pushed filter) that uses it."""
+        return f"SELECT {cols}, {name} FROM {src} LATERAL VIEW explode(array({x})) o AS {name}"
+
     nl = "'\\n'"
 
 
@@ -151,9 +157,6 @@ class Duck(Spark):
     def least(self, x: str) -> str:
         return f"list_min({x})"
 
-    def has(self, x: str, v: str) -> str:
-        return f"list_contains({x}, {v})"
-
     def seq(self, a: str, b: str) -> str:
         return f"generate_series({a}, {b})"
 
@@ -178,6 +181,9 @@ class Duck(Spark):
         extra = f", generate_subscripts({x}, 1) - 1 AS {pos}" if pos else ""
         return f"SELECT {cols} FROM (SELECT *, unnest({x}) AS {v}{extra} FROM {src})"
 
+    def once(self, cols: str, x: str, name: str, src: str) -> str:
+        return f"SELECT {cols}, {x} AS {name} FROM {src}"
+
     nl = "chr(10)"
 
 

@@ -210,16 +210,15 @@ def rule_postprocessed(d):
 
 
 def semantic(d: Spark, src: str = "base") -> str:
-    share = lambda p: f"cast(length({d.rep('t', p)}) AS double) / length(t)"
+    share = lambda p: f"cast(length({d.rep('t', p + '+')}) AS double) / length(t)"
     sentences = d.size(d.filt(d.split('t', r'[.!?]+\s+'), 'x', "x <> ''"))
     numbering = cases(*[(f"lang = '{k}'", any_of('t', m[2], d)) for k, m in C.MULTILINGUAL.items() if m[2]], other='false')
     common = cases(*[(f"lang = '{k}'", any_of('lt', m[3], d)) for k, m in C.MULTILINGUAL.items()], other=any_of('lt', ['introduction', 'conclusion', 'abstract', 'summary', 'references'], d))
     lang = cases((d.rx("lt", "[぀-ゟ゠-ヿ一-龯]"), "'japanese'"), (d.rx("lt", "[一-鿿]"), "'chinese'"), (f"{d.rx('lt', '[àâäçéèêëîïôöùûüÿ]')} OR {any_of('lt', ['le', 'la', 'les', 'de', 'du', 'des', 'et', 'ou'], d)}", "'french'"), (f"{d.rx('lt', '[äöüß]')} OR {any_of('lt', ['der', 'die', 'das', 'und', 'oder', 'mit'], d)}", "'german'"), (f"{d.rx('lt', '[áéíóúüñ]')} OR {any_of('lt', ['el', 'la', 'los', 'las', 'y', 'o', 'con'], d)}", "'spanish'"), other="'english'")
-    stop = d.arr([d.s(w) for w in C.STOP_WORDS])
-    has = (lambda w: f"array_contains({stop}, {w})") if d.name == "spark" else (lambda w: f"list_contains({stop}, {w})")
+    has = lambda w: d.among(w, C.STOP_WORDS)
     marker = cases(*[(f"lang = '{k}'", any_of("t", m, d)) for k, (m, *_) in C.MULTILINGUAL.items()], other="false")
     native = cases(*[(f"lang = '{k}'", any_rx("lt", p, d)) for k, (_, p, *_) in C.MULTILINGUAL.items()], other="false")
-    return f"""sem0 AS (SELECT *, {lang} AS lang, cast(length(t) AS int) AS char_count, cast({sentences} AS int) AS sentence_count, cast(length({d.rep('t', r'\s')}) AS double) / wc AS avg_word_length, round({share(r'[^\p{L}]')}, 6) AS alpha_ratio, round({share(r'[^\p{Nd}]')}, 6) AS digit_ratio, round({share(r'[^.,;:!?()\[\]{}"\x27-]')}, 6) AS punct_ratio, round({share(r'[^\s]')}, 6) AS space_ratio, round({share(r'[^\p{Lu}]')}, 6) AS upper_ratio,
+    return f"""sem0 AS (SELECT *, {lang} AS lang, cast(length(t) AS int) AS char_count, cast({sentences} AS int) AS sentence_count, cast(length({d.rep('t', r'\s+')}) AS double) / wc AS avg_word_length, round({share(r'[^\p{L}]')}, 6) AS alpha_ratio, round({share(r'[^\p{Nd}]')}, 6) AS digit_ratio, round({share(r'[^.,;:!?()\[\]{}"\x27-]')}, 6) AS punct_ratio, round({share(r'[^\s]')}, 6) AS space_ratio, round({share(r'[^\p{Lu}]')}, 6) AS upper_ratio,
   cast({d.size(d.filt('ws', 'w', has('lower(w)')))} AS double) / wc AS stop_ratio, {d.rx('t', r'^\p{Lu}')} AS first_cap, {d.size(d.filt('ws', 'w', 'NOT ' + d.rx('w', r'^\p{Lu}')))} = 0 AS all_cap_words,
   {d.rx('t', r'^\d+')} AS number_prefix, {d.rx('lt', r'^[ivx]+($|[^\p{L}\p{N}_])')} AS roman_prefix, {d.rx('lt', r'^[a-z]\)')} AS letter_prefix, {cases(*[(d.rx('t', p), repr(n)) for p, n, _ in C.SECTION_PATTERNS])} AS section_pattern, {cases(*[(d.rx('t', p), str(k)) for p, _, k in C.SECTION_PATTERNS], other='0')} AS section_level,
   {', '.join(f"{any_of('lt', w, d)} AS is_{k}" for k, w in C.CONTENT_TYPES.items())}, {d.rx('t', r'(^|[^\p{L}\p{N}_])[A-Z]{2,}($|[^\p{L}\p{N}_])')} AS has_acronyms, {any_of('lt', C.TECHNICAL, d)} AS has_technical,

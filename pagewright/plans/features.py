@@ -66,7 +66,7 @@ def section(d: Spark) -> tuple[str, str]:
 
 
 def share(d: Spark, p: str) -> str:
-    return f"CASE WHEN t = '' THEN {d.f(0)} ELSE round(cast(length({d.rep('t', p)}) AS double) / length(t), 6) END"
+    return f"CASE WHEN t = '' THEN {d.f(0)} ELSE round(cast(length({d.rep('t', p + '+')}) AS double) / length(t), 6) END"
 
 
 @register(*BASE, around)
@@ -78,7 +78,7 @@ def ml_features(d):
     words = d.arr([d.s(x) for x in C.HEADING_WORDS])
     columns = {
         "font_size": "font_size", "font_size_ratio": f"round(font_size / avg(font_size) {w}, 6)", "font_size_zscore": f"CASE WHEN stddev_pop(font_size) {w} > 0 THEN round((font_size - avg(font_size) {w}) / stddev_pop(font_size) {w}, 6) ELSE {zero} END",
-        "is_bold": flag("is_bold"), "is_italic": flag("is_italic"), "font_flags": f"cast({span_flags()} AS int)", "char_count": "cast(length(t) AS int)", "word_count": "wc", "avg_word_length": f"CASE WHEN wc = 0 THEN {zero} ELSE round(cast(length({d.rep('t', r'\s')}) AS double) / wc, 6) END",
+        "is_bold": flag("is_bold"), "is_italic": flag("is_italic"), "font_flags": f"cast({span_flags()} AS int)", "char_count": "cast(length(t) AS int)", "word_count": "wc", "avg_word_length": f"CASE WHEN wc = 0 THEN {zero} ELSE round(cast(length({d.rep('t', r'\s+')}) AS double) / wc, 6) END",
         "x_position": "x0", "y_position": "y0", "width": "x1 - x0", "height": "y1 - y0", "page_number": "page + 1",
         "starts_with_number": flag(d.rx("t", r"^\p{Nd}")), "has_colon": flag("contains(t, ':')"), "has_period": flag("contains(t, '.')"), "all_caps": flag("isup AND wc > 0"), "title_case": flag("ttl"), "ends_with_period": flag("right(t, 1) = '.'"), "starts_with_capital": flag(d.rx("t", r"^\p{Lu}")),
         "has_section_number": flag(f"{sec} <> ''"), "section_depth": depth, "has_common_words": flag(f"{d.size(d.both(d.words('lt'), words))} > 0"),
@@ -151,7 +151,7 @@ def comprehensive_features(d):
 
 def terms(d: Spark) -> str:
     """terms(doc_id, seq, w): single words without stop words, and pairs of neighbours among them."""
-    toks = d.filt(d.split("lt", r"[^a-z0-9]+"), "w", f"{d.rx('w', '^[a-z]')} AND NOT {d.has(d.arr([d.s(w) for w in C.STOP_WORDS]), 'w')}")
+    toks = d.filt(d.split("lt", r"[^a-z0-9]+"), "w", f"{d.rx('w', '^[a-z]')} AND NOT {d.among('w', C.STOP_WORDS)}")
     pairs = d.either_all("toks", d.tran(d.seq("1", f"{d.size('toks')} - 1"), "i", f"{d.at('toks', 'i')} || ' ' || {d.at('toks', 'i + 1')}"))
     pairs = f"CASE WHEN {d.size('toks')} > 1 THEN {pairs} ELSE toks END"
     return f"counted_blocks AS (SELECT doc_id, seq, {pairs} AS grams, count(*) OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, seq, {toks} AS toks FROM base) z),\nterms AS ({d.explode('doc_id, seq, n, w', 'grams', 'w', 'counted_blocks')})"

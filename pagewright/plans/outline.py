@@ -23,8 +23,8 @@ def adapter(d: Spark) -> str:
     size = cases(("seq = 0", d.f(20)), ("wc <= 3", d.f(16)), ("wc <= 8", d.f(13)), other=f"{d.f(10)} + (length(line) % 3) * {d.f(0.5)}")
     return f"""lines AS ({src}),
 counted AS (SELECT doc_id, cast(pos AS int) AS seq, line, {wc} AS wc FROM lines),
-placed AS (SELECT doc_id, seq, {d.idiv('seq', '8')} AS page, {text} AS text, {size} AS font_size, wc <= 6 AS is_bold, length(line) % 7 = 0 AS is_italic,
-  {d.f(72)} + (length(line) % 4) * {d.f(12)} AS x0, {d.f(72)} + (seq % 8) * {d.f(80)} AS y0 FROM counted),
+placed AS (SELECT doc_id, seq, {d.idiv('seq', '8')} AS page, text, {size} AS font_size, wc <= 6 AS is_bold, length(line) % 7 = 0 AS is_italic,
+  {d.f(72)} + (length(line) % 4) * {d.f(12)} AS x0, {d.f(72)} + (seq % 8) * {d.f(80)} AS y0 FROM ({d.once('doc_id, seq, line, wc', text, 'text', 'counted')}) z),
 blocks AS (SELECT *, x0 + least({d.f(400)}, {d.f(5)} * length(text)) AS x1, y0 + font_size AS y1 FROM placed WHERE page < {PAGE_CAP})"""
 
 

@@ -106,9 +106,8 @@ def outline(blocks):
     for page, _, text, level in found:
         if text and text.lower() not in seen:
             seen.add(text.lower())
-            n = int(level[1])
-            before = int(heads[-1][1][1]) if heads else 0
-            heads.append((len(heads) + 1, f"H{min(n, before + 1)}", text, page + 1))
+            n = min(int(level[1]), int(heads[-1][1][1]) + 1) if heads else int(level[1])  # the first may be of any level
+            heads.append((len(heads) + 1, f"H{n}", text, page + 1))
     return heads, title(kept, f"doc{blocks[0]['doc_id']}"), lang, len(kept)
 
 
