@@ -20,9 +20,7 @@ def run(name: str, table: DataFrame, relation: str = "documents") -> DataFrame:
 
 def run_on_blocks(name: str, blocks: DataFrame) -> DataFrame:
     """The plan over parsed blocks(doc_id, seq, page, text, font_size, is_bold, is_italic, x0, y0, x1, y1), without the line adapter."""
-    sql, head = PLANS[name](SPARK), outline.adapter(SPARK)
-    rest = sql.replace("WITH " + head + ",\n", "WITH ").replace("WITH " + head + "\n", "")
-    return _run(rest, blocks, "blocks")
+    return _run(PLANS[name](SPARK, adapted=False), blocks, "blocks")
 
 
 def _run(sql: str, table: DataFrame, relation: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import run
+from ..functions.dialect import SPARK
+from ..plans.outline import CORE, Plan, all_rows, lvl, title_text
+from . import _run, run
 
 SIMILAR = 0.8
 ON_PAGES = 0.7
@@ -59,6 +61,24 @@ def leader_groups(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "kind").applyInPandas(_leaders, "doc_id long, kind string, text_pattern string, n_pages long, repetition_rate double")
 
 
+RECORDS = Plan(
+    [*CORE, all_rows],
+    lambda d: f"SELECT doc_id, {title_text(d, 'kind = 0 AND page = 0')} AS title, transform(array_sort(collect_list(CASE WHEN head THEN struct(pos, {lvl(d)} AS level, htext AS text, page + 1 AS page) END)), x -> struct(x.level AS level, x.text AS text, x.page AS page)) AS outline, struct(max(doc_language) AS detected_language, cast(max(n_blocks) AS bigint) AS total_blocks_analyzed) AS metadata FROM rows_ GROUP BY doc_id",
+)
+
+
+def result_records(docs: DataFrame) -> DataFrame:
+    """(doc_id, title, outline: array of level, text, page, metadata) as the result sink writes it."""
+    return _run(RECORDS(SPARK), docs, "documents")
+
+
+def layout_objects(rectangles: DataFrame, tables: DataFrame) -> DataFrame:
+    """Rectangles and a parser's tables(doc_id, page, rows, cols, x0, y0, x1, y1) as objects of a page, numbered by kind."""
+    n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0")) - 1
+    found = tables.select("doc_id", "page", F.concat(F.lit("table_"), n).alias("id"), F.lit("table").alias("type"), "x0", "y0", "x1", "y1", (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), "rows", "cols")
+    return found.unionByName(rectangles, allowMissingColumns=True)
+
+
 def process_pages(blocks: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Rows of `function` over the blocks of each page."""
     return blocks.groupBy("doc_id", "page").applyInPandas(function, schema)
@@ -75,6 +95,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "clean_blocks_full": lambda spark, sf_dir: clean_blocks(_docs(spark, sf_dir)),
+    "result_records": lambda spark, sf_dir: result_records(_docs(spark, sf_dir)),
     "leader_groups": lambda spark, sf_dir: leader_groups(_docs(spark, sf_dir)),
     "page_function": lambda spark, sf_dir: process_pages(run("block_scan", _docs(spark, sf_dir)), _longest, "doc_id long, page int, seq int, text string"),
 }

@@ -197,15 +197,20 @@ def _kmeans(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
     return best
 
 
-def _silhouette(x: np.ndarray, own: np.ndarray) -> float:
-    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
-    total = 0.0
-    for i in range(len(x)):
-        same = own == own[i]
-        if same.sum() > 1:
-            a = d[i, same].sum() / (same.sum() - 1)
-            b = min(d[i, own == j].mean() for j in set(own.tolist()) - {own[i]})
-            total += (b - a) / max(a, b) if max(a, b) > 0 else 0
+def _silhouette(x: np.ndarray, own: np.ndarray, step: int = 256) -> float:
+    """Mean silhouette; distances are held for `step` rows at a time."""
+    member = np.eye(own.max() + 1)[own]
+    size, total = member.sum(0), 0.0
+    for a in range(0, len(x), step):
+        part = own[a : a + step]
+        sums = np.sqrt(((x[a : a + step, None] - x) ** 2).sum(2)) @ member
+        at = np.arange(len(part))
+        inner = sums[at, part] / np.maximum(size[part] - 1, 1)
+        sums = np.where(size > 0, sums / np.maximum(size, 1), np.inf)
+        sums[at, part] = np.inf
+        outer = sums.min(1)
+        most = np.maximum(inner, outer)
+        total += np.where((size[part] > 1) & (most > 0), (outer - inner) / np.where(most > 0, most, 1), 0).sum()
     return total / len(x)
 
 

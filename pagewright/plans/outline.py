@@ -145,8 +145,15 @@ def title(d: Spark) -> str:
     return f"titles AS (SELECT doc_id, {title_text(d, 'page = 0')} AS title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page = 0 ORDER BY font_size DESC, y0, seq) AS rank FROM uniq) z2 GROUP BY doc_id)"
 
 
-def plan(d: Spark, parts: list, select: str) -> str:
-    return "WITH " + ",\n".join(p(d) for p in parts) + "\n" + select
+class Plan:
+    """A SELECT over common table expressions, rendered for an engine; without the adapter it reads a relation `blocks`."""
+
+    def __init__(self, parts: list, select):
+        self.parts, self.select = parts, select
+
+    def __call__(self, d: Spark, adapted: bool = True) -> str:
+        parts = [p(d) for p in self.parts if adapted or p is not adapter]
+        return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + self.select(d)
 
 
 BASE = [adapter, base]
@@ -162,12 +169,12 @@ def num(d: Spark, c: str) -> str:
     return f"cast({c} AS {'string' if d.name == 'spark' else 'varchar'})"
 
 
-PLANS: dict = {}
+PLANS: dict[str, Plan] = {}
 
 
 def register(*parts):
     def add(f):
-        PLANS[f.__name__] = lambda d: plan(d, list(parts), f(d))
+        PLANS[f.__name__] = Plan(list(parts), f)
         return f
 
     return add
@@ -218,18 +225,18 @@ def spans_to_blocks(d):
 
 @register(adapter)
 def layout_rectangles(d):
-    return f"SELECT doc_id, page, 'rect_' || {num(d, 'row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1')} AS id, 'rectangle' AS type, x0, y0, x1, y1, x1 - x0 AS width, y0 + 40 - y0 AS height FROM blocks WHERE x1 - x0 > {d.f(50)} AND seq % 3 = 0"
+    """Rectangles wider than 50 and taller than 30, numbered on their page; one frame a block, of uneven height."""
+    return f"""SELECT doc_id, page, 'rect_' || {num(d, 'row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) - 1')} AS id, 'rectangle' AS type, x0, y0, x1, bottom AS y1, x1 - x0 AS width, bottom - y0 AS height
+  FROM (SELECT *, y1 + (seq % 4) * {d.f(9)} AS bottom FROM blocks) z WHERE x1 - x0 > {d.f(50)} AND bottom - y0 > {d.f(30)}"""
 
 
+@register()
 def input_validation(d):
     """The test of a file's name and size, on made-up names: the suffix in any case, at most 100 MB, not empty."""
     name = f"'doc' || {num(d, 'doc_id')} || CASE WHEN doc_id % 5 = 0 THEN '.txt' WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.pdf' END"
     return f"SELECT doc_id, name, size, lower(name) LIKE '%.pdf' AS is_pdf, size <= 104857600 AS is_small, lower(name) LIKE '%.pdf' AND size <= 104857600 AS valid FROM (SELECT doc_id, {name} AS name, n_chars * CASE WHEN doc_id % 7 = 3 THEN 200000 ELSE 1 END AS size FROM documents) z"
 
 
-PLANS["input_validation"] = input_validation
-
-
 @register(adapter)
 def normalised_blocks(d):
     """Blocks as another extractor may leave them, without size, name or box, made whole: the size is the block's, else that
@@ -365,6 +372,13 @@ def pages(d):
 multi AS (SELECT doc_id, count(*) AS n_pages FROM pages GROUP BY doc_id)"""
 
 
+@register(adapter)
+def page_layout(d):
+    """All that layout analysis says of a page: sizes, margins, spacing and alignment."""
+    return f"""SELECT doc_id, page, cast(count(*) AS bigint) AS n_blocks, round(avg(font_size), 6) AS avg_size, round(stddev_pop(font_size), 6) AS std_size, min(x0) AS left_margin, max(x1) AS right_edge, min(y0) AS top, max(y1) AS bottom, round(coalesce(avg(gap), {d.f(0)}), 6) AS line_spacing,
+  CASE WHEN var_pop(x0) < {d.f(10)} THEN 'left' WHEN var_pop(x1) < {d.f(10)} THEN 'right' WHEN abs((avg(x0) + avg(x1)) / 2 - {d.f(306)}) < {d.f(61.2)} THEN 'center' ELSE 'justified' END AS alignment FROM (SELECT *, y0 - lag(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, seq) AS gap FROM blocks) z GROUP BY doc_id, page"""
+
+
 @register(adapter, pages)
 def page_structure(d):
     return "SELECT doc_id, page, min_y, max_y, page_h AS page_height, round(header_y, 6) AS header_threshold, round(footer_y, 6) AS footer_threshold, cast(n AS bigint) AS block_count FROM pages"

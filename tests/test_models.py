@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import models, run
-from pagewright.operators.extras import _longest, leader_groups, process_pages
+from pagewright.operators.extras import _longest, layout_objects, leader_groups, process_pages, result_records
 from pagewright.sources import read_training, valid_files, write_debug, write_outlines, write_reports, write_training
 
 
@@ -68,6 +68,22 @@ def test_configuration(tmp_path):
         models.configured({"nothing": 1})
 
 
+def test_training_from_the_command_line(spark, tmp_path):
+    from pagewright.operators.training import main
+
+    got = main(["--synthetic", "300", "--model", "logistic", "--folds", "3", "--out", str(tmp_path / "m")], spark)
+    assert set(got) == {"accuracy", "precision", "recall", "f1"} and got["accuracy"] > 0.8 and models.load_model(str(tmp_path / "m"))
+
+
+def test_records_and_layout_objects(spark):
+    docs = spark.createDataFrame([(2, "Executive Summary\nplain words of a body line that is long enough not to be a heading at all, as it goes on\n")], "doc_id long, text string")
+    r = result_records(docs).first()
+    assert (r.doc_id, r.outline[0].text, r.outline[0].page, r.metadata.detected_language) == (2, "Executive Summary", 1, "english")
+    tables = spark.createDataFrame([(2, 0, 3, 4, 10.0, 50.0, 90.0, 80.0), (2, 0, 1, 1, 10.0, 20.0, 90.0, 30.0)], "doc_id long, page int, rows int, cols int, x0 double, y0 double, x1 double, y1 double")
+    both = layout_objects(run("layout_rectangles", docs), tables).collect()
+    assert [(x.id, x.rows) for x in both if x.type == "table"] == [("table_0", 1), ("table_1", 3)] and all(x.height > 30 for x in both if x.type == "rectangle")
+
+
 def test_clusters(spark):
     docs = spark.createDataFrame([(2, "\n".join(["Big Title"] + [f"this is a longer line of plain body text number {k} with many words in it" for k in range(12)]))], "doc_id long, text string")
     found = models.font_clusters(docs)
