@@ -15,23 +15,24 @@ from pyspark.sql import functions as F
 
 from .common import WS, last_table, stage_table
 
-DEPTH = 3
+DEPTH = 3  # a line of fewer tokens is a path as a whole and matches exactly after masking
 VARIABLE = 0.3
 MIN_DOCS = 10
-MIN_TOKENS = 1  # shorter paths than DEPTH are whole lines: these match exactly after masking
 TOKEN = r"[^\x20\x09-\x0D]"
 FIELD = "<*>"
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """(_key, doc_id, line, n, leaf, seq, masked) of the lines of whole texts that have MIN_TOKENS tokens: the token
-    count, 64-bit hashes of the path and the sequence, and the masked line."""
+    """(_key, doc_id, line, n, leaf, seq, masked) of the lines of whole texts that have tokens: the token count, 64-bit
+    hashes of the path and the sequence, and the masked line. Lines are masked inside the array of a text, before it
+    is unfolded, so that no later filter computes them again."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(F.xxhash64(F.col("doc_id"), text).alias("_key"), "doc_id", F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    even = F.when(F.col("raw").rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.btrim(F.regexp_replace("raw", r"[\x20\x09-\x0D]+", " "), F.lit(WS))).otherwise(F.col("raw"))
-    lines = lines.withColumn("_even", even)
-    masked = F.when(F.col("_even").rlike("[0-9]"), F.regexp_replace("_even", rf"(?<!{TOKEN}){TOKEN}*?[0-9]{TOKEN}*", F.lit(FIELD))).otherwise(F.col("_even"))
-    lines = lines.withColumn("masked", masked).withColumn("n", F.char_length("masked") - F.char_length(F.translate("masked", " ", "")) + 1).where((F.col("masked") != "") & (F.col("n") >= MIN_TOKENS))
+    spaced, mixed = r"[\x20\x09-\x0D]+", r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
+    even = F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(mixed), F.btrim(F.regexp_replace(x, spaced, " "), F.lit(WS))).otherwise(x))
+    masked = F.transform(even, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, rf"(?<!{TOKEN}){TOKEN}*?[0-9]{TOKEN}*", F.lit(FIELD))).otherwise(x))
+    lines = docs.select(F.xxhash64(F.col("doc_id"), text).alias("_key"), "doc_id", F.posexplode(masked).alias("line", "masked")).where("masked <> ''")
+    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    lines = lines.withColumn("n", n)
     return lines.select("_key", "doc_id", "line", "n", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("seq"), "masked")
 
 
