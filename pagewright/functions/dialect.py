@@ -95,6 +95,10 @@ class Spark:
             return f"SELECT {cols} FROM {src} LATERAL VIEW posexplode({x}) e AS {pos}, {v}"
         return f"SELECT {cols} FROM {src} LATERAL VIEW explode({x}) e AS {v}"
 
+    def n_distinct(self, x: str, part: str) -> str:
+        """Distinct values among the rows of a partition, beside each row."""
+        return f"size(collect_set({x}) OVER (PARTITION BY {part}))"
+
     def once(self, cols: str, x: str, name: str, src: str) -> str:
         """src with x as a column that is computed once a row: behind a generator, Spark can't copy the expression into
         every place (and every pushed filter) that uses it."""
@@ -181,6 +185,9 @@ class Duck(Spark):
         extra = f", generate_subscripts({x}, 1) - 1 AS {pos}" if pos else ""
         return f"SELECT {cols} FROM (SELECT *, unnest({x}) AS {v}{extra} FROM {src})"
 
+    def n_distinct(self, x: str, part: str) -> str:
+        return f"count(DISTINCT {x}) OVER (PARTITION BY {part})"
+
     def once(self, cols: str, x: str, name: str, src: str) -> str:
         return f"SELECT {cols}, {x} AS {name} FROM {src}"
 

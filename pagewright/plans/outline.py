@@ -386,9 +386,11 @@ def page_structure(d):
 
 def regions(d):
     """Candidates of page numbers, headers, footers and repeated elements, on documents of three pages and more."""
-    return f"""on_page AS (SELECT b.*, p.header_y, p.footer_y, p.page_h, m.n_pages, {is_likely_content('t', 'lt', 'wc', d)} AS likely FROM base b JOIN pages p ON b.doc_id = p.doc_id AND b.page = p.page JOIN multi m ON b.doc_id = m.doc_id WHERE m.n_pages >= 3),
+    kinds = d.filt(d.arr(["CASE WHEN y0 <= header_y THEN 'header' END", "CASE WHEN y0 >= footer_y THEN 'footer' END"]), "x", "x IS NOT NULL")
+    page = "PARTITION BY doc_id, page"
+    return f"""on_page AS (SELECT *, min_y + page_h * {d.f(.15)} AS header_y, min_y + page_h * {d.f(.85)} AS footer_y, {is_likely_content('t', 'lt', 'wc', d)} AS likely FROM (SELECT *, max_y - min_y AS page_h FROM (SELECT *, min(y0) OVER ({page}) AS min_y, max(y1) OVER ({page}) AS max_y FROM (SELECT *, {d.n_distinct('page', 'doc_id')} AS n_pages FROM (SELECT /*+ REPARTITION(doc_id) */ * FROM base) z0) z1) z2) z3 WHERE n_pages >= 3),
 numbers AS (SELECT doc_id, page, seq, lt, CASE WHEN y0 <= header_y THEN 'header' ELSE 'footer' END AS place FROM on_page WHERE {any_rx('lt', C.PAGE_NUMBERS, d)}),
-candidates AS (SELECT doc_id, page, seq, lt, ws, 'header' AS kind FROM on_page WHERE y0 <= header_y AND NOT likely UNION ALL SELECT doc_id, page, seq, lt, ws, 'footer' AS kind FROM on_page WHERE y0 >= footer_y AND NOT likely),
+candidates AS ({d.explode('doc_id, page, seq, lt, ws, kind', kinds, 'kind', '(SELECT * FROM on_page WHERE NOT likely) z4')}),
 repeats AS (SELECT doc_id, substring(lt, 1, 20) AS head, cast(floor(y0 / greatest(page_h, {d.f(1)}) * 10) AS int) AS bucket, count(*) AS n, count(DISTINCT page) AS on_pages, max(n_pages) AS n_pages, min_by(t, seq) AS text_pattern FROM on_page WHERE length(t) >= 3 AND NOT likely
   GROUP BY doc_id, substring(lt, 1, 20), cast(floor(y0 / greatest(page_h, {d.f(1)}) * 10) AS int) HAVING count(*) >= 2)"""
 
@@ -440,10 +442,12 @@ def led(d: Spark) -> str:
     lead = d.at(d.filt("ls", "a", f"a = lt OR {similar(d, 'lt', 'a')} >= {d.f(.8)}"), 1)
     return f"""leaders AS (SELECT doc_id, kind, {fold} AS ls, count(DISTINCT page) AS all_pages FROM candidates GROUP BY doc_id, kind),
 groups AS (SELECT doc_id, kind, page, seq, all_pages, {lead} AS lead FROM (SELECT c.doc_id, c.kind, c.page, c.seq, c.lt, l.ls, l.all_pages FROM candidates c JOIN leaders l ON c.doc_id = l.doc_id AND c.kind = l.kind) z),
-regions_ AS (SELECT doc_id, kind, lead, count(DISTINCT page) AS n, max(all_pages) AS all_pages FROM groups GROUP BY doc_id, kind, lead HAVING cast(count(DISTINCT page) AS double) / max(all_pages) >= {d.f(.7)}),
-patterns AS (SELECT DISTINCT g.doc_id, g.kind, g.lead AS pattern, g.page FROM groups g JOIN regions_ r ON g.doc_id = r.doc_id AND g.kind = r.kind AND g.lead = r.lead
-  UNION ALL SELECT DISTINCT n.doc_id, 'page_number' AS kind, n.lt AS pattern, n.page FROM numbers n JOIN (SELECT doc_id, lt FROM numbers GROUP BY doc_id, lt HAVING count(DISTINCT page) >= 2) v ON n.doc_id = v.doc_id AND n.lt = v.lt
-  UNION ALL SELECT DISTINCT o.doc_id, 'repeated_element' AS kind, lower(r.text_pattern) AS pattern, o.page FROM (SELECT *, substring(lt, 1, 20) AS head, cast(floor(y0 / greatest(page_h, {d.f(1)}) * 10) AS int) AS bucket FROM on_page WHERE length(t) >= 3 AND NOT likely) o JOIN repeats r ON o.doc_id = r.doc_id AND o.head = r.head AND o.bucket = r.bucket WHERE cast(r.on_pages AS double) / r.n_pages >= {d.f(.7)}),
+rated AS (SELECT *, cast(on_pages AS double) / all_pages AS rate FROM (SELECT *, {d.n_distinct('page', 'doc_id, kind, lead')} AS on_pages FROM groups) z),
+regions_ AS (SELECT doc_id, kind, lead, max(on_pages) AS n, max(all_pages) AS all_pages FROM rated WHERE rate >= {d.f(.7)} GROUP BY doc_id, kind, lead),
+patterns AS (SELECT DISTINCT doc_id, kind, lead AS pattern, page FROM rated WHERE rate >= {d.f(.7)}
+  UNION ALL SELECT DISTINCT doc_id, 'page_number' AS kind, lt AS pattern, page FROM (SELECT *, {d.n_distinct('page', 'doc_id, lt')} AS k FROM numbers) z WHERE k >= 2
+  UNION ALL SELECT DISTINCT doc_id, 'repeated_element' AS kind, lower(first_t) AS pattern, page FROM (SELECT doc_id, page, n_pages, count(*) OVER (PARTITION BY doc_id, head, bucket) AS n, {d.n_distinct('page', 'doc_id, head, bucket')} AS on_pages, first_value(t) OVER (PARTITION BY doc_id, head, bucket ORDER BY seq {WHOLE}) AS first_t
+    FROM (SELECT *, substring(lt, 1, 20) AS head, cast(floor(y0 / greatest(page_h, {d.f(1)}) * 10) AS int) AS bucket FROM on_page WHERE length(t) >= 3 AND NOT likely) y) z WHERE n >= 2 AND cast(on_pages AS double) / n_pages >= {d.f(.7)}),
 marked_out AS (SELECT b.doc_id, b.seq, min(p.kind) AS kind FROM base b JOIN patterns p ON b.doc_id = p.doc_id AND b.page = p.page AND {similar(d, 'b.lt', 'p.pattern')} >= {d.f(.8)} GROUP BY b.doc_id, b.seq)"""
 
 
