@@ -57,28 +57,32 @@ def sequence_templates(kinds: DataFrame, min_docs: int) -> DataFrame:
     or became one. The first leader is that of the whole leaf. Further leaders are found side by side: a sequence leads
     if it comes first among the undecided ones in each of its stretches, which hold all it can agree with, so a
     stretch has one new leader a round and no pairs are listed. A follower waits while an earlier sequence of its
-    stretches is undecided.
+    stretches is undecided. Joins are merge joins, as the size of a file says little about its rows once they are
+    unfolded, and texts are fetched for pairs to compare, not carried along with each stretch.
     """
     first = stage_table(kinds.groupBy("leaf").agg(F.max(F.struct("k", "seq", "rest")).alias("lead")), "leaders")
-    of = stage_table(kinds.join(first, "leaf").withColumn("_hit", _follows("n", "rest", "lead.rest")), "sequences")
+    of = stage_table(kinds.join(first.hint("merge"), "leaf").withColumn("_hit", _follows("n", "rest", "lead.rest")), "sequences")
     done = [of.where("_hit").select("leaf", "seq", "k", F.col("lead.seq").alias("template"))]
     more = of.where("not _hit")
     enough = more.groupBy("leaf").agg(F.sum("k").alias("all")).where(F.col("all") >= min_docs).select("leaf")
     none = F.lit(None).cast("struct<k:bigint,seq:bigint>")
-    nodes = stage_table(more.join(enough, "leaf").select("leaf", "seq", "k", "n", "rest", _stretches().alias("parts"), none.alias("best")), "sequences")
+    nodes = stage_table(more.join(enough.hint("merge"), "leaf").select("leaf", "seq", "k", "n", "rest", _stretches().alias("parts"), none.alias("best")), "sequences")
     while not nodes.isEmpty():
         each = nodes.select("leaf", "seq", "k", "best", F.explode("parts").alias("part"))
         top = each.where("best is null").groupBy("part").agg(F.max(F.struct("k", "seq")).alias("top"))
-        hope = each.select("leaf", "seq", "part").join(top, "part").groupBy("leaf", "seq").agg(F.max("top").alias("hope"))
-        nodes = stage_table(nodes.join(hope, ["leaf", "seq"], "left"), "sequences")
+        hope = each.select("leaf", "seq", "part").join(top.hint("merge"), "part").groupBy("leaf", "seq").agg(F.max("top").alias("hope"))
+        nodes = stage_table(nodes.join(hope.hint("merge"), ["leaf", "seq"], "left"), "sequences")
         leads = F.coalesce(F.col("best").isNull() & (F.col("hope.seq") == F.col("seq")), F.lit(False))
         settled = F.col("best").isNotNull() & F.coalesce(F.col("best") >= F.col("hope"), F.lit(True))
         done.append(nodes.where(leads | settled).select("leaf", "seq", "k", F.coalesce("best.seq", "seq").alias("template")))
-        new = nodes.where(leads).select(F.struct("k", "seq").alias("lead"), F.col("leaf").alias("_leaf"), F.col("rest").alias("_rest"), F.explode("parts").alias("part"))
+        new = nodes.where(leads).select("leaf", F.struct("k", "seq").alias("lead"), "rest", "parts")
         left = nodes.where(~(leads | settled)).drop("hope")
-        met = left.select("leaf", "seq", "n", "rest", F.explode("parts").alias("part")).join(new, "part").where((F.col("leaf") == F.col("_leaf")) & _follows("n", "rest", "_rest"))
+        by_part = new.select("leaf", "lead", F.explode("parts").alias("part"))
+        pairs = left.select("leaf", "seq", F.explode("parts").alias("part")).join(by_part.hint("merge"), ["leaf", "part"]).select("leaf", "seq", "lead").distinct()
+        met = pairs.join(left.select("leaf", "seq", "n", "rest").hint("merge"), ["leaf", "seq"])
+        met = met.join(new.select("leaf", "lead", F.col("rest").alias("_rest")).hint("merge"), ["leaf", "lead"]).where(_follows("n", "rest", "_rest"))
         found = met.groupBy("leaf", "seq").agg(F.max("lead").alias("found"))
-        nodes = stage_table(left.join(found, ["leaf", "seq"], "left").withColumn("best", F.greatest("best", "found")).drop("found"), "sequences")
+        nodes = stage_table(left.join(found.hint("merge"), ["leaf", "seq"], "left").withColumn("best", F.greatest("best", "found")).drop("found"), "sequences")
     return functools.reduce(DataFrame.unionByName, done)
 
 
