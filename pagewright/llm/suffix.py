@@ -30,8 +30,8 @@ GRAM = 24
 SPAN = WINDOW - GRAM + 1  # grams in a window
 REACH = WINDOW - GRAM
 HALF = REACH // 2
-CHUNK_BYTES = 2 << 20
-CHUNK_DOCS = 1000
+CHUNK_BYTES = 8 << 20  # a chunk has a row in most buckets, so rows are chunks times buckets: few large chunks
+CHUNK_DOCS = 4000
 BLOCK = 1 << 20
 BUCKET_BYTES = 8 << 20
 HOT_ANCHORS = 1_000_000  # of a bucket; beyond, its windows are dealt one by one, with the same result
@@ -188,21 +188,28 @@ def _unzip(a: bytes) -> bytes:
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole texts, packed across the batches of a task."""
     serial = TaskContext.get().partitionId() << 32
+    texts, ids, extra, held = [], [], [], 0
+
+    def packed() -> pd.DataFrame:
+        body = b"".join(texts)
+        marks = [hashlib.sha256(t).digest() for t in texts]
+        return pd.DataFrame({"chunk": [serial], "marks": [marks], "ids": [ids], "sizes": [[len(t) for t in texts]], "extra": [extra], "raw": [len(body)], "body": [_packer().compress(body)]})
+
     for batch in batches:
-        texts = [(t or "").encode() for t in batch["text"]]
-        ids, extra = batch["doc_id"].tolist(), batch["extra"].tolist()
-        a = 0
-        while a < len(texts):
-            b, held = a, 0
-            while b < len(texts) and b - a < CHUNK_DOCS and (b == a or held + len(texts[b]) <= CHUNK_BYTES):
-                held += len(texts[b])
-                b += 1
-            body = b"".join(texts[a:b])
-            marks = [hashlib.sha256(t).digest() for t in texts[a:b]]
-            yield pd.DataFrame({"chunk": [serial], "marks": [marks], "ids": [ids[a:b]], "sizes": [[len(t) for t in texts[a:b]]], "extra": [extra[a:b]], "raw": [len(body)], "body": [_packer().compress(body)]})
-            serial += 1
-            a = b
+        for text, own, more in zip(batch["text"], batch["doc_id"].tolist(), batch["extra"].tolist(), strict=True):
+            t = (text or "").encode()
+            if texts and (len(texts) == CHUNK_DOCS or held + len(t) > CHUNK_BYTES):
+                yield packed()
+                serial += 1
+                texts, ids, extra, held = [], [], [], 0
+            texts.append(t)
+            ids.append(own)
+            extra.append(more)
+            held += len(t)
+    if texts:
+        yield packed()
 
 
 def _texts(body: bytes, sizes: np.ndarray) -> list[np.ndarray]:
@@ -235,7 +242,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 KEPT = np.uint64((1 << 32) - 1)
-NONE = np.uint64((1 << 54) - 1)
+NONE = np.uint64((1 << 52) - 1)
 
 
 def _announce(buckets: int) -> Callable:
@@ -306,8 +313,8 @@ def _surroundings(buckets: int) -> Callable:
                 doc = np.repeat(own, [len(x[0]) for x in found])
                 pos, h, first, last, wide = (np.concatenate(x, -1) for x in zip(*found, strict=True))
                 code = np.where(wide > 0, _bucket(wide, buckets).astype(np.uint64) << np.uint64(32) | wide & KEPT, NONE)
-                pair = np.unique(code.ravel() * np.uint64(1 << 10) + np.tile(doc, 2).astype(np.uint64))  # a chunk has under 1024 documents
-                value, n = np.unique(pair >> np.uint64(10), return_counts=True)
+                pair = np.unique(code.ravel() * np.uint64(1 << 12) + np.tile(doc, 2).astype(np.uint64))  # a chunk has under 4096 documents
+                value, n = np.unique(pair >> np.uint64(12), return_counts=True)
                 told = [] if shared is None else shared
                 known = np.concatenate([value[n > 1], *((np.uint64(int(x["bucket"])) << np.uint64(32)) | _high(x["h"]) for x in told)])
                 left, right = np.isin(code, known[known != NONE])
