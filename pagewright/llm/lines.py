@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS, last_table, stage_table
@@ -18,6 +18,7 @@ from .common import WS, last_table, stage_table
 DEPTH = 3  # a line of fewer tokens is a path as a whole and matches exactly after masking
 VARIABLE = 0.3
 MIN_DOCS = 10
+GROWTH, WIDEST = 16, 4096  # of the open sequences of a stretch that are compared in a round: pairs grow with the square
 TOKEN = r"[^\x20\x09-\x0D]"
 FIELD = "<*>"
 
@@ -50,15 +51,23 @@ def _stretches() -> Column:
     return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("leaf", j, F.slice("rest", cut(j) + 1, cut(j + 1) - cut(j))))
 
 
+def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs(leaf, seq, lead) whose sequences agree; their texts are fetched here, not carried along."""
+    met = pairs.distinct().join(nodes.select("leaf", "seq", "n", "rest").hint("merge"), ["leaf", "seq"])
+    lead = nodes.where("best is null").select("leaf", F.struct("k", "seq").alias("lead"), F.col("rest").alias("_rest"))
+    return met.join(lead.hint("merge"), ["leaf", "lead"]).where(_follows("n", "rest", "_rest"))
+
+
 def sequence_templates(kinds: DataFrame, min_docs: int) -> DataFrame:
     """(leaf, seq, k, template) of kinds(leaf, seq, k, n, rest), for sequences whose template may have min_docs lines.
 
     As if a leaf's sequences came one by one, by falling (k, seq), and each followed the first leader it agrees with
-    or became one. The first leader is that of the whole leaf. Further leaders are found side by side: a sequence leads
-    if it comes first among the undecided ones in each of its stretches, which hold all it can agree with, so a
-    stretch has one new leader a round and no pairs are listed. A follower waits while an earlier sequence of its
-    stretches is undecided. Joins are merge joins, as the size of a file says little about its rows once they are
-    unfolded, and texts are fetched for pairs to compare, not carried along with each stretch.
+    or became one. The first leader is that of the whole leaf. Further leaders are found side by side. Sequences without
+    a leader are open; the first `width` open ones of a stretch are compared with one another, and a sequence that is
+    among them in each of its stretches, which hold all it can agree with, leads if it agrees with no earlier one. The
+    width grows from 1, where large groups find their leader without any pair, so that unlike sequences of one stretch
+    take few rounds: each round costs the driver plans and stages. A follower waits while an earlier open sequence of
+    its stretches may lead. Joins are merge joins, as the size of a file says little about its rows once they are unfolded.
     """
     first = stage_table(kinds.groupBy("leaf").agg(F.max(F.struct("k", "seq", "rest")).alias("lead")), "leaders")
     of = stage_table(kinds.join(first.hint("merge"), "leaf").withColumn("_hit", _follows("n", "rest", "lead.rest")), "sequences")
@@ -67,25 +76,37 @@ def sequence_templates(kinds: DataFrame, min_docs: int) -> DataFrame:
     enough = more.groupBy("leaf").agg(F.sum("k").alias("all")).where(F.col("all") >= min_docs).select("leaf")
     none = F.lit(None).cast("struct<k:bigint,seq:bigint>")
     nodes = stage_table(more.join(enough.hint("merge"), "leaf").select("leaf", "seq", "k", "n", "rest", _stretches().alias("parts"), none.alias("best")), "sequences")
+    me, width = F.struct("k", "seq"), 1
     while not nodes.isEmpty():
-        each = nodes.select("leaf", "seq", "k", "best", F.explode("parts").alias("part"))
-        top = each.where("best is null").groupBy("part").agg(F.max(F.struct("k", "seq")).alias("top"))
-        hope = each.select("leaf", "seq", "part").join(top.hint("merge"), "part").groupBy("leaf", "seq").agg(F.max("top").alias("hope"))
-        nodes = stage_table(nodes.join(hope.hint("merge"), ["leaf", "seq"], "left"), "sequences")
-        leads = F.coalesce(F.col("best").isNull() & (F.col("hope.seq") == F.col("seq")), F.lit(False))
+        each = nodes.select("leaf", "seq", me.alias("me"), "best", F.explode("parts").alias("part"))
+        ahead = _ahead(each, width).groupBy("part").agg(F.max("me").alias("top"), F.min("me").alias("low"))
+        hope = each.select("leaf", "seq", "part").join(ahead.hint("merge"), "part").groupBy("leaf", "seq").agg(F.max("top").alias("hope"), F.max("low").alias("low"))
+        nodes = nodes.join(hope.hint("merge"), ["leaf", "seq"], "left")
+        nodes = stage_table(nodes.withColumn("leads", F.coalesce(F.col("best").isNull() & (me >= F.col("low")), F.lit(False))).drop("low"), "sequences")
+        if width > 1:
+            ahead = _ahead(nodes.select("leaf", "seq", me.alias("me"), "best", "leads", F.explode("parts").alias("part")), width)
+            pairs = ahead.where("leads").select("leaf", "seq", "me", "part").join(ahead.select(F.col("me").alias("lead"), "part").hint("merge"), "part").where("lead > me")
+            later = _agreeing(pairs.select("leaf", "seq", "lead"), nodes).select("leaf", "seq").distinct().withColumn("later", F.lit(True))
+            nodes = nodes.join(later.hint("merge"), ["leaf", "seq"], "left").withColumn("leads", F.col("leads") & F.col("later").isNull())
+            nodes = stage_table(nodes.drop("later"), "sequences")
         settled = F.col("best").isNotNull() & F.coalesce(F.col("best") >= F.col("hope"), F.lit(True))
-        done.append(nodes.where(leads | settled).select("leaf", "seq", "k", F.coalesce("best.seq", "seq").alias("template")))
-        new = nodes.where(leads).select("leaf", F.struct("k", "seq").alias("lead"), "rest", "parts")
-        left = nodes.where(~(leads | settled)).drop("hope")
-        by_part = new.select("leaf", "lead", F.explode("parts").alias("part"))
-        pairs = left.select("leaf", "seq", F.explode("parts").alias("part")).join(by_part.hint("merge"), ["leaf", "part"]).select("leaf", "seq", "lead").distinct()
-        met = pairs.join(left.select("leaf", "seq", "n", "rest").hint("merge"), ["leaf", "seq"])
-        met = met.join(new.select("leaf", "lead", F.col("rest").alias("_rest")).hint("merge"), ["leaf", "lead"]).where(_follows("n", "rest", "_rest"))
-        found = met.groupBy("leaf", "seq").agg(F.max("lead").alias("found"))
-        nodes = stage_table(left.join(found.hint("merge"), ["leaf", "seq"], "left").withColumn("best", F.greatest("best", "found")).drop("found"), "sequences")
+        done.append(nodes.where(F.col("leads") | settled).select("leaf", "seq", "k", F.coalesce("best.seq", "seq").alias("template")))
+        left = nodes.where(~(F.col("leads") | settled))
+        by_part = nodes.where("leads").select("leaf", me.alias("lead"), F.explode("parts").alias("part"))
+        pairs = left.select("leaf", "seq", F.explode("parts").alias("part")).join(by_part.hint("merge"), ["leaf", "part"])
+        found = _agreeing(pairs.select("leaf", "seq", "lead"), nodes).groupBy("leaf", "seq").agg(F.max("lead").alias("found"))
+        left = left.drop("hope", "leads").join(found.hint("merge"), ["leaf", "seq"], "left")
+        nodes = stage_table(left.withColumn("best", F.greatest("best", "found")).drop("found"), "sequences")
+        width = min(width * GROWTH, WIDEST)
     return functools.reduce(DataFrame.unionByName, done)
 
 
+def _ahead(each: DataFrame, width: int) -> DataFrame:
+    """The first `width` open sequences of each stretch."""
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("me")))
+    return each.where("best is null").withColumn("place", place).where(F.col("place") <= width).drop("best", "place")
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_key, doc_id, line, template) of the occurrences to drop."""
     lines = stage_table(template_lines(docs), "lines")
